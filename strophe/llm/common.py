@@ -93,5 +93,16 @@ def fold(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
     return root
 
 
+def in_step(per_text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the words when laid out step by step over all texts, longest first; texts at each step."""
+    rank = np.empty(len(per_text), dtype=np.int64)
+    rank[np.argsort(-per_text, kind="stable")] = np.arange(len(per_text))
+    longest = int(per_text.max(initial=0))
+    active = len(per_text) - np.cumsum(np.bincount(per_text, minlength=longest + 1))[:longest]
+    begins = np.concatenate([[0], np.cumsum(active)])
+    step = np.arange(int(per_text.sum())) - np.repeat(np.cumsum(per_text) - per_text, per_text)
+    return begins[step] + np.repeat(rank, per_text), active
+
+
 def binary(rows) -> pa.Array:
     return pa.array(rows, type=pa.binary())
