@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from strophe.llm import exact_dedup
+from strophe.llm import exact_dedup, langid, lm_scoring, quality, token_counts
 
 QUERIES = {
+    "op1_quality": quality.query,
+    "op2_language": langid.query,
+    "op4_token_counts": token_counts.query,
+    "op5_lm_scoring": lm_scoring.query,
     "op6_exact_dedup": exact_dedup.query,
 }
 
