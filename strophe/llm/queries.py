@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strophe.llm import exact_dedup, langid, lm_scoring, quality, token_counts
+from strophe.llm import exact_dedup, langid, lm_scoring, minhash_dedup, quality, token_counts
 
 QUERIES = {
     "op1_quality": quality.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_token_counts": token_counts.query,
     "op5_lm_scoring": lm_scoring.query,
     "op6_exact_dedup": exact_dedup.query,
+    "op10_minhash_dedup": minhash_dedup.query,
 }
 
 ORACLES = {
