@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from strophe.llm import exact_dedup, langid, lm_scoring, minhash_dedup, quality, token_counts
+from strophe.llm import embedding_dedup, exact_dedup, langid, lm_scoring, minhash_dedup, quality, token_counts
 
 QUERIES = {
     "op1_quality": quality.query,
     "op2_language": langid.query,
+    "op3_embedding_dedup": embedding_dedup.query,
     "op4_token_counts": token_counts.query,
     "op5_lm_scoring": lm_scoring.query,
     "op6_exact_dedup": exact_dedup.query,
