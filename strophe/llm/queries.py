@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strophe.llm import embedding_dedup, exact_dedup, langid, lm_scoring, minhash_dedup, quality, token_counts
+from strophe.llm import embedding_dedup, exact_dedup, langid, licenses, lm_scoring, minhash_dedup, mixing, packing, quality, token_counts
 
 QUERIES = {
     "op1_quality": quality.query,
@@ -11,6 +11,9 @@ QUERIES = {
     "op4_token_counts": token_counts.query,
     "op5_lm_scoring": lm_scoring.query,
     "op6_exact_dedup": exact_dedup.query,
+    "op7_packing": packing.query,
+    "op8_licenses": licenses.query,
+    "op9_mixing": mixing.query,
     "op10_minhash_dedup": minhash_dedup.query,
 }
 
