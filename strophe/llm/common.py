@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -28,19 +29,39 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+@contextlib.contextmanager
+def setting(spark: SparkSession, key: str, value: str):
+    """A session setting for the length of a block."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint: later stages read it back instead of computing it again."""
-    shared_dir(df.sparkSession)
-    if df.sparkSession.sparkContext.getCheckpointDir() is None:
-        df.sparkSession.sparkContext.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """A reliable checkpoint: later stages read it back instead of computing it again.
+
+    Planned without adaptive changes, so that a partitioning by key that df ends with is kept and
+    later joins on the key needn't shuffle it again.
+    """
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    with setting(spark, "spark.sql.adaptive.enabled", "false"):
+        return df.select("*").checkpoint(eager=True)
 
 
 def store(df: DataFrame) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back; it goes when the session ends."""
+    """Write df as a Parquet table in the shared folder and read it back; it goes when the session ends.
+
+    The shuffles that led to it are dropped from the executors' disks as soon as it is written.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/strophe-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.select("*").write.option("compression", "zstd").parquet(path)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)

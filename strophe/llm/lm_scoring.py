@@ -10,10 +10,10 @@ and adds log10 weights; the documents of a block move in step.
 The model is never gathered in one place, and every n-gram counts:
 
 1. tasks cut their documents into blocks of bounded size, with local token numbers;
-2. for each order, a block asks about its distinct n-grams. Those with a part that occurs in
-   training in this block alone can't occur elsewhere, so their counts are known already; the others
-   go, with the block's own counts, to shards by the hash of the n-gram, are summed there and come
-   back. A frequent n-gram is one entry from each block, so no key is hot;
+2. for each order, a block asks about its distinct n-grams. Those with a part that no other block
+   has, in learning rows or others, can't occur elsewhere, so their counts are known already; the
+   others go, with the block's own counts, to shards by the hash of the n-gram, are summed there and
+   come back. A frequent n-gram is one entry from each block, so no key is hot;
 3. each block then holds the part of the automaton that its texts can reach, and traverses it.
 
 N-grams are compared by 64-bit hashes of their tokens (xxhash64, then mixing). Special cases: null
@@ -42,11 +42,15 @@ BLOCKS_PER_SHARD = 8
 
 
 def pack(a: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a).tobytes())
+    """Compressed byte planes: all lowest bytes, then all next ones, and so on."""
+    planes = np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
 def unpack(b: bytes, dtype) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b, max_output_size=1 << 40) if b else b"", dtype=dtype)
+    size = np.dtype(dtype).itemsize
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), dtype=np.uint8).reshape(size, -1)
+    return np.ascontiguousarray(planes.T).view(dtype).reshape(-1)
 
 
 class _Numbers(dict):
@@ -101,23 +105,30 @@ def _mix(context: np.ndarray, token: np.ndarray) -> np.ndarray:
 
 
 class Grams:
-    """A block's distinct n-grams of one order: number at each place (-1: none), key, local and total count."""
+    """A block's distinct n-grams of one order: number at each place (-1: none), key and counts.
+
+    Counts have two rows: in learning rows, and in the others; `local` in the block, `all` everywhere.
+    """
 
     def __init__(self, at: np.ndarray, keys: np.ndarray, local: np.ndarray, settled: np.ndarray):
         self.at, self.keys, self.local, self.settled = at, keys, local, settled
-        self.total = local.copy()
+        self.all = local.copy()
+
+    @property
+    def total(self) -> np.ndarray:
+        return self.all[0]
 
     def asked(self, shards: int) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the n-grams to ask about, by shard, and where each shard's begin."""
         i = np.nonzero(~self.settled)[0]
         shard = (self.keys[i] % np.uint64(shards)).astype(np.int64)
-        by = np.argsort(shard, kind="stable")
+        by = np.lexsort((self.keys[i], shard))  # sorted keys have compressible high bytes
         return i[by], np.searchsorted(shard[by], np.arange(shards + 1))
 
     def answer(self, shards: int, answers: list[tuple[int, bytes]]) -> None:
         i, begins = self.asked(shards)
         for shard, packed in answers or []:
-            self.total[i[begins[shard] : begins[shard + 1]]] = unpack(packed, np.int64)
+            self.all[:, i[begins[shard] : begins[shard + 1]]] = unpack(packed, np.int64).reshape(2, -1)
 
 
 class Block:
@@ -133,8 +144,8 @@ class Block:
 
     def next_order(self) -> Grams:
         if not self.orders:
-            local = np.bincount(self.tokens[self.learned], minlength=len(self.hashes))
-            g = Grams(self.tokens, self.hashes, local, np.zeros(len(local), dtype=bool))
+            local = np.stack([np.bincount(self.tokens[x], minlength=len(self.hashes)) for x in (self.learned, ~self.learned)])
+            g = Grams(self.tokens, self.hashes, local, np.zeros(len(self.hashes), dtype=bool))
         else:
             low = self.orders[-1]
             context = np.concatenate([[-1], low.at[:-1]])
@@ -143,9 +154,9 @@ class Block:
             pairs, first, inverse = np.unique(context[ok] * len(self.hashes) + self.tokens[ok], return_index=True, return_inverse=True)
             at = np.full(len(self.tokens), -1, dtype=np.int64)
             at[ok] = inverse
-            local = np.bincount(inverse[self.learned[ok]], minlength=len(pairs))
+            local = np.stack([np.bincount(inverse[x[ok]], minlength=len(pairs)) for x in (self.learned, ~self.learned)])
             head, tail = context[ok[first]], low.at[ok[first]]
-            alone = low.total == low.local  # in training in this block only, or nowhere
+            alone = (low.all == low.local).all(axis=0)  # no other block has it
             g = Grams(at, _mix(low.keys[head], self.hashes[self.tokens[ok[first]]]), local, alone[head] | alone[tail])
         self.orders.append(g)
         return g
@@ -204,11 +215,11 @@ def _sum_shard(table: pa.Table) -> pa.Table:
     """Sums the counts of equal n-grams over blocks; a row for each block, and one (-1) with distinct and all."""
     shard = table.column("shard")[0].as_py()
     keys = [unpack(x, np.uint64) for x in table.column("keys").to_pylist()]
-    counts = [unpack(x, np.int64) for x in table.column("counts").to_pylist()]
+    counts = np.concatenate([unpack(x, np.int64).reshape(2, -1) for x in table.column("counts").to_pylist()], axis=1)
     _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(inverse, weights=np.concatenate(counts)).astype(np.int64)
+    total, others = (np.bincount(inverse, weights=c).astype(np.int64) for c in counts)
     ends = np.cumsum([len(k) for k in keys])
-    rows = [pack(total[part]) for part in np.split(inverse, ends[:-1])]
+    rows = [pack(np.concatenate([total[part], others[part]])) for part in np.split(inverse, ends[:-1])]
     return pa.table({
         "block": pa.array([*table.column("block").to_pylist(), -1], pa.int64()), "shard": pa.array([shard] * (len(rows) + 1), pa.int32()),
         "totals": pa.array([*rows, pack(np.array([(total > 0).sum(), total.sum()], dtype=np.int64))], pa.binary()),
@@ -251,7 +262,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
                     parts = [i[begins[s] : begins[s + 1]] for s in full]
                     yield pa.RecordBatch.from_arrays([
                         pa.array(full, pa.int32()), pa.array([b.number] * len(full), pa.int64()),
-                        pa.array([pack(g.keys[p]) for p in parts], pa.binary()), pa.array([pack(g.local[p]) for p in parts], pa.binary()),
+                        pa.array([pack(g.keys[p]) for p in parts], pa.binary()), pa.array([pack(g.local[:, p].ravel()) for p in parts], pa.binary()),
                     ], names=["shard", "block", "keys", "counts"])
 
         return rows
