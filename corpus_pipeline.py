@@ -15,9 +15,8 @@ from strophe.llm.common import crc_mod, store
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents whose language can't be told: no letters, or no language with a third of the words' weight."""
-    known = {f.name for f in docs.schema.fields}
     found = langid.detect_language(docs, learn=crc_mod("doc_id", 4) != 2, carry=True)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= 1 / 3)).select(*(c for c in docs.columns if c in known))
+    return found.where((F.col("__strophe_lang") != "und") & (F.col("__strophe_score") >= 1 / 3)).select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

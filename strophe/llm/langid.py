@@ -167,7 +167,7 @@ def _sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, learn, p
 def detect_language(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", learn=None, per_language: int = 250, seed: int = 11, carry: bool = False,
 ) -> DataFrame:
-    """Predictions for every row: id (or, with carry, all columns), lang_pred, score.
+    """Predictions for every row: id, lang_pred, score; with carry, all columns, __strophe_lang, __strophe_score.
 
     learn: predicate for rows whose text and language may be learned from.
     """
@@ -178,7 +178,8 @@ def detect_language(
     shared = docs.sparkSession.sparkContext.broadcast(field)
     rows = docs if carry else docs.select(id_col, text_col)
     out = [f for f in rows.schema.fields if carry or f.name != text_col]
-    schema = StructType([*out, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    named = ("__strophe_lang", "__strophe_score") if carry else ("lang_pred", "score")
+    schema = StructType([*out, StructField(named[0], StringType()), StructField(named[1], DoubleType())])
     arrow, at = to_arrow_schema(schema), rows.columns.index(text_col)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
