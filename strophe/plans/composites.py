@@ -127,3 +127,38 @@ def baseline_lyrics(turns: DataFrame, conv: str, mark: str = ".", size: str = "m
     live = p.withColumn("__stopped", F.max(stop.cast("int")).over(w)).where("__stopped = 0")
     body = live.groupBy(conv).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.concat(F.lit(" "), "tag", F.lit(" "), "lyric", F.lit(" ;")).alias("s")))), lambda x: x["s"]), "").alias("b"))
     return turns.select(conv).distinct().join(body, conv, "left").select(conv, F.concat(F.lit(f"[intro-{size}] ;"), F.coalesce("b", F.lit("")), F.lit(f" [outro-{size}]")).alias("gt_lyric"))
+
+
+def evaluation_conversations(songs: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """Test songs to conversations whose answers are empty: style, then a turn for each section.
+
+    songs: song_id, omni1, omni2, omni1_sim, omni2_sim, sections (section, text, desc1..3, desc1..3_sim).
+    A section's description is the most similar of three; lyrics and their phonemes follow it.
+    """
+    each = songs.select("song_id", F.posexplode("sections").alias("sec", "s")).withColumn("key", F.concat_ws("|", "song_id", "sec"))
+    desc = relational.choose_description(F.array(*(F.col(f"s.desc{i}") for i in (1, 2, 3))), F.array(*(F.col(f"s.desc{i}_sim") for i in (1, 2, 3))))
+    bare = F.when(desc.startswith("[desc] "), F.concat(F.substring(desc, F.lit(8), F.length(desc)), F.lit("]"))).otherwise(desc)
+    said = F.regexp_replace("s.text", r"(?s)^.*\]", "")
+    block = F.when(text.strip(said) != "", F.when(F.col("song_id").startswith("suno_test_en"), F.concat(F.lit("[lyrics:\n"), text.clean_newlines(said), F.lit("]"))).otherwise(F.concat(F.lit("[lyrics:"), said, F.lit("]"))))
+    each = each.select("song_id", "sec", "key", F.col("s.section").alias("section"), F.when(desc == "", "[desc:]").otherwise(F.concat(F.lit("[desc:"), F.substring(bare, F.lit(2), F.length(bare)))).alias("d"), text.phoneme_lyrics(block).alias("lines"))
+    lines = each.select("key", F.posexplode("lines").alias("n", "line")).withColumn("k", F.concat_ws("#", "key", "n"))
+    runs = lines.select("k", F.posexplode(phonemes.language_runs(F.col("line"))).alias("pos", "r")).select("k", "pos", F.col("r.text").alias("text"))
+    spoken = lines.join(phonemes.phonemes(runs, "k", lexicon, with_sp=True), "k", "left")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", F.coalesce(F.array_join("phonemes", " "), F.lit("")).alias("p")))), lambda x: x["p"]), "\n")
+    per = each.join(spoken.groupBy("key").agg(joined.alias("p")), "key", "left")
+    tail = F.when(F.col("lines").isNotNull(), F.concat(F.lit("[lyrics:"), F.array_join("lines", "\n"), F.lit("][phoneme:"), F.coalesce("p", F.lit("")), F.lit("]"))).otherwise("")
+    style = relational.choose_intro(F.col("omni1"), F.col("omni2"), F.col("omni1_sim"), F.col("omni2_sim"))
+    intro = F.concat(F.lit("Please generate a song in the following style:"), style, F.lit(".\nNext, I will tell you the requirements and lyrics for the song fragment to be generated, section by section.\n"))
+    turns = per.join(songs.select("song_id", intro.alias("intro")), "song_id").withColumn("content", F.concat(F.when(F.col("sec") == 0, F.col("intro")).otherwise(""), F.lit("["), "section", F.lit("]"), "d", tail))
+    turn = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
+    pairs = F.transform(F.array_sort(F.collect_list(F.struct("sec", "content"))), lambda x: F.array(turn("user", x["content"]), turn("assistant", F.lit(""))))
+    return turns.groupBy("song_id").agg(F.flatten(pairs).alias("messages"))
+
+
+def written_songs(prompts: DataFrame, prompt: str = "prompt") -> DataFrame:
+    """Songs that a model writes for each prompt, those with valid time codes only."""
+    from strophe.functions import jsonx
+
+    answered = models.batch_map(prompts, prompt, "__answer", "string", models.load_writer)
+    songs = answered.withColumn("__song", F.explode(jsonx.songs(F.col("__answer")))).select(*prompts.columns, "__song.*")
+    return relational.with_fields(songs, "description", "lyrics").where(lrc.is_valid(F.col("lyrics")))

@@ -196,3 +196,37 @@ def test_streams(spark, tmp_path):
         time.sleep(0.5)
     q.stop()
     assert sorted((r.task_id, r.outcome, r.polls) for r in spark.table("polls").collect()) == [("t1", "succeeded", 2), ("t2", "failed", 1)]
+
+
+def test_services_and_vocabulary(spark):
+    from strophe.operators import vocab
+    from strophe.sources import services
+
+    spark.dataSource.register(services.SongSource)
+    got = spark.read.format("song_service").option("songs", 20).load().collect()
+    assert sorted(g.song for g in got) == list(range(20)) and all((g.state == "failed") == (g.song % 7 == 6) and g.poll_count == g.song % 3 + 1 for g in got)
+
+    class Down(services.SongService):
+        def status(self, task, polls):
+            if polls < 3:
+                raise OSError("busy")
+            return "succeeded"
+
+    assert services.finish(Down(), "task-1") == ("succeeded", 3) and services.finish(Down(), "task-1", retries=1) == ("failed", 2) and services.finish(services.SongService(), "task-2", most_polls=2) == ("timeout", 2)
+    df = spark.createDataFrame([("a<X>b<XY>", ["[verse]", "hi", ""])], "t string, lines array<string>")
+    row = df.select(vocab.text_ids(F.col("t"), {"<X>": 1000, "<XY>": 1001}).alias("t"), vocab.line_ids(F.col("lines")).alias("l"), vocab.song_id(F.lit("s"), F.lit(3), F.lit(4)).alias("i")).first()
+    assert row.t == [97, 1000, 98, 1001] and row.l == [503, 511, 104, 105, 511, 511] and row.i == "s_000003_0004"
+    assert vocab.extended({"a": 3}, ["b", "a", "c"]) == {"a": 3, "b": 4, "c": 5}
+    songs = composites.written_songs(spark.createDataFrame([("p",)], "prompt string")).collect()
+    assert len(songs) == 1 and songs[0].description.startswith("about ")
+
+
+def test_evaluation_conversations(spark):
+    part = "array<struct<section:string,text:string,desc1:string,desc2:string,desc3:string,desc1_sim:double,desc2_sim:double,desc3_sim:double>>"
+    sections = [("Intro", "[Intro]", "音频过短", "b", "c", 0.9, 0.1, 0.2), ("Verse", "[Verse]hello [x] hello, hi", "[a]", "[desc] soft", "c", 0.1, 0.9, 0.9)]
+    songs = spark.createDataFrame([("suno_test_en_1", "o1", "o2", 0.5, 0.5, sections)], f"song_id string, omni1 string, omni2 string, omni1_sim double, omni2_sim double, sections {part}")
+    lex = spark.createDataFrame([("hello", ["HH", "AH0"])], "word string, phones array<string>")
+    m = composites.evaluation_conversations(songs, lex).first().messages
+    assert m[0].content.startswith("Please generate a song in the following style:o2.\n") and m[0].content.endswith("\n[Intro][desc:]")
+    assert m[2].content == "[Verse][desc:oft][lyrics:\nhello,\nhi][phoneme:\nHH AH sp\nH I sp]"
+    assert [x.role for x in m] == ["user", "assistant"] * 2 and m[1].content == ""
