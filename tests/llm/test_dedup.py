@@ -4,7 +4,6 @@ import re
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from strophe.llm import exact_dedup, minhash_dedup
 from strophe.llm.components import connected_components
@@ -27,7 +26,7 @@ def corpus():
             t = list(base)
             for _ in range(r.choice([0, 0, 1, 2, 4])):
                 t[r.randrange(len(t))] = r.choice(vocab)
-            rows.append((n, r.choice(["", " "]).join([]) + " ".join(t)))
+            rows.append((n, " ".join(t)))
             n += 1
     rows += [(900, None), (901, ""), (902, " \t\n"), (903, rows[3][1].replace(" ", "\n ")), (3, rows[3][1]), (None, rows[5][1]), (None, "lonely null")]
     rows += [(1000 + i, "boiler plate " * 40 + f"tail {i % 7}") for i in range(60)]
@@ -181,4 +180,3 @@ def test_empty_tables(spark, f):
 
 def test_no_vectors(spark):
     assert near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
-    assert F is not None
