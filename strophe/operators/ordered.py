@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from strophe.functions import lrc, text, tokens
 from strophe.operators.relational import valid_label
+from strophe.shared import ranked
 
 
 def line_spans(lines: DataFrame, song: str, pos: str, start: str, total_s: Column) -> DataFrame:
@@ -178,15 +179,8 @@ def greedy_prefix(df: DataFrame, group: str, order: str, content: str, limit: in
 
 
 def batch_ids(df: DataFrame, order: str, size: int) -> DataFrame:
-    """Groups of `size` rows in order. Ranks go by range partition, so no task holds all rows."""
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.repartitionByRange(n, order).sortWithinPartitions(order).withColumns({"__part": F.spark_partition_id(), "__in": F.monotonically_increasing_id()})
-    counts = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"), F.min("__in").alias("__first"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select("__part", "__first", before.alias("__before"))  # one row for each partition
-    rank = F.col("__before") + F.col("__in") - F.col("__first")
-    return placed.join(F.broadcast(starts), "__part").withColumn("batch", F.floor(rank / size)).drop("__part", "__in", "__first", "__before")
+    """Groups of `size` rows in order."""
+    return ranked(df, order, "__rank").withColumn("batch", F.floor(F.col("__rank") / size)).drop("__rank")
 
 
 def request_rate(log: DataFrame, ts: str = "ts", seconds: int = 10, by: str | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strophe.functions.text import count_cjk, count_other, file_stem, strip
+from strophe.shared import ranked
 
 #: Symbols that become blanks before lyric languages are counted (fixed value).
 LYRIC_SYMBOLS = "['￥·′´（），。？\"!@#$%^&*()?./,=+_—— ！…《》<>0-9～※~;－・、☆｜△【】＃「」‖{}\\[\\]-]"
@@ -178,7 +179,10 @@ def with_prompt(df: DataFrame, prompts: DataFrame, idx: str = "idx") -> DataFram
 
 def zip_in_order(left: DataFrame, right: DataFrame, left_order: str, right_order: str, by: Sequence[str] = ()) -> DataFrame:
     """Rows paired by their number in each order, as far as the shorter goes (within `by`, if given)."""
-    number = lambda df, o: df.withColumn("__nth", F.row_number().over(Window.partitionBy(*by).orderBy(o)))
+
+    def number(df: DataFrame, order: str) -> DataFrame:
+        return df.withColumn("__nth", F.row_number().over(Window.partitionBy(*by).orderBy(order))) if by else ranked(df, order, "__nth")
+
     return number(left, left_order).join(number(right, right_order), [*by, "__nth"])
 
 

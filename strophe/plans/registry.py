@@ -160,8 +160,7 @@ def zip_guard(t):
     return relational.zip_guarded(side("user", "user_turn"), side("assistant", "assistant_turn"), "conv_id", "user_turn", "assistant_turn").select("conv_id", "user_turn", "assistant_turn")
 
 
-@query("""WITH v AS (SELECT event_id % 1000 AS k, event_id FROM events WHERE event_type = 'view'), c AS (SELECT event_id FROM events WHERE event_type <> 'view')
-SELECT a.o_orderkey AS vocal, b.o_orderkey AS instrumental FROM orders a JOIN orders b ON a.o_orderkey = b.o_orderkey - 1 WHERE a.o_orderkey % 2 = 0""")
+@query("""SELECT a.o_orderkey AS vocal, b.o_orderkey AS instrumental FROM orders a JOIN orders b ON a.o_orderkey = b.o_orderkey - 1 WHERE a.o_orderkey % 2 = 0""")
 def pair_stems(t):
     k = F.col("o_orderkey")
     name = F.concat(F.floor(k / 2).cast("string"), F.when(k % 2 == 0, "_vtrack").otherwise("_itrack"))
@@ -387,10 +386,10 @@ def described_sections(t):
     return t("conversations").select("conv_id", "turn", text.section_name(c).alias("section"), text.described(c).alias("descr"))
 
 
-@query("""SELECT conv_id, turn, list_transform(string_split(text, ' '), lambda x: 1) IS NOT NULL AS ok, array_to_string(list_filter(list_transform(string_split('INFO Retry 1' || chr(10) || text || chr(10) || 'saved to x', chr(10)), lambda x: trim(x)), lambda x: x <> '' AND NOT contains(x, 'Retry') AND NOT contains(x, 'saved to')), ' ') AS said FROM conversations""")
+@query("""SELECT conv_id, turn, array_to_string(list_filter(list_transform(string_split('INFO Retry 1' || chr(10) || text || chr(10) || 'saved to x', chr(10)), lambda x: trim(x)), lambda x: x <> '' AND NOT contains(x, 'Retry') AND NOT contains(x, 'saved to')), ' ') AS said FROM conversations""")
 def asr_text(t):
     c = F.concat(F.lit("INFO Retry 1\n"), "text", F.lit("\nsaved to x"))
-    return t("conversations").select("conv_id", "turn", F.lit(True).alias("ok"), text.asr_text(c).alias("said"))
+    return t("conversations").select("conv_id", "turn", text.asr_text(c).alias("said"))
 
 
 # Time-coded lyrics

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -13,3 +14,16 @@ def cut(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="strophe-"))
     return df.checkpoint(eager=True)
+
+
+def ranked(df: DataFrame, order: str, name: str = "rank") -> DataFrame:
+    """Each row's place (from 0) in the order, without a window over all rows.
+
+    Rows go to ranges of the order, are numbered inside, and shifted by the totals of earlier ranges.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = cut(df.repartitionByRange(n, order).sortWithinPartitions(order).withColumns({"__part": F.spark_partition_id(), "__in": F.monotonically_increasing_id()}))
+    counts = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"), F.min("__in").alias("__first"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("__part", "__first", before.alias("__before"))  # one row for each range
+    return placed.join(F.broadcast(starts), "__part").withColumn(name, F.col("__before") + F.col("__in") - F.col("__first")).drop("__part", "__in", "__first", "__before")

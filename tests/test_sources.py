@@ -5,7 +5,6 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from strophe.functions.text import strip
 from strophe.operators import relational, report
 from strophe.plans import composites
 from strophe.sources import readers, sinks
@@ -160,7 +159,7 @@ def test_line_conversations_and_lyrics(spark):
     assert [(m.role, m.content if m.role == "user" else m.content.count("<AUDIO_")) for m in got[0].messages] == [("user", "intro"), ("assistant", 25), ("user", "a"), ("assistant", 25), ("user", "请生成歌词b以及歌曲结尾"), ("assistant", 25)]
     src = spark.createDataFrame([("n", "", "z", "", "[00:01.00]by: me\n" + "\n".join(f"[00:{i:02d}.00]we are the world" for i in range(10, 20)), True, "src"), ("n", "", "z", "x", "y", False, "src")], "name string, artist string, artists string, lyric string, tlyric string, has_lyric boolean, source string")
     r = composites.lyric_conversion(src, "_a").collect()
-    assert len(r) == 1 and r[0].lyric_lang == "en" and r[0].lyrics_meta == {"by": "me"} and len(r[0].lyrics) == 10 and r[0].source == "src_a" and strip is not None
+    assert len(r) == 1 and r[0].lyric_lang == "en" and r[0].lyrics_meta == {"by": "me"} and len(r[0].lyrics) == 10 and r[0].source == "src_a"
 
 
 def test_baseline_and_dedup(spark):
