@@ -10,8 +10,10 @@ comes within four standard deviations of the threshold are confirmed, on full se
 No group's pairs are emitted. Buckets are dealt in blocks of bounded size; a block gives the maximum
 spanning forest of its estimates, a row for each document at most. Confirmed edges make components.
 A second step takes only buckets that still hold more than one component, block by block and
-block against block, and gives every pair of different components whose estimate passes. So within
-the buckets no link is lost that could join components, however large they are.
+block against block. It first marks documents with a passing estimate to another component, then
+compares the marked ones on full sets inside the cells, each pair in the first band it shares, and gives
+only links that join components, a row for each document at most. So within the buckets no link is
+lost that could join components, however large they are, and no cell writes its pairs.
 
 Special cases: null texts and texts without words have empty sets and stay alone; a text of fewer words
 than a shingle has one, its whole sequence; repeated rows are members like others, and exactly one row
@@ -228,23 +230,65 @@ def _forest(batches: Iterator[pa.RecordBatch], least: float, threshold: float) -
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(l, r)), pa.array(np.maximum(l, r))], names=["a", "b"])
 
 
-def _across(batches: Iterator[pa.RecordBatch], least: float, threshold: float) -> Iterator[pa.RecordBatch]:
-    """Rows (key, i, j, block, rid, size, sketch, component), sorted: passing pairs of different components."""
+def _cells(t: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray, bool]]:
+    """Cells of rows sorted by (key, i, j): first row, the rows of block i and of block j, whether they are one block."""
+    block, i, j = (t.column(c).to_numpy() for c in ("block", "i", "j"))
+    for a, b in _groups(t, 3):
+        yield a, a + np.nonzero(block[a:b] == i[a])[0], a + np.nonzero(block[a:b] == j[a])[0], bool(i[a] == j[a])
+
+
+def _marked(batches: Iterator[pa.RecordBatch], least: float, threshold: float) -> Iterator[pa.RecordBatch]:
+    """Rows (key, i, j, block, rid, component, size, sketch), sorted: those with a passing estimate to another component."""
     for t in _runs(batches, 3):
         if not t.num_rows:
             continue
-        rid, size, comp, block, sk = *(t.column(c).to_numpy() for c in ("rid", "size", "component", "block")), _sketches(t, "sketch")
-        i, j = t.column(1).to_numpy(), t.column(2).to_numpy()
-        for a, b in _groups(t, 3):
-            x = a + np.nonzero(block[a:b] == i[a])[0]
-            y = a + np.nonzero(block[a:b] == j[a])[0]
+        rid, comp, size, sk = *(t.column(c).to_numpy() for c in ("rid", "component", "size")), _sketches(t, "sketch")
+        found = []
+        for _, x, y, _ in _cells(t):
+            passing = (_passes(sk[x], size[x], sk[y], size[y], least, threshold) > 0) & (comp[x][:, None] != comp[y][None, :])
+            found += [x[passing.any(axis=1)], y[passing.any(axis=0)]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(rid[np.concatenate(found)]))], names=["rid"])
+
+
+def _across(batches: Iterator[pa.RecordBatch], least: float, threshold: float, percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows (key, i, j, block, rid, component, size, sketch, band, bands, hashes), sorted: links that join components."""
+    for t in _runs(batches, 3):
+        if not t.num_rows:
+            continue
+        rid, comp, size, band, sk = *(t.column(c).to_numpy() for c in ("rid", "component", "size", "band")), _sketches(t, "sketch")
+        bands = np.array(t.column("bands").to_pylist(), dtype=np.int64)
+        sets = t.column("hashes").combine_chunks()
+        left, right = [], []
+        for a, x, y, same in _cells(t):
             est = _passes(sk[x], size[x], sk[y], size[y], least, threshold)
             p, q = np.nonzero((est > 0) & (comp[x][:, None] != comp[y][None, :]))
-            if i[a] == j[a]:
+            if same:
                 p, q = p[p < q], q[p < q]
-            if len(p):
-                l, r = rid[x[p]], rid[y[q]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(l, r)), pa.array(np.maximum(l, r))], names=["a", "b"])
+            # a pair belongs to the first band that it shares
+            first = (bands[x[p]] == bands[y[q]]).argmax(axis=1) == band[a]
+            p, q = p[first], q[first]
+            up: dict[int, int] = {}
+
+            def top(c: int, up: dict[int, int] = up) -> int:
+                while up.setdefault(c, c) != c:
+                    c = up[c]
+                return c
+
+            held: dict[int, np.ndarray] = {}
+            for k in np.argsort(-est[p, q], kind="stable"):
+                u, v = int(x[p[k]]), int(y[q[k]])
+                cu, cv = top(int(comp[u])), top(int(comp[v]))
+                if cu == cv:
+                    continue
+                for w in (u, v):
+                    if w not in held:
+                        held[w] = sets[w].values.to_numpy(zero_copy_only=False)
+                both = len(np.intersect1d(held[u], held[v], assume_unique=True))
+                if 100 * both >= percent * (len(held[u]) + len(held[v]) - both):
+                    up[max(cu, cv)] = min(cu, cv)
+                    left.append(min(rid[u], rid[v]))
+                    right.append(max(rid[u], rid[v]))
+        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -267,34 +311,39 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int)
     reps = of_lead.where("lead = rid").select("rid", "id")
 
     signed = leads.select(F.col(RID).alias("rid"), F.col("__strophe_n").alias("size"), F.col("__strophe_sketch").alias("sketch"), F.col("__strophe_bands").alias("bands")).join(reps.select("rid"), "rid", "left_semi")
-    keyed = signed.select(F.explode("bands").alias("key"), "rid")
+    keyed = signed.select("rid", F.posexplode("bands").alias("band", "key"))
     buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    in_bucket = store(keyed.join(buckets, "key"))
+    in_bucket = store(keyed.join(buckets, "key").select("key", "band", "rid", "members"))
     active = in_bucket.select("rid").distinct()
-    sketched = store(signed.select("rid", "size", "sketch").join(active, "rid", "left_semi"))
-    sets = leads.select(F.col(RID).alias("rid"), text_col).join(active, "rid", "left_semi")
+    sketched = store(signed.join(active, "rid", "left_semi"))
+    # merge joins where texts or sets move: what moves then follows the rows at every size
+    sets = leads.select(F.col(RID).alias("rid"), text_col).join(active.hint("merge"), "rid", "left_semi")
     sets = store(sets.mapInArrow(lambda it: (pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, k).view(np.int64) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))], names=["rid", "hashes"]) for b in it), "rid long, hashes array<long>"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        p = pairs.join(sets.select(F.col("rid").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("rid").alias("b"), F.col("hashes").alias("y")), "b")
+        p = pairs.hint("merge").join(sets.select(F.col("rid").alias("a"), F.col("hashes").alias("x")), "a").hint("merge").join(sets.select(F.col("rid").alias("b"), F.col("hashes").alias("y")), "b")
         p = p.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("both"), (F.size("x") + F.size("y")).cast("long").alias("sizes"))
         return p.select("a", "b", (F.col("both") * 100 >= (F.col("sizes") - F.col("both")) * percent).alias("link"))
 
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     placed = in_bucket.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("rid"), blocks).cast("int")})
-    dealt = placed.join(sketched, "rid").select("key", "block", "rid", "size", "sketch").repartition(n, "key", "block").sortWithinPartitions("key", "block", "rid")
-    tried = store(confirmed(dealt.mapInArrow(lambda it: _forest(it, least, threshold), "a long, b long").distinct()))
-    links = tried.where("link").select("a", "b")
+    dealt = placed.join(sketched.select("rid", "size", "sketch"), "rid").select("key", "block", "rid", "size", "sketch").repartition(n, "key", "block").sortWithinPartitions("key", "block", "rid")
+    links = store(confirmed(dealt.mapInArrow(lambda it: _forest(it, least, threshold), "a long, b long").distinct()).where("link").select("a", "b"))
     first = store(connected_components(links))
 
     labelled = placed.join(first.withColumnRenamed("node", "rid"), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
     mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    still = labelled.join(mixed, "key", "left_semi").join(sketched, "rid")
-    # block against block: a row goes to every cell (i, j), i <= j, of the bucket that has its block
-    cells = still.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rid", "size", "sketch", "component")
-    cells = cells.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "rid")
-    more = cells.mapInArrow(lambda it: _across(it, least, threshold), "a long, b long").distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
-    late = store(confirmed(more)).where("link").select("a", "b")
+    still = store(labelled.join(mixed, "key", "left_semi").select("key", "band", "blocks", "block", "rid", "component"))
+
+    def cells(rows: DataFrame, *carried: str) -> DataFrame:
+        """Block against block: a row goes to every cell (i, j), i <= j, of its bucket that has its block."""
+        out = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        out = out.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rid", "component", *carried)
+        return out.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "rid")
+
+    marked = cells(still.join(sketched.select("rid", "size", "sketch"), "rid"), "size", "sketch").mapInArrow(lambda it: _marked(it, least, threshold), "rid long").distinct()
+    full = store(sketched.join(marked, "rid", "left_semi").hint("merge").join(sets, "rid"))
+    late = store(cells(still.join(full, "rid"), "size", "sketch", "band", "bands", "hashes").mapInArrow(lambda it: _across(it, least, threshold, percent), "a long, b long").distinct())
     joined = connected_components(links.unionByName(late)).withColumnRenamed("node", "rid")
 
     whole = store(reps.join(joined, "rid", "left").withColumn("component", F.coalesce("component", "rid")))
