@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from strophe.operators.relational import mark_best
 
@@ -13,9 +15,18 @@ from strophe.operators.relational import mark_best
 METRICS = ("CE", "CU", "PC", "PQ", "Score", "Coherence", "Musicality", "Memorability", "Clarity", "Naturalness", "Mulan-T", "PER")
 
 
+@F.pandas_udf(StringType())
+def _four_decimals(values: pd.Series) -> pd.Series:
+    """Four decimals of the binary value; the JVM's formatter rounds the shortest decimal, which differs on ties.
+
+    A report has one value for each model and metric, so the Python step is small.
+    """
+    return values.map(lambda x: f"{x:.4f}", na_action="ignore")
+
+
 def markdown_rows(metrics: DataFrame, order: Sequence[str] = METRICS) -> DataFrame:
     """One Markdown row for each model: four decimals, the best of each metric bold, `-` for none."""
-    value = F.format_string("%.4f", F.col("value"))
+    value = _four_decimals(F.col("value"))
     cell = mark_best(metrics).withColumn("cell", F.when(F.col("is_best"), F.concat(F.lit("**"), value, F.lit("**"))).otherwise(value))
     wide = cell.groupBy("model").pivot("metric", list(order)).agg(F.first("cell"))
     cells = [F.coalesce(F.col(f"`{m}`"), F.lit("-")) for m in order]
