@@ -1,14 +1,14 @@
 """Near-dedup of embeddings by sorted projection passes.
 
-Each pass orders the vectors lexicographically by concatenated random hashes (signs of projections,
-most significant first), so that vectors of small angle share long prefixes and stand close; every
-vector is compared with a bounded window of neighbours, and the verified pairs of all passes are
-united. A window that ends inside a run of equal keys goes on to the run's end. The number of passes
-follows from the rows: enough for a pair at the threshold to be missed in all of them with at most the
-given probability, for which each pass counts with the chance that such a pair shares the prefix that
-tells windows apart.
-
-Identical vectors collapse first. A pass emits a forest, one row for each vector at most, not pairs.
+Each pass sorts the vectors by concatenated random hashes (signs of projections, most significant
+first), so that vectors of small angle share long prefixes. All vectors that share the first `bits`
+hashes of a pass, its cell, are compared with each other, whatever their number: a cell beyond BLOCK
+vectors is compared in blocks against blocks. A pair at the threshold shares a cell with a chance that
+depends on its angle alone, so the passes that keep its miss in all of them at the given probability
+follow from `bits`, however dense the vectors stand. `bits` is the cheapest of some lengths by the sizes
+of their cells, which are counted over all vectors; it moves work between passes and cells, not the miss.
+
+Identical vectors collapse first. A cell, or a pair of its blocks, emits a forest, not pairs.
 Components of the verified pairs are then compared inside, in blocks against blocks, by exact cosine,
 which counts the links of each vector without writing them.
 
@@ -31,17 +31,22 @@ from strophe.llm.common import fold, partitions, store
 from strophe.llm.components import connected_components
 from strophe.llm.minhash_dedup import _groups, _runs
 
-#: Sorted neighbours after a vector that it is compared with; bits of a key; vectors of a component that one block holds.
+#: Vectors of a cell that evenly spread vectors aim at; bits of a key; vectors of a cell or component that one block holds.
 WINDOW, BITS, BLOCK = 256, 62, 1024
 #: Passes that one shuffle sorts.
 TOGETHER = 8
+#: Comparisons that cost about as much as one more row that a pass moves. It chooses between equal results.
+ROW = 1500
 
 
-def passes_for(n: int, threshold: float, miss: float, window: int = WINDOW) -> int:
-    """Passes after which a pair at the threshold is missed with probability `miss` at most."""
+def passes_for(n: int, threshold: float, miss: float, bits: float | None = None) -> int:
+    """Passes after which a pair at the threshold is missed with probability `miss` at most.
+
+    Without `bits`, for n evenly spread vectors.
+    """
     agree = 1 - math.acos(threshold) / math.pi
-    bits = max(0.0, math.log2(max(n, 1) / window)) + 1
-    return max(2, math.ceil(math.log(miss) / math.log(1 - agree**bits)))
+    bits = max(0.0, math.log2(max(n, 1) / WINDOW)) + 1 if bits is None else bits
+    return 1 if not bits else max(2, math.ceil(math.log(miss) / math.log1p(-(agree**bits))))
 
 
 def _unit(values: pa.Array) -> np.ndarray:
@@ -52,10 +57,10 @@ def _unit(values: pa.Array) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _keys(batches: Iterator[pa.RecordBatch], first: int, count: int, seed: int) -> Iterator[pa.RecordBatch]:
-    """(rid, size, vector) to (pass, key, rid, size, vector) for passes first .. first + count - 1."""
+def _keys(batches: Iterator[pa.RecordBatch], first: int, count: int, bits: int, seed: int, carry: bool = True) -> Iterator[pa.RecordBatch]:
+    """(rid, size, vector) to (pass, size, cell) and, to carry, (rid, vector), for passes first .. first + count - 1."""
     planes: dict[tuple[int, int], np.ndarray] = {}
-    weight = 1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)
+    weight = 1 << np.arange(bits - 1, -1, -1, dtype=np.int64)
     for b in batches:
         sizes = b.column(1).to_numpy()
         for d in np.unique(sizes):
@@ -63,69 +68,44 @@ def _keys(batches: Iterator[pa.RecordBatch], first: int, count: int, seed: int)
             x = _unit(part.column(2))
             for p in range(first, first + count):
                 if (p, d) not in planes:
-                    planes[p, d] = np.random.default_rng([seed, p, int(d)]).standard_normal((int(d), BITS))
-                key = ((x @ planes[p, d]) > 0) @ weight
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), p), pa.int32()), pa.array(key, pa.int64()), *part.columns], names=["pass", "key", "rid", "size", "vector"])
-
-
-def _near(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Rows in order of (pass, size, key): forests of the verified pairs within windows, and the partition's ends.
-
-    The first and last window of each pass in a partition come out as rows of kind 1 and 2, to be
-    compared across the partition's border.
-    """
-    def links(x: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        left, right = [], []
-        n = len(x)
-        run_end = np.searchsorted(key, key, side="right")
-        for at in range(0, n, WINDOW):
-            end = min(n, at + WINDOW)
-            to = min(n, max(end + WINDOW, int(run_end[end - 1])))
-            for c in range(at, to, 4096):
-                sims = x[at:end] @ x[c : min(to, c + 4096)].T
-                i, j = np.nonzero(sims >= threshold)
-                i, j = i + at, j + c
-                ok = (j > i) & ((j - i <= WINDOW) | (j < run_end[i]))
-                left.append(i[ok])
-                right.append(j[ok])
-        return np.concatenate(left), np.concatenate(right)
-
-    for t in _runs(batches, 2):
-        if not t.num_rows:
-            continue
-        rid, key = t.column("rid").to_numpy(), t.column("key").to_numpy()
-        for a, b in _groups(t, 2):
-            x = _unit(t.column("vector").slice(a, b - a).combine_chunks())
-            i, j = links(x, key[a:b])
-            root = fold(i, j, b - a)
-            leaf = np.nonzero(root != np.arange(b - a))[0]
-            n = len(leaf)
-            edge = [pa.array(np.zeros(n), pa.int8()), pa.array(rid[a:b][root[leaf]]), pa.array(rid[a:b][leaf]), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, t.schema.field("vector").type)]
-            yield pa.RecordBatch.from_arrays(edge, schema=_near_schema(t))
-            for kind, part in ((1, t.slice(a, min(WINDOW, b - a))), (2, t.slice(max(a, b - WINDOW), min(WINDOW, b - a)))):
-                m = part.num_rows
-                cols = [pa.array(np.full(m, kind), pa.int8()), part.column("rid"), pa.nulls(m, pa.int64()), part.column("pass"), part.column("size"), part.column("key"), part.column("vector")]
-                yield from pa.Table.from_arrays(cols, schema=_near_schema(t)).to_batches()
-
-
-def _near_schema(t: pa.Table) -> pa.Schema:
-    return pa.schema([("kind", pa.int8()), ("a", pa.int64()), ("b", pa.int64()), ("pass", pa.int32()), ("size", pa.int32()), ("key", pa.int64()), ("vector", t.schema.field("vector").type)])
-
-
-def _borders(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Rows (pass, size, border, side, key, rid, vector), sorted: pairs across a partition's border."""
-    for t in _runs(batches, 3):
+                    planes[p, d] = np.random.default_rng([seed, p, int(d)]).standard_normal((int(d), BITS))[:, :bits]
+                cell = ((x @ planes[p, d]) > 0) @ weight
+                cols = {"pass": pa.array(np.full(len(x), p), pa.int32()), "size": part.column(1), "cell": pa.array(cell, pa.int64())}
+                yield pa.RecordBatch.from_pydict(cols | ({"rid": part.column(0), "vector": part.column(2)} if carry else {}))
+
+
+def _bits(distinct: DataFrame, total: int, threshold: float, miss: float, seed: int) -> int:
+    """The prefix length whose passes and cells cost least, by the cells of the first pass at each length."""
+    least = max(0, math.ceil(math.log2(max(total, 1) / WINDOW)) - 2)
+    lengths = [*range(least, min(BITS, least + 21) + 1, 3)]
+    keyed = distinct.select("rid", "size", "vector").mapInArrow(lambda it: _keys(it, 0, 1, BITS, seed, carry=False), "pass int, size int, cell long")
+    cut = keyed.select("size", F.explode(F.array(*map(F.lit, lengths))).alias("bits"), "cell").withColumn("cell", F.expr(f"shiftright(cell, {BITS} - bits)"))
+    c = F.col("n").cast("double")
+    cost = F.sum(c * c + ROW * c * F.ceil(c / BLOCK))
+    costs = {r["bits"]: r["cost"] for r in cut.groupBy("size", "bits", "cell").agg(F.count(F.lit(1)).alias("n")).groupBy("bits").agg(cost.alias("cost")).collect()}
+    return min(lengths, key=lambda b: costs[b] * passes_for(total, threshold, miss, b))
+
+
+def _linked(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Rows (pass, size, cell, i, j, block, rid, vector), sorted: forests of the pairs of each cell of blocks."""
+    for t in _runs(batches, 5):
         if not t.num_rows:
             continue
-        rid, side = t.column("rid").to_numpy(), t.column("side").to_numpy()
-        for a, b in _groups(t, 3):
+        rid, block = t.column("rid").to_numpy(), t.column("block").to_numpy()
+        i, j = t.column("i").to_numpy(), t.column("j").to_numpy()
+        left, right = [], []
+        for a, b in _groups(t, 5):
+            if b - a < 2:
+                continue
             x = _unit(t.column("vector").slice(a, b - a).combine_chunks())
-            u, v = np.nonzero(side[a:b] == 0)[0], np.nonzero(side[a:b] == 1)[0]
-            i, j = np.nonzero(x[u] @ x[v].T >= threshold)
-            ok = (len(u) - i) + j <= WINDOW
-            root = fold(u[i[ok]], v[j[ok]], b - a)
+            u, v = np.nonzero(block[a:b] == i[a])[0], np.nonzero(block[a:b] == j[a])[0]
+            p, q = np.nonzero(x[u] @ x[v].T >= threshold)
+            root = fold(u[p], v[q], b - a)
             leaf = np.nonzero(root != np.arange(b - a))[0]
-            yield pa.RecordBatch.from_arrays([pa.array(rid[a:b][root[leaf]]), pa.array(rid[a:b][leaf])], names=["a", "b"])
+            left.append(rid[a + root[leaf]])
+            right.append(rid[a + leaf])
+        if left:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
 
 
 def _counts(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
@@ -151,6 +131,12 @@ def _counts(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_rid)), pa.array(np.concatenate(out_n).astype(np.int64))], names=["rid", "links"])
 
 
+def _against(rows: DataFrame) -> DataFrame:
+    """A row for each pair of blocks (i, j) that the row's block is in, of as many `blocks` as it has."""
+    placed = rows.withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
+    return placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+
+
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, miss: float = 1e-3, seed: int = 5) -> DataFrame:
     """One row per vector: id, n_links, component_id, kept."""
     spark = vectors.sparkSession
@@ -164,33 +150,23 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     distinct = store(same.select(F.col("best.row").alias("rid"), "min_id", "copies", F.size("vector").alias("size"), "vector"))
     total = distinct.count()
     edges: DataFrame | None = None
-    needed = passes_for(total, threshold, miss)
+    bits = _bits(distinct, total, threshold, miss, seed) if total > 1 else 0
+    needed = passes_for(total, threshold, miss, bits)
     for first in range(0, needed if total > 1 else 0, TOGETHER):
         count = min(TOGETHER, needed - first)
-        keyed = distinct.select("rid", "size", "vector").mapInArrow(lambda it, f=first, c=count: _keys(it, f, c, seed), distinct.select(F.lit(0).alias("pass"), F.lit(0).cast("long").alias("key"), "rid", "size", "vector").schema)
-        dealt = keyed.select("pass", "size", "key", "rid", "vector").repartitionByRange(n, "pass", "size", "key", "rid").sortWithinPartitions("pass", "size", "key", "rid")
-        kinds = distinct.select(F.lit(0).cast("byte").alias("kind"), F.col("rid").alias("a"), F.col("rid").alias("b"), F.lit(0).alias("pass"), "size", F.col("rid").alias("key"), "vector").schema
-        for f in kinds.fields:
-            f.nullable = True
-        found = store(dealt.mapInArrow(lambda it: _near(it, threshold), kinds).withColumn("part", F.spark_partition_id()))
-        ends = found.where("kind > 0")
-        # the last window of a partition meets the first window of the next one of the same pass
-        parts = ends.select("pass", "size", "part").distinct()
-        order = F.row_number().over(_by("pass", "size").orderBy("part"))
-        numbered = parts.withColumn("nth", order)
-        borders = ends.join(F.broadcast(numbered), ["pass", "size", "part"]).select(
-            "pass", "size", (F.col("nth") - F.when(F.col("kind") == 1, 1).otherwise(0)).alias("border"), F.when(F.col("kind") == 2, 0).otherwise(1).alias("side"), "key", F.col("a").alias("rid"), "vector"
-        )
-        across = borders.repartition(n, "pass", "size", "border").sortWithinPartitions("pass", "size", "border", "side", "key", "rid").mapInArrow(lambda it: _borders(it, threshold), "a long, b long")
-        these = found.where("kind = 0").select("a", "b").unionByName(across)
+        keyed = lambda schema, carry, f=first, c=count: distinct.select("rid", "size", "vector").mapInArrow(lambda it: _keys(it, f, c, bits, seed, carry), schema)
+        at = ["pass", "size", "cell"]
+        large = keyed("pass int, size int, cell long", False).groupBy(*at).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+        rows_at = keyed("pass int, size int, cell long, rid long, vector array<double>", True).join(F.broadcast(large), at, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        dealt = _against(rows_at).select(*at, "i", "j", "block", "rid", "vector").repartition(n, *at, "i", "j").sortWithinPartitions(*at, "i", "j", "rid")
+        these = store(dealt.mapInArrow(lambda it: _linked(it, threshold), "a long, b long").distinct())
         edges = these if edges is None else edges.unionByName(these)
     if edges is None:
         edges = spark.createDataFrame([], "a long, b long")
     comp = connected_components(edges).withColumnRenamed("node", "rid")
     members = store(distinct.join(comp, "rid").select("rid", "component", "copies", "min_id", "vector"))
     sizes = members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    placed = members.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
-    cells = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rid", "copies", "vector")
+    cells = _against(members.join(sizes, "component")).select("component", "i", "j", "block", "rid", "copies", "vector")
     cells = cells.repartition(n, "component", "i", "j").sortWithinPartitions("component", "i", "j", "rid")
     linked = cells.mapInArrow(lambda it: _counts(it, threshold), "rid long, links long").groupBy("rid").agg(F.sum("links").alias("links"))
     least = members.groupBy("component").agg(F.min("min_id").alias("component_min"))
@@ -201,11 +177,5 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _by(*cols: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*cols)
-
-
 def query(spark, sf_dir: str) -> DataFrame:
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
