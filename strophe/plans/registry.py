@@ -603,7 +603,7 @@ def chunk_evaluation(t):
     from strophe.plans.composites import chunk_evaluation as evaluate
 
     c = t("conversations")
-    said = F.when(F.col("role") == "user", F.concat(F.lit("[Verse][desc:"), F.substring(F.regexp_replace("text", r"[\[\]]", ""), 1, 40), F.lit("]"))).otherwise(tokens.audio_text(F.sequence(F.lit(0), F.length("text"))))
+    said = F.when(F.col("role") == "user", F.concat(F.lit("[Verse][desc:"), F.regexp_replace("text", r"[\[\]]", ""), F.lit("]"))).otherwise(tokens.audio_text(F.sequence(F.lit(0), F.length("text"))))
     return evaluate(c.select(F.lit("chat.jsonl").alias("file"), F.col("conv_id").alias("song_idx"), "turn", "role", said.alias("text"))).drop("text")
 
 

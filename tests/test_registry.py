@@ -46,6 +46,12 @@ def test_query(spark, duck, name):
         assert got == rows(want.columns, want.fetchall())
 
 
+def test_chunk_evaluation_keeps_whole_prompts(spark):
+    said = {r.text.replace("[", "").replace("]", "").strip() for r in spark.read.parquet(f"{SF}/conversations.parquet").where("role = 'user'").collect()}
+    got = {r.text_prompt for r in QUERIES["chunk_evaluation"](spark, SF).collect()}
+    assert got <= said and max(map(len, got)) > 40
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
