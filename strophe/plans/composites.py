@@ -9,9 +9,9 @@ from strophe.functions import lrc, text, tokens
 from strophe.operators import dedup, models, ordered, phonemes, relational, report
 
 
-def metadata(raw: DataFrame, limit: int = 1000, lo: float = 120, hi: float = 360, langs: list[str] | None = None) -> DataFrame:
-    """The first files by place, of a fitting length, in wanted languages, with style tags."""
-    kept = relational.filter_length(relational.first_rows(raw, limit), lo, hi)
+def metadata(raw: DataFrame, limit: int | None = None, lo: float = 120, hi: float = 360, langs: list[str] | None = None) -> DataFrame:
+    """Files of a fitting length, in wanted languages, with style tags; with a limit, of the first by place."""
+    kept = relational.filter_length(raw if limit is None or limit < 0 else relational.first_rows(raw, limit), lo, hi)
     if langs is not None:
         asr = models.batch_map(kept, "path", "__asr", "string", models.load_asr)
         kept = relational.filter_lang(asr.withColumn("lang", text.asr_sentences(F.col("__asr"))[0]["lang"]), langs).drop("__asr")

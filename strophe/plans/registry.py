@@ -586,7 +586,7 @@ def metadata_pipeline(t):
     from strophe.plans.composites import metadata
 
     raw = t("pages").select(F.col("page_id").alias("row_idx"), F.col("url").alias("path"), (F.length("html") / 20).alias("duration"))
-    return metadata(raw, limit=1000, lo=20, hi=360)
+    return metadata(raw, lo=20, hi=360)
 
 
 @query()

@@ -52,6 +52,12 @@ def test_chunk_evaluation_keeps_whole_prompts(spark):
     assert got <= said and max(map(len, got)) > 40
 
 
+def test_metadata_pipeline_takes_all_pages(spark, tmp_path):
+    pages = spark.range(1500).selectExpr("id AS page_id", "concat('u', id) AS url", "repeat('x', 1000) AS html")
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+    assert QUERIES["metadata_pipeline"](spark, str(tmp_path)).count() == 1500
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
