@@ -8,6 +8,8 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,11 +21,13 @@ _LOWER_AND_SPACE = bytes(_LOWER_AZ[_TO_SPACE[b]] for b in range(256))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a local one of our own only where it is unset, as in tests."""
+    """The folder of spark.checkpoint.dir; a local one of our own only where it is unset on a local master, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="strophe-")
         spark.sparkContext.setCheckpointDir(base)
     return base
@@ -92,6 +96,64 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_LOWER_AND_SPACE).split() if text else []
 
 
+#: Words of at most so many bytes are hashed together; bytes of text hashed at a time.
+_SHORT, _CHUNK = 64, 1 << 16
+_BYTE = np.random.default_rng(71).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTE[32] = 0
+_PLACE = np.random.default_rng(72).integers(0, 1 << 63, _SHORT, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_LOWER_TABLE = np.frombuffer(_LOWER_AND_SPACE, dtype=np.uint8)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Each 64-bit value with its bits spread over all others."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words (as `words` gives them) of all texts, one after another, and how many each text has.
+
+    Works on the column's own bytes. A short word's hash is the sum over its bytes of a random number for
+    the byte times one for its place, then mixed; a longer word's is xxhash64. Null texts have no words.
+    """
+    texts = pc.fill_null(texts, "") if texts.null_count else texts
+    texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
+    if not len(texts):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    _, offsets, data = texts.buffers()
+    wide = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    ends = np.frombuffer(offsets, dtype=wide)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    low = _LOWER_TABLE[np.frombuffer(data, dtype=np.uint8)[ends[0] : ends[-1]]] if data is not None and ends[-1] > ends[0] else np.zeros(0, np.uint8)
+    ends = ends - ends[0]
+    opens = low != 32
+    shut = ~opens
+    opens[1:] &= shut[:-1]
+    at = ends[1:-1]
+    at = at[at < len(low)]
+    opens[at] = ~shut[at]  # a word never goes on over a text's end
+    starts = np.nonzero(opens)[0]
+    of_text = np.searchsorted(starts, ends)
+    out = np.empty(len(starts), dtype=np.uint64)
+    nexts = np.append(starts[1:], len(low))
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(starts, starts[i] + _CHUNK)))
+        wide_to = np.minimum(nexts[i:j], starts[i:j] + _SHORT)
+        span = wide_to - starts[i:j]
+        first = np.cumsum(span) - span
+        place = np.arange(int(span.sum())) - np.repeat(first, span)
+        b = low[place + np.repeat(starts[i:j], span)]
+        out[i:j] = np.add.reduceat(_BYTE[b] * _PLACE[place], first)
+        i = j
+    long = np.nonzero((nexts - starts > _SHORT) & (starts + _SHORT < len(low)))[0]
+    for k in long:
+        if not shut[starts[k] + _SHORT - 1] and not shut[starts[k] + _SHORT]:
+            word = low[starts[k] : nexts[k]].tobytes()
+            out[k] = xxhash.xxh64_intdigest(word.rstrip(b" "))
+    return mixed(out), np.diff(of_text)
+
+
 def fold(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
     """Components of n nodes under the edges (i, j): for each node the smallest node reachable.
 

@@ -19,4 +19,5 @@ QUERIES = {
 
 ORACLES = {
     "op6_exact_dedup": exact_dedup.ORACLE,
+    "op10_minhash_dedup": minhash_dedup.ORACLE,
 }
