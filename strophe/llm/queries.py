@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op5_lm_scoring": lm_scoring.ORACLE,
     "op6_exact_dedup": exact_dedup.ORACLE,
     "op10_minhash_dedup": minhash_dedup.ORACLE,
 }

@@ -19,12 +19,14 @@ def docs(spark, rows):
     return spark.createDataFrame([(i, t, lang, "s", 1, "x", 2, 3, 4) for i, t, lang in rows], EXTRA).repartition(5)
 
 
-def test_lm_scores_match_brute_force(spark):
+@pytest.mark.parametrize("sizes", [{}, {"block_tokens": 200, "blocks_per_shard": 1, "fan": 3}])
+def test_lm_scores_match_brute_force(spark, sizes):
     r = random.Random(3)
     vocab = [f"w{i}" for i in range(30)]
     rows = [(i, " ".join(r.choice(vocab[: r.choice([3, 30])]) for _ in range(r.randint(0, 40))), "en") for i in range(200)]
     rows += [(500, None, "en"), (501, "", "en"), (502, "zzz W1 w2\t w3", "en"), (502, "zzz W1 w2\t w3", "en"), (None, "w1 w2", "en")]
-    got = lm_scoring.lm_scores(docs(spark, rows), learn=crc_mod("doc_id", 7) != 2).collect()
+    rows += [(503, "w1 w2 w3 " * 20_000, "en")]
+    got = lm_scoring.lm_scores(docs(spark, rows), learn=crc_mod("doc_id", 7) != 2, **sizes).collect()
     tokens = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()), "</s>"]
     counts = collections.Counter()
     for i, t, _ in rows:
