@@ -40,9 +40,9 @@ from pyspark.sql import functions as F
 from strophe.llm.common import crc_mod, cut, hashed_words, in_step, mixed, partitions, store
 
 #: Tokens of a block; a longer document makes a block of its own.
-BLOCK_TOKENS = 1_000_000
+BLOCK_TOKENS = 1 << 19
 #: Blocks' worth of n-grams that one shard sums; shards that one block or group sends to.
-BLOCKS_PER_SHARD, FAN = 8, 4096
+BLOCKS_PER_SHARD, FAN = 16, 4096
 #: Characters of text whose blocks one task holds the messages of.
 TASK_CHARS = 64 << 20
 

@@ -81,39 +81,95 @@ def test_pack_places_every_token_once(spark):
     assert [p for p, _, _ in pieces] == list(range(len(pieces))) and all(s == 1024 * p for p, s, _ in pieces)
 
 
-def test_shortages_go_to_siblings_before_ancestors():
+def share_out(budget, weights, most):
+    given, left = [0.0] * len(weights), budget
+    open_ = [i for i, w in enumerate(weights) if w > 0 and most[i] > 0]
+    while open_ and left > 0:
+        unit = left / sum(weights[i] for i in open_)
+        full = [i for i in open_ if weights[i] * unit >= most[i]]
+        for i in full or open_:
+            given[i] = most[i] if full else weights[i] * unit
+            left -= most[i] if full else 0
+        open_ = [i for i in open_ if i not in full] if full else []
+    return given
+
+
+def plain_budgets(tokens, weights, budget, epochs):
+    """Budgets by a walk down the tree, for comparison."""
+    weight = lambda node: weights.get(node, 1.0)
+    able = lambda leaf: all(weight(leaf[:d]) > 0 for d in range(1, len(leaf) + 1))
+    below = lambda node: sorted({leaf[: len(node) + 1] for leaf in tokens if leaf[: len(node)] == node and len(leaf) > len(node)})
+    most = lambda node: sum(n * epochs for leaf, n in tokens.items() if leaf[: len(node)] == node and able(leaf))
+    out, todo = {}, [((), min(budget, most(())))]
+    while todo:
+        node, has = todo.pop()
+        if node in tokens:
+            out[node] = int(has + 1e-6)
+            continue
+        nodes = below(node)
+        todo += zip(nodes, share_out(has, [weight(c) for c in nodes], [most(c) for c in nodes]), strict=True)
+    return out
+
+
+LEVELS = ["__strophe_domain", "__strophe_lang", "__strophe_source"]
+
+
+def budgets(spark, tokens, weights, share, epochs):
+    df = spark.createDataFrame([(*k, n) for k, n in tokens.items()], ", ".join(f"{c} string" for c in LEVELS) + ", tokens long")
+    return {tuple(r[:3]): r.budget for r in mixing.leaf_budgets(df, LEVELS, weights, share, epochs).collect()}
+
+
+def test_shortages_go_to_siblings_before_ancestors(spark):
     tokens = {("a", "x", "1"): 100, ("a", "y", "2"): 1000, ("b", "x", "3"): 1000}
-    got = mixing.leaf_budgets(tokens, {}, 1000, 1)
-    assert got == {("a", "x", "1"): 100, ("a", "y", "2"): 400, ("b", "x", "3"): 500}
-    got = mixing.leaf_budgets(tokens, {("a",): 9.0}, 2000, 1)
-    assert got == {("a", "x", "1"): 100, ("a", "y", "2"): 1000, ("b", "x", "3"): 900}
-    assert sum(mixing.leaf_budgets(tokens, {}, 10**6, 2).values()) == 4200
-    assert mixing.leaf_budgets(tokens, {("b",): 0.0}, 10**6, 1)[("b", "x", "3")] == 0
-    assert mixing.leaf_budgets({}, {}, 5, 1) == {}
+    assert budgets(spark, tokens, {}, 1000 / 2100, 1) == {("a", "x", "1"): 100, ("a", "y", "2"): 400, ("b", "x", "3"): 500}
+    assert budgets(spark, tokens, {("a",): 9.0}, 2000 / 2100, 1) == {("a", "x", "1"): 100, ("a", "y", "2"): 1000, ("b", "x", "3"): 900}
+    assert sum(budgets(spark, tokens, {}, 10**6, 2).values()) == 4200
+    assert budgets(spark, tokens, {("b",): 0.0}, 10**6, 1)[("b", "x", "3")] == 0
+
+
+def test_budgets_match_a_walk_down_the_tree(spark):
+    r = random.Random(12)
+    for _ in range(4):
+        tokens = {(f"d{r.randrange(3)}", r.choice(["en", "de", "unknown"]), f"s{i}"): r.choice([0, 1, 7, 500, 10_000]) for i in range(25)}
+        weights = {("d0",): r.choice([0.0, 2.0]), ("d1", "en"): 5.0, ("d1", "de"): 0.0, ("d2", "en", "s3"): 9.0}
+        share, epochs = r.choice([0.01, 0.5, 1.3, 9.0]), r.choice([1, 2])
+        want = plain_budgets(tokens, weights, share * sum(tokens.values()), epochs)
+        got = budgets(spark, tokens, weights, share, epochs)
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) <= 1 for k in want)
+
+
+WEIGHTED = {("web",): 3.0, ("books", "en"): 2.0}
+
+
+def drawn(df, **options):
+    return collections.Counter((g.doc_id, g.domain, g.lang, g.source, g.n_tokens, g.epoch) for g in mixing.mix(df, weights=WEIGHTED, **options).collect())
 
 
 @pytest.mark.parametrize("share", [0.05, 0.6, 5.0])
 def test_mix_fills_leaves_with_epochs_and_a_prefix(spark, share):
     df = docs(spark)
-    got = mixing.mix(df, budget_share=share, weights={("web",): 3.0, ("books", "en"): 2.0}).collect()
-    counted = with_token_counts(df, "n").withColumn("d", mixing.domain_of_source(F.coalesce("source", F.lit("unknown")))).collect()
+    keyed = df.withColumn("key", F.xxhash64("doc_id", "text", F.col("doc_id").isNull()))
     leaves = collections.defaultdict(list)
-    for r in counted:
-        leaves[(r.d, r.lang or "unknown", r.source or "unknown")].append(r.n + 1)
-    budget = mixing.leaf_budgets({k: sum(v) for k, v in leaves.items()}, {("web",): 3.0, ("books", "en"): 2.0}, share * sum(map(sum, leaves.values())), 2)
-    taken, docs_in = collections.Counter(), collections.defaultdict(collections.Counter)
-    for g in got:
-        leaf = (g.domain, g.lang, g.source)
-        taken[leaf] += g.n_tokens
-        docs_in[leaf][g.epoch] += 1
-    for leaf, lengths in leaves.items():
-        assert taken[leaf] <= budget[leaf]
-        full = budget[leaf] // sum(lengths)
-        assert all(docs_in[leaf][e] == len(lengths) for e in range(full))
-        # the prefix ends at the first document that would pass the budget
-        assert budget[leaf] - taken[leaf] < max(lengths) or taken[leaf] == 2 * sum(lengths)
-    again = mixing.mix(df, budget_share=share, weights={("web",): 3.0, ("books", "en"): 2.0})
-    assert collections.Counter((g.doc_id, g.epoch) for g in again.collect()) == collections.Counter((g.doc_id, g.epoch) for g in got)
+    for r in with_token_counts(keyed, "n").withColumn("d", mixing.domain_of_source(F.coalesce("source", F.lit("unknown")))).collect():
+        leaves[(r.d, r.lang or "unknown", r.source or "unknown")].append((r.doc_id, r.n + 1, r.key))
+    budget = plain_budgets({k: sum(x[1] for x in v) for k, v in leaves.items()}, WEIGHTED, share * sum(x[1] for v in leaves.values() for x in v), 2)
+    want = collections.Counter()
+    for leaf, rows in leaves.items():
+        full, rest = divmod(budget[leaf], sum(x[1] for x in rows))
+        place = {k: p for k, p in spark.createDataFrame([(x[2],) for x in rows], "k long").select("k", F.xxhash64(F.lit(17), F.lit(full).cast("long"), "k")).collect()}
+        taken = 0
+        for i, (doc, n, key) in enumerate(sorted(rows, key=lambda x: (place[x[2]] % 2**64, x[2]))):
+            taken += n
+            for epoch in range(full + (taken <= rest)):
+                want[(doc, *leaf, n, epoch)] += 1
+    assert drawn(df, budget_share=share) == want
+
+
+def test_mix_draws_the_same_however_rows_lie(spark):
+    df = docs(spark)
+    want = drawn(df, budget_share=0.4)
+    for other in (df.coalesce(1), df.repartition(7, "doc_id"), df.repartition(211), df.orderBy(F.rand(3))):
+        assert drawn(other, budget_share=0.4) == want
 
 
 def test_mix_rows_and_empty_tables(spark):
