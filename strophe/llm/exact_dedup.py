@@ -5,15 +5,17 @@ null counts as the empty text. Documents are split by successive bytes, from the
 
 1. within each task, a radix recursion over bounded buffers collapses copies, so that a text that a
    third of all rows share leaves a task once per buffer and no group is ever gathered;
-2. over the cluster, one count by the leading digit shows which prefixes hold more than a task's
-   share; only those (at most twice the number of partitions at a level, so their list is
-   bounded) are split by the next, four times longer digit, until they are small or have ended;
+2. over the cluster, one sum of bytes by the leading digit shows which prefixes hold more than a leaf
+   may; only those are split by the next, four times longer digit, until every leaf is small or its
+   texts have ended. A leaf's bound is fixed, and grows only where the list of prefixes that are split
+   would pass MAX_NODES, so neither a task's memory nor the driver's list follows the data;
 3. documents with the same leaf meet in one partition, where the recursion goes on byte by byte to
    the end of the texts. No digest decides equality; a hash of the leaf only picks the partition.
 
 Results for special cases: empty and null texts are one group; repeated rows (same id, same text)
 stay separate rows of one group, of which one is kept; a null id is never smaller than another;
-an empty table gives an empty result; extra columns don't matter, whatever their names.
+an empty table gives an empty result; extra columns may have any names that don't begin with
+`__strophe`; very long texts differ or equal by their whole length.
 """
 
 from __future__ import annotations
@@ -35,7 +37,9 @@ from strophe.llm.common import partitions, squeezed, store
 FIRST_DIGIT = 64
 #: Bytes of text that a task holds before it collapses copies and lets the rest go.
 BUFFER_BYTES = 32 << 20
-RID, REP, ROWS, BODY = "__strophe_rid", "__strophe_rep", "__strophe_rows", "__strophe_body"
+#: Bytes of text that a leaf holds; prefixes of one level that the driver lists (8 bytes each).
+LEAF_BYTES, MAX_NODES = 32 << 20, 1_000_000
+RID, REP, ROWS, NODE, SIZE = "__strophe_rid", "__strophe_rep", "__strophe_rows", "__strophe_node", "__strophe_size"
 _LAST = 1 << 63
 
 
@@ -64,7 +68,7 @@ def _level(depth: int) -> tuple[int, int]:
 
 
 def _collapse(batches: Iterator[pa.RecordBatch], id_col: str, text_col: str, names: list[str], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Input rows with RID, the row of the same task's buffer that stands for them, and its group's size."""
+    """Input rows with RID, the row of the same task's buffer that stands for them, its group's size, first digit and bytes."""
     key = TaskContext.get().partitionId() << 36
     held: list[pa.RecordBatch] = []
     bodies: list[bytes] = []
@@ -87,7 +91,7 @@ def _collapse(batches: Iterator[pa.RecordBatch], id_col: str, text_col: str, nam
             if name == text_col:  # only the row that stands for its copies goes on with its text
                 c = pa.array([t if r else None for t, r in zip(c.to_pylist(), rows, strict=True)], type=c.type)
             cols.append(c)
-        cols += [pa.array(range(key, key + n), pa.int64()), pa.array(rep, pa.int64()), pa.array(rows, pa.int64())]
+        cols += [pa.array(c, pa.int64()) for c in (range(key, key + n), rep, rows, [_node(b, 0, 0) for b in bodies], map(len, bodies))]
         out = pa.Table.from_arrays(cols, schema=schema)
         key, held, bodies, size = key + n, [], [], 0
         return out.to_batches(max_chunksize=4096)
@@ -107,39 +111,57 @@ def _collapse(batches: Iterator[pa.RecordBatch], id_col: str, text_col: str, nam
         yield from flush()
 
 
-def _heavy(reps: DataFrame, text_col: str, share: float) -> list[dict[tuple[int, bytes], int]]:
-    """The trie of prefixes that hold more than their share of rows: for each depth, (node, digit) to node."""
-    spark = reps.sparkSession
-    body = F.encode(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), "[\\x20\\x09-\\x0D]+", " "), "UTF-8")
-    total = reps.count()
-    levels: list[dict[tuple[int, bytes], int]] = []
-    most = max(1000.0, total * share)
-    todo, nodes = reps.select(F.lit(0).alias("node"), body.alias("body")), 1
-    while True:
-        first, width = _level(len(levels))
-        digit = F.substring(F.col("body"), first + 1, width)
-        counted = todo.groupBy("node", digit.alias("digit")).count().where((F.col("count") > most) & (F.length("digit") == width))
-        found = [(r.node, bytes(r.digit)) for r in counted.select("node", "digit").collect()]
-        if not found:
-            return levels
-        levels.append({k: nodes + i for i, k in enumerate(sorted(found))})
-        nodes += len(found)
-        schema = T.StructType([T.StructField("node", T.IntegerType()), T.StructField("digit", T.BinaryType()), T.StructField("next", T.IntegerType())])
-        trie = F.broadcast(spark.createDataFrame([(a, b, c) for (a, b), c in levels[-1].items()], schema))
-        todo = todo.withColumn("digit", digit).join(trie, ["node", "digit"]).select(F.col("next").alias("node"), "body")
+def _node(body: bytes, depth: int, parent: int) -> int:
+    """The trie node of a body's prefix up to the digit at a depth, below the node of the digits before."""
+    first, width = _level(depth)
+    return xxhash.xxh64_intdigest(body[first : first + width], seed=parent % (1 << 64)) - _LAST
+
 
+def _leaf(body: bytes, heavy: list[set[int]]) -> int:
+    """The node at which a body stops: the first that isn't heavy, or in which it has ended."""
+    node, depth = _node(body, 0, 0), 0
+    while depth < len(heavy) and node in heavy[depth] and len(body) > sum(_level(depth)):
+        depth += 1
+        node = _node(body, depth, node)
+    return node
 
-def _leaf(body: bytes, levels: list[dict[tuple[int, bytes], int]]) -> int:
-    node, depth = 0, 0
+
+def _heavy(reps: DataFrame, text_col: str, leaf_bytes: int) -> list[list[int]]:
+    """For each depth the nodes that hold more bytes than a leaf may, of texts that go on after the digit."""
+    total = reps.agg(F.sum(SIZE)).first()[0] or 0
+    most = max(leaf_bytes, total // MAX_NODES)
+    heavy: list[list[int]] = []
+    at = reps.select(F.col(NODE).alias("node"), F.col(SIZE).alias("size"))
     while True:
-        first, width = _level(depth)
-        piece = body[first : first + width]
-        if depth == len(levels) or (node, piece) not in levels[depth]:
-            return xxhash.xxh64_intdigest(piece, seed=node) - _LAST
-        node, depth = levels[depth][node, piece], depth + 1
+        sums = at.where(F.col("size") > sum(_level(len(heavy)))).groupBy("node").agg(F.sum("size").alias("bytes"))
+        found = [r.node for r in sums.where(F.col("bytes") > most).select("node").collect()]  # MAX_NODES at most
+        if not found:
+            return heavy
+        heavy.append(found)
+        first = reps.sparkSession.createDataFrame([(x,) for x in heavy[0]], f"{NODE} long")
+        deeper = reps.select(NODE, text_col).join(first, NODE, "left_semi").select(text_col)
+        at = deeper.mapInArrow(lambda it, h=list(heavy): _nodes(it, h), "node long, size long")
 
 
-def _placed(batches: Iterator[pa.RecordBatch], levels) -> Iterator[pa.RecordBatch]:
+def _nodes(batches: Iterator[pa.RecordBatch], heavy: list[list[int]]) -> Iterator[pa.RecordBatch]:
+    """Texts to their nodes one level below the heavy ones, without those that stop above."""
+    sets = [set(x) for x in heavy]
+    for b in batches:
+        node, size = [], []
+        for t in b.column(0).to_pylist():
+            body, depth = squeezed(t), 0
+            x = _node(body, 0, 0)
+            while depth < len(sets) and x in sets[depth] and len(body) > sum(_level(depth)):
+                depth += 1
+                x = _node(body, depth, x)
+            if depth == len(sets):
+                node.append(x)
+                size.append(len(body))
+        yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(size, pa.int64())], names=["node", "size"])
+
+
+def _placed(batches: Iterator[pa.RecordBatch], levels: list[list[int]]) -> Iterator[pa.RecordBatch]:
+    levels = [set(x) for x in levels]
     for b in batches:
         bodies = [squeezed(t) for t in b.column(3).to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(bodies, pa.binary()), pa.array([_leaf(x, levels) for x in bodies], pa.int64())], schema=_PLACED)
@@ -200,14 +222,14 @@ def _groups(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
     """All rows with RID and REP (a stored table), and for each REP its group's kept row, id, size and digest."""
     spark = docs.sparkSession
     names = docs.columns
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, T.LongType()) for n in (RID, REP, ROWS))])
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, T.LongType()) for n in (RID, REP, ROWS, NODE, SIZE))])
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(schema)
     rows = store(docs.mapInArrow(lambda it: _collapse(it, id_col, text_col, names, arrow), schema))
     n = partitions(spark)
     reps = rows.where(F.col(ROWS) > 0)
-    levels = spark.sparkContext.broadcast(_heavy(reps.select(text_col), text_col, 1 / (2 * n)))
+    levels = spark.sparkContext.broadcast(_heavy(reps, text_col, LEAF_BYTES))
     placed = reps.select(RID, F.col(id_col).cast("long").alias("id"), ROWS, F.col(text_col)).mapInArrow(lambda it: _placed(it, levels.value), "rid long, id long, rows long, body binary, leaf long")
     groups = placed.repartition(n, "leaf").sortWithinPartitions("leaf").mapInArrow(_settle, f"{REP} long, keep_rid long, keep_id long, group_size long, text_sha256 string")
     return rows, groups

@@ -8,11 +8,13 @@ forward-backward recursion gives each word's marginals; their mean over all word
 share of each language, the largest share is the prediction and its value the score.
 
 The field is fitted by gradient ascent of the regularised log-likelihood on a bounded sample:
-`per_language` learning rows of each language, those with the smallest seeded hash of their id.
-Whole texts are labelled. Recursions run over all words of a batch in step, longest text first.
+`per_language` learning rows of each language, those with the smallest seeded hash of id and text, of
+`sample_chars` characters together at most (a longer text is never learned from).
+Whole texts are labelled, however long. Recursions run over all words of a batch in step, longest text first.
 
 Special cases: null texts and texts without a letter give `und` with score 0; a text with letters but
-no languages to learn gives `und` too; ties go to the language that sorts first; rows repeat freely.
+no languages to learn gives `und` too; ties go to the language that sorts first; rows and ids repeat
+freely; an empty table gives no rows; extra columns may have any names but those that `carry` adds.
 """
 
 from __future__ import annotations
@@ -23,10 +25,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strophe.llm.common import crc_mod, in_step
+from strophe.llm.common import crc_mod, in_step, store
 
 TRIGRAMS, AFFIXES, LEXICON = 1 << 18, 1 << 16, 1 << 17
 #: Bytes of text whose words are labelled together; a longer text makes a batch of its own.
@@ -128,6 +130,8 @@ def fit(texts: list[str], labels: list[str], rounds: int = 12, rate: float = 0.3
     tables = [(f.trigram, w.trigram, chars), (f.prefix, w.prefix, slice(None)), (f.suffix, w.suffix, slice(None)), (f.lexicon, w.lexicon, slice(None))]
     rare = np.bincount(w.lexicon, minlength=LEXICON) < 3  # the lexicon is the words met at least three times
     squares = [np.full(t.shape, 1e-3, np.float32) for t, _, _ in tables] + [np.full((n, n), 1e-3)]
+    opens = (np.cumsum(w.per_text) - w.per_text)[w.per_text > 0]
+    opening, square = np.bincount(gold[opens], minlength=n), np.full(n, 1e-3)
     same = np.zeros((n, n))
     np.add.at(same, (gold[1:], gold[1:]), (np.repeat(np.arange(len(w.per_text)), w.per_text)[1:] == np.repeat(np.arange(len(w.per_text)), w.per_text)[:-1]).astype(float))
     for _ in range(rounds):
@@ -143,38 +147,60 @@ def fit(texts: list[str], labels: list[str], rounds: int = 12, rate: float = 0.3
         g = (same - expected) / len(gold) - 0.02 * f.transition
         squares[-1] += g**2
         f.transition += rate * g / np.sqrt(squares[-1])
+        g = (opening - marginals[opens].sum(axis=0)) / max(1, len(opens)) - 0.02 * f.initial
+        square += g**2
+        f.initial += rate * g / np.sqrt(square)
     return f
 
 
-def _sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, learn, per_language: int, seed: int) -> tuple[list[str], list[str]]:
+def _learnable(docs: DataFrame, text_col: str, lang_col: str, learn) -> DataFrame:
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    rows = rows if learn is None else rows.where(learn)
-    keyed = rows.select(F.col(lang_col).alias("lang"), F.xxhash64(id_col, F.lit(seed)).alias("h"))
-    bounds: list[tuple[str, int]] = []
-    for r in keyed.groupBy("lang").count().orderBy("lang").collect():  # one row for each language
-        ends = keyed.where(F.col("lang") == r.lang).orderBy("h").limit(per_language).agg(F.max("h")).first()[0]
-        bounds.append((r.lang, ends))
-    near = None
-    for lang, end in bounds:
-        c = (F.col(lang_col) == lang) & (F.xxhash64(id_col, F.lit(seed)) <= end)
-        near = c if near is None else near | c
-    if near is None:
-        return [], []
-    got = rows.where(near).select(lang_col, text_col, F.xxhash64(id_col, F.lit(seed)).alias("h")).orderBy("h", lang_col, text_col).limit(per_language * len(bounds)).collect()
-    return [r[1] for r in got], [r[0] for r in got]
+    return rows if learn is None else rows.where(learn)
+
+
+def can_learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", learn=None) -> bool:
+    """Whether any row has a text and a language to learn from."""
+    return not _learnable(docs, text_col, lang_col, learn).select(lang_col).limit(1).isEmpty()
+
+
+def _sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, learn, per_language: int, chars: int, seed: int) -> tuple[list[str], list[str]]:
+    """Of each language the `per_language` rows of the smallest seeded hash, as far as their texts stay within `chars`.
+
+    Two scans for any number of languages: one counts rows by language, one reads the rows whose hash lies
+    under a bound that about twice as many pass (all, in a small language) and keeps the smallest by
+    partition, then by language.
+    """
+    rows = _learnable(docs, text_col, lang_col, learn)
+    rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col, F.lit(seed)).alias("h")).where(F.length("text") <= chars)
+    counts = store(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))  # a row for each language
+    order = Window.partitionBy("lang").orderBy("h", "text")
+
+    def smallest(some: DataFrame) -> list:
+        some = some.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_language)
+        return some.withColumn("upto", F.sum(F.length("text")).over(order)).where(F.col("upto") <= chars).orderBy("h", "lang", "text").collect()
+
+    share = 2.0 * per_language / F.col("n")
+    under = F.when(share >= 0.5, F.lit((1 << 63) - 1)).otherwise((share * 2.0**64 - 2.0**63).cast("long"))
+    got = smallest(rows.join(counts.withColumn("under", under), "lang").where(F.col("h") <= F.col("under")).select("lang", "text", "h"))
+    # a language of rows that are all alike may lie above its bound as a whole
+    lost = [r.lang for r in counts.select("lang").collect() if r.lang not in {x.lang for x in got}]
+    if lost:
+        got += smallest(rows.where(F.col("lang").isin(*lost)))
+    return [r.text for r in got], [r.lang for r in got]
 
 
 def detect_language(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", learn=None, per_language: int = 250, seed: int = 11, carry: bool = False,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", learn=None, per_language: int = 250, sample_chars: int = 4_000_000, seed: int = 11, carry: bool = False,
 ) -> DataFrame:
     """Predictions for every row: id, lang_pred, score; with carry, all columns, __strophe_lang, __strophe_score.
 
-    learn: predicate for rows whose text and language may be learned from.
+    learn: predicate for rows whose text and language may be learned from; per_language, sample_chars: rows
+    and characters of a language that the field is fitted on at most.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-    field = fit(*_sample(docs, id_col, text_col, lang_col, learn, per_language, seed))
+    field = fit(*_sample(docs, id_col, text_col, lang_col, learn, per_language, sample_chars, seed))
     shared = docs.sparkSession.sparkContext.broadcast(field)
     rows = docs if carry else docs.select(id_col, text_col)
     out = [f for f in rows.schema.fields if carry or f.name != text_col]

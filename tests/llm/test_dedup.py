@@ -67,14 +67,26 @@ def test_exact_dedup(spark, monkeypatch, buffer):
         assert {r.keep_id for r in rs} == {keep} and {r.group_size for r in rs} == {len(ids)} and sum(r.kept for r in rs) == 1
 
 
-def test_heavy_prefixes_are_split(spark):
+def test_heavy_prefixes_are_split(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "LEAF_BYTES", 1 << 20)
     rows = [(i, "p" * 700 + str(i % 50)) for i in range(5000)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    levels = exact_dedup._heavy(df, "text", 1 / 8)
-    assert len(levels) >= 2 and all(len(x) <= 8 for x in levels)
-    assert len({exact_dedup._leaf(t.encode(), levels) for _, t in rows}) == 50
-    got = exact_dedup.exact_dedup(df)
-    assert got.where("kept").count() == 50 and got.select("group_size").distinct().collect()[0][0] == 100
+    # long texts under one header that differ at their ends only
+    rows += [(10_000 + i, "header " * 3000 + f"{i % 900:06d}" + "tail" * 100) for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    found = []
+    heavy = exact_dedup._heavy
+
+    def seen(*args):
+        found.append(heavy(*args))
+        return found[-1]
+
+    monkeypatch.setattr(exact_dedup, "_heavy", seen)
+    got = exact_dedup.exact_dedup(df).collect()
+    sets, leaves = [set(x) for x in found[0]], {}
+    for t in {t for _, t in rows}:
+        leaves[x] = leaves.get(x := exact_dedup._leaf(t.encode(), sets), 0) + len(t)
+    assert len(sets) == 4 and max(leaves.values()) <= 1 << 20
+    assert sum(r.kept for r in got) == 950 and {r.group_size for r in got if r.doc_id < 10_000} == {100} and {r.group_size for r in got if r.doc_id >= 10_000} == {1, 2}
 
 
 def test_exact_rows_keep_columns(spark):
