@@ -138,7 +138,7 @@ def _heavy(reps: DataFrame, text_col: str, leaf_bytes: int) -> list[list[int]]:
         if not found:
             return heavy
         heavy.append(found)
-        first = reps.sparkSession.createDataFrame([(x,) for x in heavy[0]], f"{NODE} long")
+        first = F.broadcast(reps.sparkSession.createDataFrame([(x,) for x in heavy[0]], f"{NODE} long"))  # MAX_NODES at most
         deeper = reps.select(NODE, text_col).join(first, NODE, "left_semi").select(text_col)
         at = deeper.mapInArrow(lambda it, h=list(heavy): _nodes(it, h), "node long, size long")
 
@@ -244,7 +244,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def exact_dedup_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with all their columns: of each group the one with the smallest id."""
     rows, groups = _groups(docs, id_col, text_col)
-    gone = groups.where(F.col(REP) != F.col("keep_rid")).select(F.col(REP).alias(RID))
+    # ids are stored before they meet texts, so that the planner knows how many bytes it would broadcast
+    gone = store(groups.where(F.col(REP) != F.col("keep_rid")).select(F.col(REP).alias(RID)))
     return rows.where(F.col(RID) == F.col(REP)).join(gone, RID, "left_anti").select(*docs.columns)
 
 

@@ -395,7 +395,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def near_dedup_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """The rows that stay, with all their columns: one of each component, and all without shingles."""
     rows, settled = _classes(docs, id_col, text_col, k, percent)
-    gone = settled.where(F.col(REP) != F.col("kept_rid")).select(F.col(REP).alias(RID))
+    gone = store(settled.where(F.col(REP) != F.col("kept_rid")).select(F.col(REP).alias(RID)))
     return rows.where(F.col(RID) == F.col(REP)).join(gone, RID, "left_anti").select(*docs.columns)
 
 
