@@ -14,7 +14,8 @@ which counts the links of each vector without writing them.
 
 Cosines are in double precision. Special cases: vectors that are null, zero, or hold null or
 non-finite components link with nothing; vectors of different lengths don't link; repeated ids are
-vectors of their own; an empty table gives an empty result.
+vectors of their own; at a cosine of exactly the threshold a pair links; rows of equal keys are compared
+whatever their order; extra columns may have any names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,13 +27,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strophe.llm.common import fold, partitions, store
 from strophe.llm.components import connected_components
 from strophe.llm.minhash_dedup import _groups, _runs
 
 #: Vectors of a cell that evenly spread vectors aim at; bits of a key; vectors of a cell or component that one block holds.
-WINDOW, BITS, BLOCK = 256, 62, 1024
+WINDOW, BITS, BLOCK = 256, 62, 4096
+#: Rows of a block whose products are formed at once.
+TILE = 512
 #: Passes that one shuffle sorts.
 TOGETHER = 8
 #: Comparisons that cost about as much as one more row that a pass moves. It chooses between equal results.
@@ -53,7 +57,7 @@ def _unit(values: pa.Array) -> np.ndarray:
     if not len(values):
         return np.zeros((0, 1))
     values = values.combine_chunks() if isinstance(values, pa.ChunkedArray) else values
-    x = values.flatten().to_numpy(zero_copy_only=False).reshape(len(values), -1)
+    x = values.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(values), -1)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -86,6 +90,17 @@ def _bits(distinct: DataFrame, total: int, threshold: float, miss: float, seed:
     return min(lengths, key=lambda b: costs[b] * passes_for(total, threshold, miss, b))
 
 
+def _tiles(u: np.ndarray, v: np.ndarray, x: np.ndarray, same: bool, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pieces of the links between rows u and rows v of x: rows, rows, and whether each pair links. Within one block
+    every pair comes once."""
+    for at in range(0, len(u), TILE):
+        left, right = u[at : at + TILE], v[at:] if same else v
+        near = x[left] @ x[right].T >= threshold
+        if same:
+            near = np.triu(near, 1)
+        yield left, right, near
+
+
 def _linked(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     """Rows (pass, size, cell, i, j, block, rid, vector), sorted: forests of the pairs of each cell of blocks."""
     for t in _runs(batches, 5):
@@ -99,8 +114,11 @@ def _linked(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
                 continue
             x = _unit(t.column("vector").slice(a, b - a).combine_chunks())
             u, v = np.nonzero(block[a:b] == i[a])[0], np.nonzero(block[a:b] == j[a])[0]
-            p, q = np.nonzero(x[u] @ x[v].T >= threshold)
-            root = fold(u[p], v[q], b - a)
+            root = np.arange(b - a)
+            for part, other, near in _tiles(u, v, x, i[a] == j[a], threshold):
+                p, q = np.nonzero(near)
+                if len(p):  # what the tiles before have joined stays joined
+                    root = fold(np.concatenate([part[p], root]), np.concatenate([other[q], np.arange(b - a)]), b - a)
             leaf = np.nonzero(root != np.arange(b - a))[0]
             left.append(rid[a + root[leaf]])
             right.append(rid[a + leaf])
@@ -115,20 +133,14 @@ def _counts(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
             continue
         rid, block, copies = (t.column(c).to_numpy() for c in ("rid", "block", "copies"))
         i, j = t.column(1).to_numpy(), t.column(2).to_numpy()
-        out_rid, out_n = [], []
+        links = np.zeros(t.num_rows, dtype=np.int64)
         for a, b in _groups(t, 3):
             x = _unit(t.column("vector").slice(a, b - a).combine_chunks())
             u, v = np.nonzero(block[a:b] == i[a])[0], np.nonzero(block[a:b] == j[a])[0]
-            near = x[u] @ x[v].T >= threshold
-            if i[a] == j[a]:
-                near[np.arange(len(u)), np.arange(len(u))] = False
-                near &= near.T
-            out_rid.append(rid[a + u])
-            out_n.append(near @ copies[a + v])
-            if i[a] != j[a]:
-                out_rid.append(rid[a + v])
-                out_n.append(near.T @ copies[a + u])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_rid)), pa.array(np.concatenate(out_n).astype(np.int64))], names=["rid", "links"])
+            for part, other, near in _tiles(u, v, x, i[a] == j[a], threshold):
+                links[a + part] += near @ copies[a + other]
+                links[a + other] += near.T @ copies[a + part]
+        yield pa.RecordBatch.from_arrays([t.column("rid").combine_chunks(), pa.array(links)], names=["rid", "links"])
 
 
 def _against(rows: DataFrame) -> DataFrame:
@@ -137,11 +149,13 @@ def _against(rows: DataFrame) -> DataFrame:
     return placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
 
 
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, miss: float = 1e-3, seed: int = 5) -> DataFrame:
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, miss: float = 1e-4, seed: int = 5) -> DataFrame:
     """One row per vector: id, n_links, component_id, kept."""
     spark = vectors.sparkSession
     n = partitions(spark)
-    v = F.transform(F.col(vector_col), lambda x: x.cast("double"))
+    # single-precision vectors are stored and moved as they are, and widened where they are compared
+    kind = "float" if vectors.schema[vector_col].dataType == T.ArrayType(T.FloatType(), vectors.schema[vector_col].dataType.containsNull) else "double"
+    v = F.col(vector_col).cast(f"array<{kind}>")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
     rows = store(vectors.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), F.when(F.coalesce(finite, F.lit(False)), v).alias("vector")))
     good = rows.where(F.col("vector").isNotNull())
@@ -157,7 +171,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         keyed = lambda schema, carry, f=first, c=count: distinct.select("rid", "size", "vector").mapInArrow(lambda it: _keys(it, f, c, bits, seed, carry), schema)
         at = ["pass", "size", "cell"]
         large = keyed("pass int, size int, cell long", False).groupBy(*at).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
-        rows_at = keyed("pass int, size int, cell long, rid long, vector array<double>", True).join(F.broadcast(large), at, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        rows_at = keyed(f"pass int, size int, cell long, rid long, vector array<{kind}>", True).join(F.broadcast(large), at, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         dealt = _against(rows_at).select(*at, "i", "j", "block", "rid", "vector").repartition(n, *at, "i", "j").sortWithinPartitions(*at, "i", "j", "rid")
         these = store(dealt.mapInArrow(lambda it: _linked(it, threshold), "a long, b long").distinct())
         edges = these if edges is None else edges.unionByName(these)
@@ -179,3 +193,13 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
 def query(spark, sf_dir: str) -> DataFrame:
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+#: All pairs and reachability: for small tables of finite vectors.
+ORACLE = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+e AS (SELECT a.vec_id AS i, b.vec_id AS j FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.x, b.x) >= 0.9),
+r AS (SELECT vec_id AS n, vec_id AS c FROM v UNION SELECT e.j, r.c FROM r JOIN e ON e.i = r.n),
+l AS (SELECT i, count(*) AS n_links FROM e GROUP BY 1)
+SELECT vec_id, coalesce(any_value(n_links), 0) AS n_links, min(c) AS component_id, vec_id = min(c) AS kept FROM v JOIN r ON n = vec_id LEFT JOIN l ON i = vec_id GROUP BY vec_id
+"""

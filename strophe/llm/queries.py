@@ -9,6 +9,7 @@ QUERIES = {
     "op2_language": langid.query,
     "op3_embedding_dedup": embedding_dedup.query,
     "op4_token_counts": token_counts.query,
+    "op3_embedding_dedup": embedding_dedup.ORACLE,
     "op5_lm_scoring": lm_scoring.query,
     "op6_exact_dedup": exact_dedup.query,
     "op7_packing": packing.query,
@@ -18,6 +19,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_embedding_dedup": embedding_dedup.ORACLE,
     "op5_lm_scoring": lm_scoring.ORACLE,
     "op6_exact_dedup": exact_dedup.ORACLE,
     "op10_minhash_dedup": minhash_dedup.ORACLE,

@@ -5,7 +5,7 @@ import re
 import numpy as np
 import pytest
 
-from strophe.llm import exact_dedup, minhash_dedup
+from strophe.llm import embedding_dedup, exact_dedup, minhash_dedup
 from strophe.llm.components import connected_components
 from strophe.llm.embedding_dedup import near_vectors, passes_for
 
@@ -165,7 +165,9 @@ def test_components_distributed_rounds(spark):
         assert got == {x: find(x) for x in linked}
 
 
-def test_near_vectors(spark):
+@pytest.mark.parametrize("block", [8, embedding_dedup.BLOCK])
+def test_near_vectors(spark, monkeypatch, block):
+    monkeypatch.setattr(embedding_dedup, "BLOCK", block)
     r = np.random.default_rng(5)
     x = r.standard_normal((120, 16))
     x[40:60] = x[39] + 0.1 * r.standard_normal((20, 16))
@@ -198,7 +200,7 @@ def linked(x, threshold=0.9):
 
 
 def test_near_vectors_in_a_dense_group(spark):
-    """3,000 pairs at cosine 0.905 inside a group of cosine about 0.75: each is missed with 0.001 at most."""
+    """3,000 pairs at cosine 0.905 inside a group of cosine about 0.75: each is missed with 0.0001 at most."""
     r = np.random.default_rng(8)
     unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
     n, group, pairs = 9000, 8000, 3000
@@ -211,7 +213,7 @@ def test_near_vectors_in_a_dense_group(spark):
     assert (links[:pairs] >= 1).all()
     got = {g.vec_id: g for g in near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)).collect()}
     wrong = [i for i in range(n) if (got[i].n_links, got[i].component_id, got[i].kept) != (links[i], comp[i], comp[i] == i)]
-    assert len(wrong) <= 16, len(wrong)
+    assert len(wrong) <= 4, len(wrong)
 
 
 @pytest.mark.parametrize("f", [lambda d: exact_dedup.exact_dedup(d), lambda d: exact_dedup.exact_dedup_rows(d), lambda d: minhash_dedup.near_dedup(d), lambda d: minhash_dedup.near_dedup_rows(d)])
