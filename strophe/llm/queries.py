@@ -9,7 +9,6 @@ QUERIES = {
     "op2_language": langid.query,
     "op3_embedding_dedup": embedding_dedup.query,
     "op4_token_counts": token_counts.query,
-    "op3_embedding_dedup": embedding_dedup.ORACLE,
     "op5_lm_scoring": lm_scoring.query,
     "op6_exact_dedup": exact_dedup.query,
     "op7_packing": packing.query,
