@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from strophe.llm import langid, licenses, lm_scoring, quality, token_counts
@@ -137,21 +138,69 @@ def test_exact_neighbours_whatever_the_block():
         assert np.allclose(m.score(counts[150:], 8, 4.0, block), want, atol=1e-5)
 
 
-def test_license_families(spark):
+#: Wordings that the classifier wasn't fitted on.
+HELD_OUT = [
+    ("mit", "This project is distributed under the terms of the MIT license."), ("mit", "The code is available under the MIT License, see LICENSE."),
+    ("apache", "This library is licensed under the Apache License 2.0."), ("apache", "Distributed under the Apache License, Version 2.0; see the file."),
+    ("gpl", "This package is free software under the GNU General Public License, version 2 or later."), ("lgpl", "It is licensed under the GNU Lesser General Public License, version 3 or any later one."),
+    ("agpl", "The server is licensed under the GNU Affero General Public License, version 3."), ("bsd", "This code is released under the BSD 3-Clause License."),
+    ("cc-by", "This article is licensed under a Creative Commons Attribution 4.0 International License."), ("cc-by-nc", "This image is licensed under CC BY-NC 4.0 by its author."),
+    ("cc-by-sa", "Text of this page is available under the Creative Commons Attribution-ShareAlike License."), ("cc0", "The data set is released under CC0 1.0 Universal."),
+    ("mpl", "The add-on is licensed under the Mozilla Public License, version 2.0."), ("proprietary", "Copyright 2020. All rights reserved."),
+    ("unknown", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
+    ("unknown", "This program and the accompanying materials are made available under the Eclipse Public License v2.0."), ("unknown", "The library is licensed under the zlib License."),
+    ("none", "He lost his license on the way to the general store."), ("none", "The public library has a copy of the version."), ("none", "Warranty claims are handled by the shop."),
+    ("none", "The software is free and everyone may use it at work."), ("none", "Reading this book was a pleasure, and the author deserves thanks for the permission to quote."),
+]
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a
+copy of this software and associated documentation files (the "Software"),
+to deal in the Software without restriction, including without limitation
+the rights to use, copy, modify, merge, publish, distribute, sublicense,
+and/or sell copies of the Software, and to permit persons to whom the
+Software is furnished to do so, subject to the following conditions:"""
+
+
+def plain_scan(text, least=0.5, overlap=0.6):
+    """The scan in plain Python."""
+    families, weights, bias, temperature = licenses.fit()
+    found = collections.defaultdict(list)
+    for paragraph in regex.split(licenses.BREAK, text or ""):
+        grams = set(licenses.features(paragraph))
+        if not grams & weights.keys():
+            continue
+        z = (sum((np.round(weights[g], 9) for g in grams & weights.keys()), np.zeros(len(families))) + bias) / temperature
+        p = np.exp(z - z.max())
+        p /= p.sum()
+        best = families[int(p[:-2].argmax())]
+        share = max(len(grams & set(licenses.features(t))) / len(set(licenses.features(t))) for t in licenses.TEMPLATES[best])
+        if 1 - p[-1] >= least:
+            sure = p[:-2].max() >= least and share >= overlap
+            found[best if sure else "unknown"].append(p[:-2].max() if sure else 1 - p[-1])
+    if not found:
+        return "none", 0.0, 0, 0, []
+    family = min(found, key=lambda f: (f == "unknown", -len(found[f]), f))
+    return family, round(max(found[family]), 6), len(found[family]), sum(map(len, found.values())), sorted(found)
+
+
+def test_license_scan_matches_plain_python(spark):
     filler = "Anat with by of nteres.\nThe lorem driver of the public house."
-    rows, want = [], {}
-    for n, (family, notices) in enumerate(sorted(licenses.TEMPLATES.items())):
-        for m, t in enumerate(notices):
-            want[100 * n + m] = family
-            rows.append((100 * n + m, f"{filler}\n{t}\n{filler}", "en"))
-    rows += [(9000, None, "en"), (9001, "", "en"), (9002, filler, "en"), (9003, "He lost his license on the way to the general store.", "en"), (9004, "Released under the MIT License.\nReleased under the MIT License.\nLicensed under CC BY-NC 4.0.", "en"), (9005, "-- licensed under the apache license, version 2.0 --", "en")]
-    got = {g.doc_id: g for g in licenses.scan_licenses(docs(spark, rows)).collect()}
-    assert len(got) == len(rows)
-    wrong = [(i, f, got[i].family) for i, f in want.items() if got[i].family != f]
-    assert not wrong, wrong
-    assert all(got[i].family == "none" and got[i].confidence == 0 and got[i].n_licensed == 0 for i in range(9000, 9004))
-    assert got[9004].family == "mit" and got[9004].n_paragraphs == 2 and got[9004].n_licensed == 3 and got[9004].families == ["cc-by-nc", "mit"]
-    assert got[9005].family == "apache"
+    prose = "Here stands much more prose than notice, and it goes on for a good while before the point comes, " * 2
+    texts = [None, "", filler, MIT, f"{filler}\n\n{MIT}\n\n{filler}", f"{prose}and this work is licensed under the GNU General Public License, version 3. {prose}", "-- licensed under the apache license, version 2.0 --"]
+    texts += ["Released under the MIT License.\nReleased under the MIT License.\nLicensed under CC BY-NC 4.0.", "# SPDX-License-Identifier: MIT\nimport this", "-mit-", "license " * 50_000, filler * 20_000 + "\nLicensed under the MIT License."]
+    texts += [t for _, t in HELD_OUT] + [f"{filler}\n{t}\n{filler}" for ts in licenses.TEMPLATES.values() for t in ts] + [texts[3]]
+    rows = [(i // 2, t, "en") for i, t in enumerate(texts)]  # ids repeat
+    got = sorted((g.doc_id, g.family, round(g.confidence, 6), g.n_paragraphs, g.n_licensed, g.families) for g in licenses.scan_licenses(docs(spark, rows)).collect())
+    want = sorted((i, *plain_scan(t)) for i, t, _ in rows)
+    assert [(*g[:2], *g[3:]) for g in got] == [(*w[:2], *w[3:]) for w in want]
+    assert all(abs(g[2] - w[2]) < 1e-5 for g, w in zip(got, want, strict=True))
+
+
+def test_license_families_of_wordings_not_trained_on():
+    assert [(f, t) for f, t in HELD_OUT if plain_scan(t)[0] != f] == []
+    assert {t for _, t in HELD_OUT}.isdisjoint({*licenses.OTHERS, *licenses.EVERYDAY, *(t for ts in licenses.TEMPLATES.values() for t in ts)})
+    assert plain_scan(MIT)[0::2][:2] == ("mit", 1)  # wrapped lines are one paragraph
+    bsd = "1. Redistributions of source code must retain the above copyright\n   notice, this list of conditions and the following disclaimer."
+    assert plain_scan(bsd)[0] == "bsd" and plain_scan(bsd)[2] == 1
 
 
 @pytest.mark.parametrize("f", [
