@@ -64,37 +64,32 @@ def segments(words: DataFrame, song: str, pos: str = "pos") -> DataFrame:
 
 
 def strict_segments(words: DataFrame, song: str, pos: str = "pos") -> DataFrame:
-    """W03 with the quirks kept: an invalid label emits the open segment and leaves it open, the last word is
-    appended once more, and the segment open at the end is not emitted by itself."""
+    """W03 as its users have it, quirks included, over the segments that valid labels open.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        done: list[dict] = []
-        now: dict | None = None
-        word, end = "", 0.0
-        for r in pdf.sort_values(pos).itertuples():
-            end = r.endS
-            if not r.success:
-                continue
-            word, label = r.word, ""
-            if word.startswith("["):
-                if now is not None:
-                    done.append(now)
-                close = word.find("]")
-                label = word[1:close]
-                bare = label.strip()
-                if not bare or len(bare) > 30 or (":" in label and "." in label):
-                    label = ""
-            if label:
-                now = {"label": label, "start": float(r.startS), "end": 0.0, "word": word[close + 2 :]}
-            elif now is not None:
-                now["end"], now["word"] = float(r.endS), now["word"] + word
-        if now is not None:
-            now["end"], now["word"] = float(end), now["word"] + word
-        rows = [(pdf[song].iloc[0], i, s["label"], s["start"], s["end"], s["word"]) for i, s in enumerate(done)]
-        return pd.DataFrame(rows, columns=[song, "seg", "label", "start", "end", "word"])
-
-    kind = dict(words.dtypes)[song]
-    return words.groupBy(song).applyInPandas(run, f"{song} {kind}, seg long, label string, start double, end double, word string")
+    A segment comes out once for every bracketed word after its opening one, as far as the next valid label,
+    and always in its final state; the one still open at the song's end therefore only if an invalid label
+    followed it. That one ends where the song's last word ends, spoken or not, and repeats its last word.
+    """
+    w = Window.partitionBy(song).orderBy(pos)
+    inside = F.regexp_extract("word", r"(?s)^\[(.*?)(?:\]|.\z)", 1)  # without a closing bracket, all but the last character
+    bracket = F.col("word").startswith("[")
+    after = F.when(F.instr("word", "]") > 0, F.instr("word", "]") + 2).otherwise(F.lit(2))
+    ok = words.where("success").withColumns({"__bracket": bracket, "__label": F.when(bracket & valid_label(inside), inside)})
+    ok = ok.withColumns({"__seg": F.count("__label").over(w), "__text": F.when(F.col("__label").isNotNull(), F.substring(F.col("word"), after, F.length("word"))).otherwise(F.col("word"))}).where("__seg > 0")
+    spoken = F.when(F.col("__label").isNull(), F.col(pos))
+    parts = ok.groupBy(song, "__seg").agg(
+        F.max("__label").alias("label"), F.min_by("startS", pos).alias("start"), F.coalesce(F.max_by("endS", spoken), F.lit(0.0)).alias("__end"), F.max_by("word", pos).alias("__last"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(pos, "__text"))), lambda x: x["__text"]), "").alias("__said"), F.count_if(F.col("__bracket") & F.col("__label").isNull()).alias("__times"),
+    )
+    open_ = F.lead("__seg").over(Window.partitionBy(song).orderBy("__seg")).isNull()
+    parts = parts.withColumn("__open", open_).join(words.groupBy(song).agg(F.max_by("endS", pos).alias("__stop")), song)
+    times = F.col("__times") + F.when(F.col("__open"), 0).otherwise(1)
+    out = parts.where(times > 0).select(
+        song, "__seg", F.explode(F.sequence(F.lit(1).cast("long"), times)).alias("__nth"), "label", "start",
+        F.when(F.col("__open"), F.col("__stop")).otherwise(F.col("__end")).alias("end"), F.when(F.col("__open"), F.concat("__said", "__last")).otherwise(F.col("__said")).alias("word"),
+    )
+    place = F.row_number().over(Window.partitionBy(song).orderBy("__seg", "__nth")).cast("long") - 1
+    return out.select(song, place.alias("seg"), "label", "start", "end", "word")
 
 
 def parsed_lyrics(lines: DataFrame, song: str, pos: str = "pos", start: str = "start_s", line: str = "text") -> DataFrame:

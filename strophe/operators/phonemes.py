@@ -87,14 +87,38 @@ def equal_length(ref: Column, hyp: Column) -> tuple[Column, Column]:
     return F.substring(ref, F.lit(1), n), F.substring(hyp, F.lit(1), n)
 
 
+#: Symbols that one byte each can stand for, and that one character of the basic plane each can.
+ONE_BYTE, ONE_CHARACTER = 95, 0xFFFF - 0x4DFF - 0x800
+
+
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def list_distance(a: Column, b: Column) -> Column:
-    """Edit distance of lists: each pair's distinct elements become one character each."""
-    symbols = F.array_distinct(F.concat(a, b))
-    code = lambda x: F.decode(F.unhex(F.lpad(F.hex(F.array_position(symbols, x) + 0x4DFF), 4, "0")), "UTF-16BE")
-    line = lambda c: F.array_join(F.transform(c, code), "")
-    return F.levenshtein(line(a), line(b))
+    """Edit distance of lists: each pair's distinct elements become one character each.
+
+    Up to ONE_BYTE symbols are ASCII characters, for which distances are fastest; more are characters of the basic plane
+    without its surrogates; a pair of more than ONE_CHARACTER symbols raises.
+    """
+
+    def distance(p: Column) -> Column:
+        n = F.size(p["s"])
+
+        def code(x: Column) -> Column:
+            at = F.array_position(p["s"], x)
+            wide = F.decode(F.unhex(F.lpad(F.hex(at + F.when(at + 0x4DFF < 0xD800, 0x4DFF).otherwise(0x4DFF + 0x800)), 4, "0")), "UTF-16BE")
+            return F.when(n <= ONE_BYTE, F.char(at + 31)).when(n <= ONE_CHARACTER, wide).otherwise(F.raise_error(F.lit("too many distinct elements to compare lists")).cast("string"))
+
+        line = lambda c: F.array_join(F.transform(c, code), "")
+        return F.levenshtein(line(p["a"]), line(p["b"]))
+
+    both = F.struct(a.alias("a"), b.alias("b"))
+    return _bound(both, lambda q: _bound(F.struct(q["a"].alias("a"), q["b"].alias("b"), F.array_distinct(F.concat(q["a"], q["b"])).alias("s")), distance))
 
 
 def phoneme_error_rate(ref: Column, hyp: Column) -> Column:
     """Distance by reference length; of an empty reference 1 if anything was heard, else 0."""
-    return F.when(F.size(ref) == 0, F.when(F.size(hyp) > 0, 1.0).otherwise(0.0)).otherwise(list_distance(ref, hyp) / F.size(ref))
+    rate = lambda p: F.when(F.size(p["r"]) == 0, F.when(F.size(p["h"]) > 0, 1.0).otherwise(0.0)).otherwise(list_distance(p["r"], p["h"]) / F.size(p["r"]))
+    return _bound(F.struct(ref.alias("r"), hyp.alias("h")), rate)

@@ -227,12 +227,15 @@ def language_vote(sentences: DataFrame, key: str, least_words: int = 5, least_se
 
 def lyric_language(lines: Column, word_limit: int = 3, val_limit: int = 5) -> Column:
     """Zh, en, ez (both), nan or instrument of a song's lines; both limits are strict."""
-    bare = F.transform(F.filter(lines, lambda x: strip(x) != "<nop>"), lambda x: F.regexp_replace(x, LYRIC_SYMBOLS, " "))
-    nan = lambda x: count_other(x) > word_limit
-    n_nan = F.size(F.filter(bare, nan))
-    n_zh = F.size(F.filter(bare, lambda x: ~nan(x) & (count_cjk(x) > word_limit)))
-    n_en = F.size(F.filter(bare, lambda x: ~nan(x) & (F.size(F.split(F.regexp_replace(x, "[一-鿿]+", ""), " ", -1)) > word_limit)))
-    return F.when(n_nan > val_limit, "nan").when((n_zh > val_limit) & (n_en > val_limit), "ez").when(n_zh > val_limit, "zh").when(n_en > val_limit, "en").otherwise("instrument")
+    one = lambda v: F.transform(F.array(v), lambda x: F.struct(
+        count_other(x).alias("other"), count_cjk(x).alias("cjk"), F.size(F.split(F.regexp_replace(x, "[一-鿿]+", ""), " ", -1)).alias("parts")))[0]
+    counted = F.transform(F.filter(lines, lambda x: strip(x) != "<nop>"), lambda x: one(F.regexp_replace(x, LYRIC_SYMBOLS, " ")))
+    add = lambda a, c: F.struct(
+        (a["nan"] + F.when(c["other"] > word_limit, 1).otherwise(0)).alias("nan"), (a["zh"] + F.when((c["other"] <= word_limit) & (c["cjk"] > word_limit), 1).otherwise(0)).alias("zh"),
+        (a["en"] + F.when((c["other"] <= word_limit) & (c["parts"] > word_limit), 1).otherwise(0)).alias("en"))
+    some = lambda n: n > val_limit
+    name = lambda a: F.when(some(a["nan"]), "nan").when(some(a["zh"]) & some(a["en"]), "ez").when(some(a["zh"]), "zh").when(some(a["en"]), "en").otherwise("instrument")
+    return F.aggregate(counted, F.struct(F.lit(0).alias("nan"), F.lit(0).alias("zh"), F.lit(0).alias("en")), add, name)
 
 
 def mean_or(df: DataFrame, col: str, empty: float, name: str) -> DataFrame:

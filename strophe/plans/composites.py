@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strophe.functions import lrc, text, tokens
 from strophe.operators import dedup, models, ordered, phonemes, relational, report
+from strophe.shared import ranked
 
 
 def metadata(raw: DataFrame, limit: int | None = None, lo: float = 120, hi: float = 360, langs: list[str] | None = None) -> DataFrame:
@@ -36,7 +37,7 @@ def line_conversations(items: DataFrame, audio: DataFrame, intro: Column) -> Dat
     items: stem, lyric, tlyric and what `intro` needs; audio: stem, tokens. Songs without lines drop.
     """
     lines = lrc.lines_to_bracket(relational.longer_lyric(F.coalesce("lyric", F.lit("")), F.coalesce("tlyric", F.lit(""))))
-    j = items.withColumn("lines", lines).where(F.size("lines") > 0).join(audio, "stem")
+    j = items.select("*", F.explode(F.array(lines)).alias("lines")).where(F.size("lines") > 0).join(audio, "stem")  # a generator, so that lyrics are parsed once
     n = F.size("lines")
     end = lambda i: F.when(i + 1 < n, F.try_element_at("lines", (i + 2).cast("int"))["start_s"]).otherwise(F.size("tokens") / F.lit(float(tokens.RATE)))
     turn = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
@@ -111,8 +112,7 @@ def chunk_evaluation(turns: DataFrame, file: str = "file", song: str = "song_idx
     """Prompted chunks with their token counts and sample ranges, and a similarity for each."""
     t = turns.withColumn("__conv", F.concat_ws("|", file, song))
     chunks = ordered.chunk_prompts(t, "__conv")
-    flat = F.row_number().over(Window.partitionBy(file).orderBy(song, "turn")) - 1
-    counted = chunks.withColumns({"flat_index": flat, "n_tokens": F.size(text.audio_codes(F.col("text")))})
+    counted = ranked(chunks.drop("flat_index"), [song, "turn"], "flat_index", file).withColumn("n_tokens", F.size(text.audio_codes(F.col("text"))))
     total = F.sum(tokens.samples_of_tokens(F.col("n_tokens"))).over(Window.partitionBy("__conv"))
     placed = ordered.sample_offsets(counted.withColumn("total_samples", total), "__conv", "turn", F.col("n_tokens"), F.col("total_samples"))
     return models.batch_map(placed, "text_prompt", "score", "double", models.load_similarity).drop("__conv")

@@ -12,18 +12,24 @@ def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint of df."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="strophe-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="strophe-"))
     return df.checkpoint(eager=True)
 
 
-def ranked(df: DataFrame, order: str, name: str = "rank") -> DataFrame:
-    """Each row's place (from 0) in the order, without a window over all rows.
+def ranked(df: DataFrame, order: str | list[str], name: str = "rank", by: str | None = None) -> DataFrame:
+    """Each row's place (from 0) in the order, of all rows or of those of equal `by`, without a window over them.
 
     Rows go to ranges of the order, are numbered inside, and shifted by the totals of earlier ranges.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = cut(df.repartitionByRange(n, order).sortWithinPartitions(order).withColumns({"__part": F.spark_partition_id(), "__in": F.monotonically_increasing_id()}))
-    counts = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"), F.min("__in").alias("__first"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select("__part", "__first", before.alias("__before"))  # one row for each range
-    return placed.join(F.broadcast(starts), "__part").withColumn(name, F.col("__before") + F.col("__in") - F.col("__first")).drop("__part", "__in", "__first", "__before")
+    keys = [*([by] if by else []), *([order] if isinstance(order, str) else order)]
+    group = [by] if by else []
+    placed = cut(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumns({"__part": F.spark_partition_id(), "__in": F.monotonically_increasing_id()}))
+    counts = placed.groupBy("__part", *group).agg(F.count(F.lit(1)).alias("__n"), F.min("__in").alias("__first"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("__part", *group, "__first", before.alias("__before"))
+    starts = starts if by else F.broadcast(starts)  # one row for each range, or for each group in a range
+    return placed.join(starts, ["__part", *group]).withColumn(name, F.col("__before") + F.col("__in") - F.col("__first")).drop("__part", "__in", "__first", "__before")

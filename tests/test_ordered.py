@@ -42,9 +42,25 @@ def test_segments_random(spark):
 
 
 def test_strict_segments(spark):
-    rows = [(1, 0, True, "[Verse]\nla", 0.0, 1.0), (1, 1, True, "di", 1.0, 2.0), (1, 2, True, "[00:1.5]", 2.0, 3.0), (1, 3, False, "x", 3.0, 9.0)]
-    got = ordered.strict_segments(spark.createDataFrame(rows, "song int, pos int, success boolean, word string, startS double, endS double"), "song").collect()
-    assert [(g.label, g.start, g.end, g.word) for g in got] == [("Verse", 0.0, 9.0, "ladi[00:1.5][00:1.5]")]
+    schema = "song int, pos int, success boolean, word string, startS double, endS double"
+    cases = {
+        # closed by an invalid label at the song's end: once, with the last word again and the last end
+        1: ([(True, "[Verse]\nla"), (True, "di"), (True, "[00:1.5]"), (False, "x")], [("Verse", 0.0, 3.5, "ladi[00:1.5][00:1.5]")]),
+        # the next label closes; the last segment is never closed
+        2: ([(True, "la"), (True, "[A] a"), (False, "no"), (True, "b"), (True, "[B] c")], [("A", 1.0, 3.5, "ab")]),
+        # an invalid label inside brings the segment out twice, both in the final state
+        3: ([(True, "[A] a"), (True, "[ ]"), (True, "b"), (True, "[C"), (True, "[D] d")], [("A", 0.0, 2.5, "a[ ]b"), ("A", 0.0, 2.5, "a[ ]b")]),
+        4: ([(False, "[A] a"), (True, "b")], []),
+    }
+    # in case 3 `[C` without a closing bracket is a label of all but its last character, which is none
+    rows = [(k, i, ok, word, float(i), i + 0.5) for k, (words, _) in cases.items() for i, (ok, word) in enumerate(words)]
+    got = {k: [] for k in cases}
+    for g in ordered.strict_segments(spark.createDataFrame(rows, schema).repartition(3), "song").orderBy("song", "seg").collect():
+        assert g.seg == len(got[g.song])
+        got[g.song].append((g.label, g.start, g.end, g.word))
+    want = {k: v for k, (_, v) in cases.items()}
+    want[3] = [("A", 0.0, 3.5, "a[ ]b[C")] * 3
+    assert got == want
 
 
 def test_parsed_lyrics(spark):
@@ -133,6 +149,26 @@ def test_greedy_keep_is_the_first_kept_set(spark):
     assert dedup.greedy_keep(df, spark.createDataFrame([], "i long, j long")).count() == len(nodes)
 
 
+@pytest.mark.parametrize(("n", "finish"), [(5000, dedup.FINISH), (120, 25)])
+def test_greedy_keep_along_a_path(spark, n, finish):
+    edges = spark.createDataFrame([(i + 1, i) if i % 3 else (i, i + 1) for i in range(n - 1)], "i long, j long").repartition(4)
+    kept = dedup.greedy_keep(spark.range(n).withColumnRenamed("id", "vec_id"), edges, finish=finish)
+    assert sorted(r.vec_id for r in kept.collect()) == list(range(0, n, 2))
+
+
+@pytest.mark.parametrize("finish", [7, 60])
+def test_greedy_keep_in_steps(spark, finish):
+    r = random.Random(3)
+    edges = sorted({tuple(sorted(r.sample(range(60), 2))) for _ in range(150)})
+    kept = []
+    for n in range(60):
+        if not any((k, n) in edges for k in kept):
+            kept.append(n)
+    got = dedup.greedy_keep(spark.range(60).withColumnRenamed("id", "vec_id"), spark.createDataFrame(edges, "i long, j long"), finish=finish)
+    assert sorted(x.vec_id for x in got.collect()) == kept
+
+
+
 def test_similarity_edges_over_blocks(spark, monkeypatch):
     monkeypatch.setattr(dedup, "BLOCK", 16)
     r = random.Random(1)

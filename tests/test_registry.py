@@ -2,6 +2,8 @@
 
 import importlib.util
 import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -64,3 +66,9 @@ def test_entry(spark):
     assert entry.queries().keys() >= set(QUERIES) and entry.oracle_sql().keys() <= entry.queries().keys()
     assert entry.queries()["tag_counts"](spark, SF).count() > 0
     assert ("op6_exact_dedup" in entry.queries()) == (importlib.util.find_spec("strophe.llm") is not None and importlib.util.find_spec("strophe.llm.queries") is not None)
+
+
+def test_entry_without_what_the_other_part_needs():
+    hide = "import sys; sys.modules['zstandard'] = None; import __spark_entry__ as e; q = e.queries(); print(len(q), any(k.startswith('op') and k[2].isdigit() for k in q), len(e.oracle_sql()))"
+    out = subprocess.run([sys.executable, "-c", hide], cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), capture_output=True, text=True, check=True).stdout.split()
+    assert out == [str(len(QUERIES)), "False", str(len(ORACLES))]
