@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strophe.functions.text import strip
 
+#: A time stamp as lyric files write it (fixed value).
 STAMP = r"\[([0-9]{1,2}):([0-9]{1,2})(?:[.:]([0-9]{1,3}))?\]"
 
 

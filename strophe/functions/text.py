@@ -234,3 +234,24 @@ def is_ascii_punctuation(c: Column) -> Column:
 def has_cjk_punctuation(c: Column) -> Column:
     """Y03."""
     return c.rlike(r"[。，？！；：“”‘’《》〈〉【】『』—…、（）]")
+
+
+def clock_stamp(seconds: Column) -> Column:
+    """`[mm:ss.00]` of whole seconds."""
+    return F.format_string("[%02d:%02d.00]", F.floor(seconds / 60).cast("int"), F.pmod(seconds, F.lit(60)).cast("int"))
+
+
+def spoken_duration(clock: Column) -> Column:
+    """`3.15` as `3分15秒`."""
+    return F.concat(F.replace(clock, F.lit("."), F.lit("分")), F.lit("秒"))
+
+
+def clock_seconds(clock: Column) -> Column:
+    """Seconds of `m.ss`."""
+    parts = F.split(clock, r"\.")
+    return parts[0].cast("int") * 60 + parts[1].cast("int")
+
+
+def style_prelude(style: Column) -> Column:
+    """the request that opens a conversation (fixed sentences, which outputs must match)."""
+    return F.concat(F.lit("Please generate a song in the following style:"), style, F.lit(".\nNext, I will tell you the requirements and lyrics for the song fragment to be generated, section by section.\n"))

@@ -129,3 +129,24 @@ def cosine(a: Column, b: Column) -> Column:
     """M06, in double precision."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+
+
+def limited(samples: Column, threshold: float = 0.8) -> Column:
+    """Scaled down to the threshold where the peak passes it."""
+    peak = F.array_max(F.transform(samples, F.abs))
+    return F.when(peak > threshold, F.transform(samples, lambda x: x / (peak / threshold))).otherwise(samples)
+
+
+def fake_stereo(samples: Column, rate: int = SAMPLE_RATE) -> Column:
+    """The track beside itself, delayed by ten milliseconds and at 0.8 of its level; the delay is silent."""
+    delay = int(0.01 * rate)
+    late = F.transform(samples, lambda x, i: F.when(i < delay, 0.0).otherwise(F.try_element_at(samples, (i - delay + 1).cast("int")) * 0.8))
+    return F.array(samples, late)
+
+
+def cross_faded(a: Column, b: Column, overlap: int) -> Column:
+    """Two pieces joined over `overlap` samples (two at least), the first fading out linearly while the second fades in."""
+    head, tail_ = F.slice(a, F.lit(1), F.size(a) - overlap), F.slice(a, F.size(a) - overlap + 1, F.lit(overlap))
+    rise = lambda i: i / F.lit(float(overlap - 1))
+    mixed = F.transform(F.arrays_zip(tail_.alias("x"), F.slice(b, 1, overlap).alias("y")), lambda p, i: p["x"] * (1 - rise(i)) + p["y"] * rise(i))
+    return F.concat(head, mixed, F.slice(b, F.lit(overlap + 1), F.greatest(F.size(b) - overlap, F.lit(0))))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strophe.functions.text import count_cjk, count_other, file_stem, strip
+from strophe.functions.text import count_cjk, count_other, file_stem, last_number, strip
 from strophe.shared import ranked
 
 #: Symbols that become blanks before lyric languages are counted (fixed value).
@@ -207,6 +207,11 @@ def label_counts(segments: DataFrame, labels: str = "labels") -> DataFrame:
     return segments.select(F.explode(labels).alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
+def counts_by(df: DataFrame, *cols: str) -> DataFrame:
+    """Rows by value, such as normalised tags or decided languages."""
+    return df.groupBy(*cols).agg(F.count(F.lit(1)).alias("n"))
+
+
 def label_combinations(segments: DataFrame, labels: str = "labels") -> DataFrame:
     """Counts of ordered label lists; empty lists are skipped."""
     return segments.where(F.size(labels) > 0).groupBy(F.array_join(labels, " | ").alias("combo")).agg(F.count(F.lit(1)).alias("n"))
@@ -324,6 +329,33 @@ def latest(df: DataFrame, col: str, time: str) -> DataFrame:
     return df.agg(F.max_by(col, time).alias(col))
 
 
+def counters(df: DataFrame, keep: Column, *by: str) -> DataFrame:
+    """Rows in all, kept and skipped; a condition that is null skips."""
+    ok = F.coalesce(keep, F.lit(False))
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("total"), F.count_if(ok).alias("kept"), F.count_if(~ok).alias("skipped"))
+
+
+def extremes(values: Column) -> Column:
+    """The largest and smallest of a list."""
+    return F.struct(F.array_max(values).alias("max"), F.array_min(values).alias("min"))
+
+
+def fitting_files(files: DataFrame, order: str, size: str, most_bytes: int, per: int) -> DataFrame:
+    """Files in order with their number and the size up to them, as far as the first check (after each `per`
+    files) that finds more than `most_bytes`."""
+    from strophe.shared import cut
+
+    placed = cut(ranked(files, order, "__at"))
+    batches = placed.groupBy(F.floor(F.col("__at") / per).alias("__batch")).agg(F.sum(size).alias("__s"), F.count(F.lit(1)).alias("__n"))
+    upto = F.sum("__s").over(Window.orderBy("__batch"))  # a row for each check, not for each file
+    over = batches.withColumn("__upto", upto).where((F.col("__upto") > most_bytes) & (F.col("__n") == per)).agg(F.min("__batch").alias("__stop"))
+    kept = placed.join(F.broadcast(over)).where(F.col("__stop").isNull() | (F.floor(F.col("__at") / per) <= F.col("__stop")))
+    before = batches.select("__batch", (upto - F.col("__s")).alias("__before"))
+    inside = F.sum(size).over(Window.partitionBy("__batch").orderBy("__at"))
+    out = kept.withColumn("__batch", F.floor(F.col("__at") / per)).join(before, "__batch")
+    return out.withColumns({"count": F.col("__at") + 1, "total_bytes": F.col("__before") + inside}).drop("__at", "__batch", "__stop", "__before")
+
+
 # Order, limits and samples
 
 
@@ -337,6 +369,52 @@ def sort_by_index(df: DataFrame, col: str = "file_idx", missing: int = 999999) -
     return df.orderBy(F.coalesce(F.col(col), F.lit(missing)))
 
 
+def by_count(counts: DataFrame, n: str = "n", first: str | None = None) -> DataFrame:
+    """Largest counts first, ties by first appearance where it is known."""
+    return counts.orderBy(F.col(n).desc(), *([F.col(first)] if first else []))
+
+
+def sort_by_path_number(df: DataFrame, path: str = "path") -> DataFrame:
+    """By the last number in the file name, paths without one last."""
+    return df.orderBy(last_number(F.col(path)).asc_nulls_last(), path)
+
+
+def with_defaults(df: DataFrame, defaults: dict[str, object]) -> DataFrame:
+    """The named columns in order, absent or null ones by their default; lists joined by commas."""
+    kinds = dict(df.dtypes)
+
+    def one(name: str, default: object) -> Column:
+        if name not in kinds:
+            return F.lit(default).alias(name)
+        c = F.array_join(F.transform(name, lambda x: x.cast("string")), ", ") if kinds[name].startswith("array") else F.col(name)
+        return (c if default is None else F.coalesce(c, F.lit(default))).alias(name)
+
+    return df.select(*(one(k, v) for k, v in defaults.items()))
+
+
+def keys_only_left(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
+    """Key sets' difference."""
+    return left.select(*keys).distinct().join(right.select(*keys).distinct(), list(keys), "left_anti")
+
+
+def keys_in_both(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
+    """Key sets' intersection."""
+    return left.select(*keys).distinct().join(right.select(*keys).distinct(), list(keys), "left_semi")
+
+
+def target_files(songs: DataFrame, index: str = "idx", half: int = 50) -> DataFrame:
+    """The file of each song entry (from 1): the first half zh, the rest en, both numbered from 1."""
+    i = F.col(index)
+    folder = F.when(i <= half, "zh").otherwise("en")
+    return songs.withColumn("target", F.concat(folder, F.lit("/song_"), F.when(i <= half, i).otherwise(i - half).cast("string"), F.lit(".jsonl")))
+
+
+def update_targets(files: DataFrame, songs: DataFrame, prompt: str = "prompt", index: str = "idx", path: str = "path") -> DataFrame:
+    """Files with the prompt of their song entry; entries without a prompt change nothing."""
+    new = target_files(songs.where(F.coalesce(F.col(prompt) != "", F.lit(False))), index).select(F.col("target").alias(path), F.col(prompt).alias("__prompt"))
+    return files.join(new, path, "left").withColumn(prompt, F.coalesce("__prompt", prompt)).drop("__prompt")
+
+
 def _draw(key: str, seed: int) -> Column:
     return F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{seed}")))
 

@@ -72,7 +72,7 @@ def section_conversations(meta: DataFrame, desc: DataFrame, audio: DataFrame) ->
     )
     edge = lambda at, name: F.coalesce(F.when(F.lower(F.try_element_at("descs", F.lit(at))["section"]) == name, text.clean_description(F.try_element_at("descs", F.lit(at))["desc"])), F.lit(""))
     style = relational.choose_tag(F.col("song_id"), F.col("omni"), F.col("style"), F.col("omni_sim"), F.col("style_sim"))
-    intro = F.concat(F.lit("Please generate a song in the following style:"), F.coalesce(style, F.lit("")), F.lit(".\nNext, I will tell you the requirements and lyrics for the song fragment to be generated, section by section.\n[Intro][desc:"), edge(1, "intro"), F.lit("]"))
+    intro = F.concat(text.style_prelude(F.coalesce(style, F.lit(""))), F.lit("[Intro][desc:"), edge(1, "intro"), F.lit("]"))
     head = F.array(turn("user", intro), turn("assistant", piece(F.lit(0.0), F.col("__first"))))
     close = F.when(F.col("outro_s") < F.col("total_s"), F.array(turn("user", F.concat(F.lit("[Outro][desc:"), edge(-1, "outro"), F.lit("]"))), turn("assistant", piece(F.col("outro_s"), F.col("total_s")))))
     messages = F.concat(head, F.col("__body"), F.coalesce(close, F.slice(head, 1, 0)))
@@ -148,7 +148,7 @@ def evaluation_conversations(songs: DataFrame, lexicon: DataFrame) -> DataFrame:
     per = each.join(spoken.groupBy("key").agg(joined.alias("p")), "key", "left")
     tail = F.when(F.col("lines").isNotNull(), F.concat(F.lit("[lyrics:"), F.array_join("lines", "\n"), F.lit("][phoneme:"), F.coalesce("p", F.lit("")), F.lit("]"))).otherwise("")
     style = relational.choose_intro(F.col("omni1"), F.col("omni2"), F.col("omni1_sim"), F.col("omni2_sim"))
-    intro = F.concat(F.lit("Please generate a song in the following style:"), style, F.lit(".\nNext, I will tell you the requirements and lyrics for the song fragment to be generated, section by section.\n"))
+    intro = text.style_prelude(style)
     turns = per.join(songs.select("song_id", intro.alias("intro")), "song_id").withColumn("content", F.concat(F.when(F.col("sec") == 0, F.col("intro")).otherwise(""), F.lit("["), "section", F.lit("]"), "d", tail))
     turn = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
     pairs = F.transform(F.array_sort(F.collect_list(F.struct("sec", "content"))), lambda x: F.array(turn("user", x["content"]), turn("assistant", F.lit(""))))
@@ -162,3 +162,27 @@ def written_songs(prompts: DataFrame, prompt: str = "prompt") -> DataFrame:
     answered = models.batch_map(prompts, prompt, "__answer", "string", models.load_writer)
     songs = answered.withColumn("__song", F.explode(jsonx.songs(F.col("__answer")))).select(*prompts.columns, "__song.*")
     return relational.with_fields(songs, "description", "lyrics").where(lrc.is_valid(F.col("lyrics")))
+
+
+def conversation_phonemes(turns: DataFrame, conv: str, lexicon: DataFrame, with_sp: bool = True) -> DataFrame:
+    """Turns after the first that aren't the assistant's, with the phonemes of their lyrics line by line."""
+    said = relational.prompts_only(turns).withColumn("lines", text.phoneme_lyrics(F.col("text"))).where(F.col("lines").isNotNull())
+    lines = said.select(conv, "turn", F.posexplode("lines").alias("n", "line")).withColumn("k", F.concat_ws("|", conv, "turn", "n"))
+    runs = lines.select("k", F.posexplode(phonemes.language_runs(F.col("line"))).alias("pos", "r")).select("k", "pos", F.col("r.text").alias("text"))
+    spoken = lines.join(phonemes.phonemes(runs, "k", lexicon, with_sp=with_sp), "k", "left")
+    per = F.array_sort(F.collect_list(F.struct("n", F.coalesce(F.array_join("phonemes", " "), F.lit("")).alias("p"))))
+    return spoken.groupBy(conv, "turn").agg(F.array_join(F.transform(per, lambda x: x["p"]), "\n").alias("phonemes"))
+
+
+def generation_run(spark, songs: int, partitions: int = 4) -> tuple[DataFrame, DataFrame]:
+    """C11: songs submitted to the service and polled to their end, and the report over the run."""
+    from strophe.sources.services import SongSource
+
+    spark.dataSource.register(SongSource)
+    log = spark.read.format("song_service").option("songs", songs).option("partitions", partitions).load()
+    log = log.withColumns({"success": F.col("state") == "succeeded", "tracks_count": F.when(F.col("state") == "succeeded", 2).otherwise(0)})
+    report = log.agg(
+        F.count(F.lit(1)).alias("total"), F.count_if("success").alias("n_success"), F.count_if(~F.col("success")).alias("n_fail"), F.sum("tracks_count").alias("tracks"),
+        F.sum("poll_count").alias("polls"), F.avg("poll_count").alias("avg_polls"),
+    )
+    return log, report

@@ -86,10 +86,10 @@ def choose_tag(t):
     return t("orders").select("o_orderkey", relational.choose_tag(F.replace(p, F.lit("URGENT"), F.lit("cn")), p, F.col("o_orderstatus"), F.col("o_totalprice"), F.lit(100000.0)).alias("tag"))
 
 
-@query("""SELECT vec_id, list_extract(['a', 'b', 'c'], CAST(list_position([embedding[1], embedding[2], embedding[3]], list_max([embedding[1], embedding[2], embedding[3]])) AS INT)) AS descr FROM embeddings""")
+@query("""SELECT vec_id, CASE p WHEN 7 THEN '' ELSE 'd' || p END AS descr FROM (SELECT vec_id, list_position(embedding, list_max(embedding)) AS p FROM embeddings)""")
 def choose_description(t):
-    e = F.col("embedding")
-    return t("embeddings").select("vec_id", relational.choose_description(F.array(F.lit("a"), F.lit("b"), F.lit("c")), F.array(e[0], e[1], e[2])).alias("descr"))
+    descs = F.transform("embedding", lambda x, i: F.when(i == 6, "音频过短").otherwise(F.concat(F.lit("d"), (i + 1).cast("string"))))
+    return t("embeddings").select("vec_id", relational.choose_description(descs, F.col("embedding")).alias("descr"))
 
 
 @query("""WITH f AS (SELECT user_id, event_type, event_id % 3 + 1 AS stage, event_id % 4 AS k FROM events),
@@ -146,10 +146,10 @@ def offset_join(t):
     return relational.offset_join(hyp, gt, F.col("k"), 1).select("conv_id", (F.col("file_index") - F.col("conv_id") * 100000).alias("file_index"), "hyp", "ref")
 
 
-@query("""WITH a AS (SELECT item_id, text, row_number() OVER (ORDER BY item_id) AS n FROM benchmark), b AS (SELECT page_id, row_number() OVER (ORDER BY page_id) AS n FROM pages WHERE page_id % 2 = 0)
+@query("""WITH a AS (SELECT item_id, text, row_number() OVER (ORDER BY item_id) AS n FROM benchmark), b AS (SELECT page_id, row_number() OVER (ORDER BY page_id) AS n FROM pages)
 SELECT item_id, page_id FROM a JOIN b USING (n)""")
 def positional_join(t):
-    return relational.zip_in_order(t("benchmark").select("item_id"), t("pages").where("page_id % 2 = 0").select("page_id"), "item_id", "page_id").select("item_id", "page_id")
+    return relational.zip_in_order(t("benchmark").select("item_id"), t("pages").select("page_id"), "item_id", "page_id").select("item_id", "page_id")
 
 
 @query("""WITH u AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, count(*) OVER (PARTITION BY conv_id) AS c FROM conversations WHERE role = 'user'),
@@ -192,13 +192,30 @@ def lang_vote(t):
     return relational.language_vote(s, "conv_id", 5, 2)
 
 
-@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents),
-m AS (SELECT doc_id, regexp_replace(x, '[''￥·′´（），。？"!@#$%^&*()?./,=+_—— ！…《》<>0-9～※~;－・、☆｜△【】＃「」‖{}\\[\\]-]', ' ', 'g') AS x FROM l),
-c AS (SELECT doc_id, length(regexp_replace(x, '[a-zA-Z\\s]', '', 'g')) AS nan, len(string_split(x, ' ')) AS en FROM m),
-g AS (SELECT doc_id, count(*) FILTER (nan > 3) AS n_nan, count(*) FILTER (nan <= 3 AND en > 3) AS n_en FROM c GROUP BY 1)
-SELECT doc_id, CASE WHEN n_nan > 5 THEN 'nan' WHEN n_en > 5 THEN 'en' ELSE 'instrument' END AS lyric_lang FROM g""")
+_SONG_SQL = "CASE lang WHEN 'de' THEN translate(text, 'aeioun', '安恩伊欧乌嗯') WHEN 'fr' THEN CASE WHEN doc_id % 2 = 0 THEN translate(text, 'a', '安') || chr(10) || repeat('one two three four five' || chr(10), 6) || repeat('一二三四五' || chr(10), 6) ELSE text END ELSE text END"
+
+
+def _song(t) -> DataFrame:
+    more = "\n" + "one two three four five\n" * 6 + "一二三四五\n" * 6
+    said = F.when(F.col("lang") == "de", F.translate("text", "aeioun", "安恩伊欧乌嗯")).when((F.col("lang") == "fr") & (F.col("doc_id") % 2 == 0), F.concat(F.translate("text", "a", "安"), F.lit(more)))
+    return t("documents").select("doc_id", "lang", said.otherwise(F.col("text")).alias("text"))
+
+
+_LYRIC_LANG_SQL = f"""l AS (SELECT doc_id, unnest(string_split({_SONG_SQL}, chr(10))) AS x FROM documents),
+m AS (SELECT doc_id, regexp_replace(x, '[''￥·′´（），。？"!@#$%^&*()?./,=+_—— ！…《》<>0-9～※~;－・、☆｜△【】＃「」‖{{}}\\[\\]-]', ' ', 'g') AS x FROM l),
+c AS (SELECT doc_id, length(regexp_replace(x, '[\\x{{4e00}}-\\x{{9fff}}a-zA-Z\\s]', '', 'g')) AS nan, length(x) - length(regexp_replace(x, '[\\x{{4e00}}-\\x{{9fff}}]', '', 'g')) AS cjk, len(string_split(regexp_replace(x, '[\\x{{4e00}}-\\x{{9fff}}]+', '', 'g'), ' ')) AS en FROM m),
+g AS (SELECT doc_id, count(*) FILTER (nan > 3) AS n_nan, count(*) FILTER (nan <= 3 AND cjk > 3) AS n_zh, count(*) FILTER (nan <= 3 AND en > 3) AS n_en FROM c GROUP BY 1),
+decided AS (SELECT doc_id, CASE WHEN n_nan > 5 THEN 'nan' WHEN n_zh > 5 AND n_en > 5 THEN 'ez' WHEN n_zh > 5 THEN 'zh' WHEN n_en > 5 THEN 'en' ELSE 'instrument' END AS lyric_lang FROM g)"""
+
+
+@query(f"WITH {_LYRIC_LANG_SQL} SELECT doc_id, lyric_lang FROM decided")
 def lyric_lang(t):
-    return t("documents").select("doc_id", relational.lyric_language(F.split("text", "\n")).alias("lyric_lang"))
+    return _song(t).select("doc_id", relational.lyric_language(F.split("text", "\n")).alias("lyric_lang"))
+
+
+@query(f"WITH {_LYRIC_LANG_SQL} SELECT lyric_lang, count(*) AS n FROM decided GROUP BY 1")
+def lyric_lang_counts(t):
+    return relational.counts_by(_song(t).select(relational.lyric_language(F.split("text", "\n")).alias("lyric_lang")), "lyric_lang")
 
 
 @query("SELECT round(coalesce(avg(value), 1.0), 6) AS per, count(*) AS count FROM events WHERE event_type = 'no such type'")
@@ -293,10 +310,14 @@ def polyphone_accuracy(t):
     return relational.polyphone_accuracy(j).withColumn("accuracy", r6("accuracy"))
 
 
-@query("""SELECT * FROM (SELECT p_brand AS char, p_type AS reading FROM part WHERE p_type <> p_name QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey DESC) = 1)""")
+@query("""WITH n AS (SELECT p_brand AS char, p_type AS reading FROM part WHERE p_type <> p_name AND p_brand <> 'Brand#1' QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey DESC) = 1),
+o AS (SELECT DISTINCT p_brand AS char, 'old' AS reading FROM part UNION SELECT DISTINCT p_type, 'other' FROM part) SELECT * FROM n UNION ALL SELECT * FROM o WHERE char NOT IN (SELECT char FROM n)""")
 def correction_dictionary(t):
-    judged = t("part").select(F.col("p_brand").alias("char"), F.col("p_type").alias("expected"), F.col("p_name").alias("predicted"), F.col("p_partkey").alias("row_idx"))
-    return relational.corrections(judged, judged.limit(0).select("char", F.col("expected").alias("reading")))
+    p = t("part")
+    expected = F.when(F.col("p_brand") == "Brand#1", F.col("p_name")).otherwise(F.col("p_type"))  # one brand is never wrong
+    judged = p.select(F.col("p_brand").alias("char"), expected.alias("expected"), F.col("p_name").alias("predicted"), F.col("p_partkey").alias("row_idx"))
+    old = p.select(F.col("p_brand").alias("char"), F.lit("old").alias("reading")).union(p.select("p_type", F.lit("other"))).distinct()
+    return relational.corrections(judged, old)
 
 
 @query("SELECT p_brand, min(p_partkey) AS first FROM part GROUP BY 1")
@@ -380,9 +401,9 @@ def count_other(t):
     return t("documents").select("doc_id", text.count_other(F.col("text")).alias("other"))
 
 
-@query("""SELECT conv_id, turn, role AS section, nullif(trim(regexp_extract(text, '^([^.]*)', 1), E' \\n'), '') AS descr FROM conversations""")
+@query("""SELECT conv_id, turn, role AS section, nullif(trim(regexp_replace(text, '[\\[\\]]', '', 'g'), E' \\n\\t\\r'), '') AS descr FROM conversations""")
 def described_sections(t):
-    c = F.concat(F.lit("["), "role", F.lit("][desc:"), F.regexp_extract("text", r"^([^.]*)", 1), F.lit("][lyrics:x]"))
+    c = F.concat(F.lit("["), "role", F.lit("][desc:"), F.regexp_replace("text", r"[\[\]]", ""), F.lit("][lyrics:x]"))
     return t("conversations").select("conv_id", "turn", text.section_name(c).alias("section"), text.described(c).alias("descr"))
 
 
@@ -495,15 +516,26 @@ def history_prompt(t):
     return ordered.history_prompts(t("conversations"), "conv_id").select("conv_id", "turn", "history")
 
 
-@query()
+@query("""WITH RECURSIVE f AS (SELECT user_id, epoch_us(ts) / 1e6 AS ts, value > 10 AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+r AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(ts DOUBLE, v BOOLEAN)[]) AS held, CAST(NULL AS DOUBLE) AS open, CAST(NULL AS DOUBLE) AS a, CAST(NULL AS DOUBLE) AS b FROM f
+UNION ALL SELECT user_id, k, CASE WHEN turned THEN [] ELSE h END, CASE WHEN NOT turned THEN open WHEN open IS NULL THEN h[1].ts END,
+  CASE WHEN turned AND open IS NOT NULL THEN open WHEN k = n AND NOT turned THEN open WHEN k = n AND open IS NULL THEN h[1].ts END, CASE WHEN (turned AND open IS NOT NULL) OR k = n THEN ts + 0.03 END
+  FROM (SELECT *, len(list_filter(h, lambda x: x.v = (open IS NULL))) > 9 AS turned FROM (
+    SELECT r.user_id, f.k, f.n, f.ts, r.open, list_append(list_slice(r.held, greatest(len(r.held) - 8, 1), len(r.held)), {'ts': f.ts, 'v': f.v}) AS h FROM r JOIN f ON f.user_id = r.user_id AND f.k = r.k + 1))),
+s AS (SELECT user_id, a, b, row_number() OVER (PARTITION BY user_id ORDER BY k) - 1 AS span FROM r WHERE a IS NOT NULL)
+SELECT user_id AS path, CAST(coalesce(span, 0) AS INT) AS span, round(coalesce(a, -1), 6) AS start, round(coalesce(b, -1), 6) AS "end" FROM (SELECT DISTINCT user_id FROM events) LEFT JOIN s USING (user_id)""")
 def voiced_spans(t):
-    e = t("events").select(F.col("user_id").alias("path"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"), (F.col("value") > 20).alias("is_speech"))
-    return ordered.voiced_spans(e)
+    e = t("events").select(F.col("user_id").alias("path"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"), (F.col("value") > 10).alias("is_speech"))
+    return ordered.voiced_spans(e).withColumns({"start": r6("start"), "end": r6("end")})
 
 
-@query()
+@query("""WITH RECURSIVE f AS (SELECT user_id, epoch_us(ts) / 1e6 AS ts_s, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS k FROM events),
+r AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS DOUBLE) AS ts_s, CAST(NULL AS DOUBLE) AS last, CAST(NULL AS DOUBLE) AS before FROM f
+UNION ALL SELECT r.user_id, f.k, f.ts_s, CASE WHEN r.before IS NOT NULL AND greatest(f.ts_s, r.last) - r.before < 3600 THEN r.before + 3600 + 0.05 ELSE greatest(f.ts_s, coalesce(r.last, f.ts_s)) END, r.last FROM r JOIN f ON f.user_id = r.user_id AND f.k = r.k + 1)
+SELECT user_id, round(ts_s, 6) AS ts_s, round(last, 6) AS admitted_s FROM r WHERE k > 0""")
 def admission_times(t):
-    return ordered.admission(t("events").select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts_s")), "user_id", limit=2, seconds=3600.0)
+    out = ordered.admission(t("events").select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts_s")), "user_id", limit=2, seconds=3600.0)
+    return out.withColumns({"ts_s": r6("ts_s"), "admitted_s": r6("admitted_s")})
 
 
 # Arrays and tokens
@@ -540,10 +572,14 @@ def dedup_pairs(t):
     return dedup.similarity_edges(t("embeddings"), 0.3).withColumn("cos", r6("cos"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT b.vec_id AS j, list(a.vec_id) AS nb FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id
+WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) > 0.3 GROUP BY 1),
+n AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS k, coalesce(nb, []) AS nb FROM embeddings LEFT JOIN e ON j = vec_id),
+r AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS kept UNION ALL SELECT n.k, CASE WHEN list_has_any(kept, nb) THEN kept ELSE list_append(kept, vec_id) END FROM r JOIN n ON n.k = r.k + 1)
+SELECT unnest(kept) AS vec_id FROM r WHERE k = (SELECT max(k) FROM n)""")
 def dedup_greedy(t):
     v = t("embeddings").select("vec_id", "embedding")
-    return dedup.greedy_keep(v, dedup.similarity_edges(v, 0.4)).select("vec_id")
+    return dedup.greedy_keep(v, dedup.similarity_edges(v, 0.3)).select("vec_id")
 
 
 # JSON and phonemes
@@ -572,39 +608,58 @@ def phoneme_errors(t):
     return c.join(nxt, ["conv_id", "turn"]).select("conv_id", "turn", r6(phonemes.phoneme_error_rate(letters(ref), letters(hyp))).alias("per"))
 
 
-@query("""WITH r AS (SELECT item_id, regexp_extract_all(text, '[a-zA-Z]+') AS w FROM benchmark) SELECT item_id, unnest(w) AS word, 1 AS tag FROM r""")
+@query("""WITH r AS (SELECT item_id, regexp_extract_all(translate(regexp_replace(text, '[0-9]', '', 'g'), 'ht', '哈特'), '[\\x{4e00}-\\x{9fff}]+|[a-zA-Z]+') AS w FROM benchmark), u AS (SELECT item_id, unnest(w) AS word FROM r)
+SELECT item_id, word, CASE WHEN regexp_matches(word, '^[a-zA-Z]') THEN 1 ELSE 0 END AS tag FROM u""")
 def language_runs(t):
-    runs = phonemes.language_runs(F.regexp_replace("text", "[0-9]", ""))
+    runs = phonemes.language_runs(F.translate(F.regexp_replace("text", "[0-9]", ""), "ht", "哈特"))
     return t("benchmark").select("item_id", F.explode(runs).alias("r")).select("item_id", F.col("r.text").alias("word"), F.col("r.tag").alias("tag"))
 
 
 # Composite pipelines over derived inputs
 
 
-@query()
+@query("""WITH p AS (SELECT page_id AS row_idx, url AS path, length(html) / 20 AS duration, strpos('0123456789abcdef', substr(sha256(url), 16, 1)) - 1 AS h FROM pages)
+SELECT row_idx, path, duration, ['rock', 'folk', 'jazz', 'pop'][h % 4 + 1] || ',' || ['rock', 'folk', 'jazz', 'pop'][h // 4 + 1] AS tags FROM p WHERE duration BETWEEN 20 AND 360""")
 def metadata_pipeline(t):
     from strophe.plans.composites import metadata
 
     raw = t("pages").select(F.col("page_id").alias("row_idx"), F.col("url").alias("path"), (F.length("html") / 20).alias("duration"))
-    return metadata(raw, lo=20, hi=360)
-
-
-@query()
+    return metadata(raw, lo=20, hi=360).withColumn("tags", F.array_join("tags", ","))
+
+
+@query("""WITH l AS (SELECT doc_id, n_chars, x, i, CAST(i * 7 AS DOUBLE) + (i * 13) % 100 / 1000 AS start_s FROM (SELECT doc_id, n_chars, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
+k AS (SELECT doc_id, n_chars, trim(x, E' \\n\\t\\r') AS x, start_s, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS i FROM l WHERE trim(x, E' \\n\\t\\r') <> ''),
+e AS (SELECT *, lead(start_s) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM k),
+s AS (SELECT *, least(CAST(trunc(start_s * 25) AS BIGINT), n_chars + 1) AS a, least(CAST(trunc(coalesce(nxt, (n_chars + 1) / 25.0) * 25) AS BIGINT), n_chars + 1) AS b FROM e),
+m AS (SELECT doc_id, 0 AS turn, 'user' AS role, 'song ' || doc_id AS content FROM s WHERE i = 1
+UNION ALL SELECT doc_id, 1, 'assistant', '[SOA]' || array_to_string(list_transform(range(0, a), lambda v: '<AUDIO_' || v || '>'), '') || '[EOA]' FROM s WHERE i = 1
+UNION ALL SELECT doc_id, 2 * i, 'user', CASE WHEN nxt IS NULL THEN '请生成歌词' || x || '以及歌曲结尾' ELSE x END FROM s
+UNION ALL SELECT doc_id, 2 * i + 1, 'assistant', '[SOA]' || coalesce(array_to_string(list_transform(range(a, b), lambda v: '<AUDIO_' || v || '>'), ''), '') || '[EOA]' FROM s)
+SELECT CAST(doc_id AS VARCHAR) AS stem, CAST(turn AS INT) AS turn, role, content FROM m""")
 def line_conversations(t):
     from strophe.plans.composites import line_conversations as convert
 
     items = _lrc(t).select(F.col("doc_id").cast("string").alias("stem"), "lyric", F.lit("").alias("tlyric"))
     audio = t("documents").select(F.col("doc_id").cast("string").alias("stem"), F.sequence(F.lit(0), F.col("n_chars").cast("int")).alias("tokens"))
-    return convert(items, audio, F.concat(F.lit("song "), "stem"))
-
-
-@query()
+    turns = convert(items, audio, F.concat(F.lit("song "), "stem")).select("stem", F.posexplode("messages").alias("turn", "m"))
+    return turns.select("stem", "turn", F.col("m.role").alias("role"), F.col("m.content").alias("content"))
+
+
+@query("""WITH c AS (SELECT conv_id, turn, role, text, nullif(trim(regexp_replace(text, '[\\[\\]]', '', 'g'), E' \\n\\t\\r'), '') AS said, max(CASE WHEN role = 'user' AND trim(regexp_replace(text, '[\\[\\]]', '', 'g'), E' \\n\\t\\r') <> '' THEN turn END) OVER w AS p, max(CASE WHEN role <> 'user' THEN turn END) OVER w AS a
+FROM (SELECT conv_id, turn, text, CASE WHEN role = 'user' THEN 'user' WHEN role = 'assistant' THEN 'assistant' END AS role FROM conversations WHERE role IN ('user', 'assistant')) WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+u AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS sub_idx FROM c WHERE role = 'assistant'),
+j AS (SELECT u.conv_id, u.turn, q.said AS text_prompt, u.sub_idx, length(u.text) + 1 AS n_tokens FROM u JOIN c q ON q.conv_id = u.conv_id AND q.turn = u.p WHERE u.a IS NULL OR u.p > u.a),
+d AS (SELECT *, CAST(floor(n_tokens / 25 * 48000) AS BIGINT) AS dur FROM j),
+o AS (SELECT *, coalesce(sum(dur) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_sample, row_number() OVER (ORDER BY conv_id, turn) - 1 AS flat_index FROM d)
+SELECT conv_id AS song_idx, turn, text_prompt, 'Verse' AS section_name, CAST(sub_idx AS BIGINT) AS sub_idx, CAST(flat_index AS BIGINT) AS flat_index, CAST(n_tokens AS BIGINT) AS n_tokens, CAST(start_sample AS BIGINT) AS start_sample, CAST(start_sample + dur AS BIGINT) AS end_sample,
+  CAST(CAST('0x' || substr(sha256(text_prompt), 1, 16) AS UBIGINT) % 10000 AS DOUBLE) / 10000 AS score FROM o""")
 def chunk_evaluation(t):
     from strophe.plans.composites import chunk_evaluation as evaluate
 
     c = t("conversations")
     said = F.when(F.col("role") == "user", F.concat(F.lit("[Verse][desc:"), F.regexp_replace("text", r"[\[\]]", ""), F.lit("]"))).otherwise(tokens.audio_text(F.sequence(F.lit(0), F.length("text"))))
-    return evaluate(c.select(F.lit("chat.jsonl").alias("file"), F.col("conv_id").alias("song_idx"), "turn", "role", said.alias("text"))).drop("text")
+    return evaluate(c.select(F.lit("chat.jsonl").alias("file"), F.col("conv_id").alias("song_idx"), "turn", "role", said.alias("text"))).select(
+        "song_idx", "turn", "text_prompt", "section_name", *(F.col(c).cast("long").alias(c) for c in ("sub_idx", "flat_index", "n_tokens", "start_sample", "end_sample")), "score")
 
 
 @query()
@@ -615,6 +670,9 @@ def song_dedup(t):
     return similarity_dedup(songs, 0.95).select("row_idx")
 
 
-@query()
+@query("""SELECT conv_id, turn, role, CASE WHEN role = 'assistant' THEN 'answer ' || (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) ELSE text END AS text, CASE WHEN role = 'assistant' THEN 'generated' ELSE 'given' END AS status, '' AS error FROM conversations""")
 def generated_turns(t):
-    return models.generate_turns(t("conversations"), lambda history: f"answer {len(history)}")
+    return models.generate_turns(t("conversations"), lambda history: f"answer {len(history)}").withColumn("error", F.coalesce("error", F.lit("")))
+
+
+from strophe.plans import files, more  # noqa: E402, F401  (their queries register themselves)

@@ -13,9 +13,16 @@ def write_jsonl(df: DataFrame, path: str, append: bool = False) -> None:
     df.write.mode("append" if append else "overwrite").json(path)
 
 
-def write_json(df: DataFrame, path: str) -> None:
-    """One JSON array, for reports of a few rows: gathered in one task, not on the driver."""
-    df.agg(F.to_json(F.collect_list(F.struct(*df.columns)), {"pretty": "true"}).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+def write_json(df: DataFrame, path: str, most: int = 100_000) -> None:
+    """One JSON array, for reports of a few rows: gathered in one task, not on the driver. More than `most` rows raise."""
+    one = df.agg(F.to_json(F.collect_list(F.struct(*df.columns)), {"pretty": "true"}).alias("value"), F.count(F.lit(1)).alias("n"))
+    check = F.assert_true(F.col("n") <= most, F.lit(f"a JSON document holds {most} rows at most, write JSON lines"))
+    one.select(F.when(check.isNull(), F.col("value")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_vectors(df: DataFrame, path: str, id_col: str = "vec_id", vector_col: str = "embedding") -> None:
+    """Vectors as a table; similarities are kept as edges, never as a matrix."""
+    df.select(id_col, vector_col).write.mode("overwrite").parquet(path)
 
 
 def write_twins(df: DataFrame, messages_path: str, meta_path: str, messages: str = "messages", order: str = "row_idx") -> None:
