@@ -11,9 +11,9 @@ family must have `overlap` of its distinct n-grams in the paragraph, whatever pr
 What looks like a licence but is confirmed for no family is `unknown`, its confidence being the
 probability that the paragraph is a licence at all.
 
-The scan runs in the JVM only. Words of the notices that carry weight are a fixed list; documents
-with none of them have no n-gram that speaks for a licence and pass through with one test of their
-word array. Paragraphs with such words are stored with the ids; the weights (a row for each n-gram of the
+The scan runs in the JVM only. Words of the notices that carry weight are a fixed list. One such word makes
+no notice (`mit` is German for with): a paragraph with fewer than two different ones is `none`, and a
+document with fewer passes through with one test of its word array. Paragraphs with such words are stored with the ids; the weights (a row for each n-gram of the
 notices) and the templates are tables whose sizes depend on the notices alone, and are broadcast.
 
 Special cases: null and empty texts, and texts without a licensed paragraph, give family `none`,
@@ -78,8 +78,10 @@ EVERYDAY = [
     "Damages were paid after the claim.", "A notice about the conditions stood above the door.", "The author of the source has rights.", "Commercial use of the land was granted by the state.", "Many people use this source of water.", "The foundation published a document about rights and law.",
 ]
 #: Words too common to speak for a licence by themselves (fixed list).
-COMMON = frozenset("a about above all an and any are as at be by can either except for from has have he his if in is it its last may must new no not of on or other part people person should such that the they this to under use used was way with work you your every year many art water".split())
+COMMON = frozenset("a about above all an and any are as at be by can either except for from has have he his if in is it its last may must new no not of on or other part people person should such that the they this to under use used was way with work you your every year many art water do what so but which without will one own out see into more whether even along whom neither nor unless held want made name names kind possible s v".split())
 UNKNOWN, NONE = "unknown", "none"
+#: Different speaking words that a paragraph must have to be scored.
+LEAST_WORDS = 2
 #: Where paragraphs end: after a closing mark, at blank lines, and around SPDX lines.
 BREAK = r"(?<=[.:;!?][\"')\]]?)[ \t]*[\r\n]+|(?:\r?\n|\r)[ \t]*(?:\r?\n|\r)\s*|[\r\n]+(?=\W*SPDX-License-Identifier)|(?<=SPDX-License-Identifier: ?\S{1,40})[ \t]*[\r\n]+"
 _WORD = r"[^a-z0-9.\-]+"
@@ -177,11 +179,10 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     speaking = F.array(*map(F.lit, _speaking()))
 
     # words with dots or hyphens at their ends still speak: the test is on words as they are split, ends stripped by the pattern
-    rough = F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[.\-]*[^a-z0-9.\-]+[.\-]*|^[.\-]+|[.\-]+$")
-    worth = F.when(F.arrays_overlap(rough, speaking), F.col(text_col))
-    paragraphs = F.filter(F.split(worth, BREAK), lambda p: F.arrays_overlap(_words(p), speaking))
-    base = store(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.when(F.size(paragraphs) > 0, paragraphs).alias("paragraphs")))
-    each = base.where(F.col("paragraphs").isNotNull()).select("row", F.posexplode("paragraphs").alias("pos", "paragraph"))
+    speaks = lambda c: F.size(F.array_intersect(F.split(F.lower(c), r"[.\-]*[^a-z0-9.\-]+[.\-]*|^[.\-]+|[.\-]+$"), speaking)) >= LEAST_WORDS
+    paragraphs = F.filter(F.split(F.when(speaks(F.col(text_col)), F.col(text_col)), BREAK), speaks)
+    base = store(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), paragraphs.alias("paragraphs")))
+    each = base.where(F.size("paragraphs") > 0).select("row", F.posexplode("paragraphs").alias("pos", "paragraph"))
     each = each.select("row", "pos", F.explode(F.array(_words(F.col("paragraph")))).alias("ws"))  # a generator, so that words are split once
     each = each.select("row", "pos", _grams(F.col("ws")).alias("grams"))
     one = each.select("row", "pos", F.explode("grams").alias("gram")).join(table, "gram")

@@ -166,7 +166,7 @@ def plain_scan(text, least=0.5, overlap=0.6):
     found = collections.defaultdict(list)
     for paragraph in regex.split(licenses.BREAK, text or ""):
         grams = set(licenses.features(paragraph))
-        if not grams & weights.keys():
+        if len({w for w in grams if " " not in w} & set(licenses._speaking())) < licenses.LEAST_WORDS:
             continue
         z = (sum((np.round(weights[g], 9) for g in grams & weights.keys()), np.zeros(len(families))) + bias) / temperature
         p = np.exp(z - z.max())
