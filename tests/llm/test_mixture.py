@@ -179,16 +179,64 @@ def test_mix_rows_and_empty_tables(spark):
     assert mixing.mix(empty).count() == 0 and packing.pack(empty).count() == 0
 
 
-def test_pipeline_stages(spark):
+CLASHING = ["rid", "row", "leaf", "block", "component", "size", "bands", "key", "epoch", "lang_pred", "score", "token"]
+
+
+def texts(n):
+    r = random.Random(9)
+    words = {"en": "the of house water stone and tion er", "de": "der und haus wasser schön ung keit über"}
+    rows = []
+    for i in range(n):
+        lang = r.choice(list(words))
+        w = [r.choice(words[lang].split()) + r.choice(words[lang].split()) for _ in range(r.choice([3, 40, 90]))]
+        rows.append((i, " ".join(w), r.choice([lang, lang, None]), r.choice(["src0", "src1", None])))
+        if i % 4 == 0:  # exact and near copies
+            rows.append((1000 + i, "  ".join(w), lang, "src2"))
+            rows.append((2000 + i, " ".join([*w, "end"]), lang, "src3"))
+    return [*rows, (3000, None, "en", "src0"), (3001, "", None, None), (3002, "123 ...", "en", "src1"), (5, rows[5][1], "en", "src1"), (None, "no id but words", "en", None), (3003, "long text goes on " * 20_000, "en", "src0")]
+
+
+def test_pipeline_stages_match_plain_ones(spark):
+    import corpus_pipeline as p
+    from strophe.llm.common import squeezed, words
+
+    rows = texts(60)
+    df = spark.createDataFrame([(*x, len(x[1] or ""), *range(len(CLASHING))) for x in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} int" for c in CLASHING)).repartition(3)
+    kept = [df]
+    for name, stage in p.STAGES:
+        kept.append(stage(spark, kept[-1], "").cache())
+        assert name == "packing" or kept[-1].columns == df.columns, name
+    assert [n for n, _ in p.STAGES] == ["language_id", "exact_dedup", "minhash_dedup", "mixing", "packing"]
+    told, exact, near, mixed, _ = ([(r.doc_id, r.text) for r in x.select("doc_id", "text").collect()] if "text" in x.columns else None for x in kept[1:])
+    assert collections.Counter(told) == collections.Counter((i, t) for i, t, _, _ in rows if t and any(c.isalpha() for c in t))
+    least = {}
+    for i, t in told:
+        b = squeezed(t)
+        least[b] = min(least.get(b, 1 << 62), 1 << 62 if i is None else i)
+    assert sorted((1 << 62 if i is None else i, squeezed(t)) for i, t in exact) == sorted((i, b) for b, i in least.items())
+    sets = [{tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} for w in (words(t) for _, t in exact)]
+    root = list(range(len(exact)))
+    for i in range(len(exact)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 80 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [b if x == a else x for x in root]
+    groups = collections.defaultdict(list)
+    for (i, _), g in zip(exact, root, strict=True):
+        groups[g].append(1 << 62 if i is None else i)
+    assert sorted(1 << 62 if i is None else i for i, _ in near) == sorted(map(min, groups.values())) and len(near) < len(exact)
+    assert set(mixed) <= set(near) and max(collections.Counter(mixed).values()) <= 2
+    assert collections.Counter(mixed) == collections.Counter((r.doc_id, r.text) for r in mixing.mix(kept[3].repartition(5), rows=True).collect())
+    lengths = [r.n + 1 for r in with_token_counts(kept[4].select("text"), "n").collect()]
+    assert kept[5].agg(F.sum("length")).first()[0] == sum(lengths)
+
+
+def test_pipeline_without_rows_or_languages(spark):
     import corpus_pipeline as p
 
-    df = docs(spark, 60).select("doc_id", "text", "lang", "source", "n_chars")
-    df = df.union(df.where("doc_id < 20").selectExpr("doc_id + 5000", "text", "lang", "source", "n_chars"))
-    kept = df
-    for name, stage in p.STAGES[:4]:
-        before, kept = kept, stage(spark, kept, "").cache()
-        assert kept.columns == df.columns, name
-        if name != "mixing":
-            assert kept.exceptAll(before).isEmpty()
-    assert p.STAGES[4][1](spark, kept, "").count() >= kept.count()
-    assert kept.where("doc_id >= 5000").isEmpty() and [n for n, _ in p.STAGES] == ["language_id", "exact_dedup", "minhash_dedup", "mixing", "packing"]
+    empty = spark.createDataFrame([], SCHEMA)
+    for _, stage in p.STAGES:
+        assert stage(spark, empty, "").count() == 0
+    unlabelled = docs(spark, 20).withColumn("lang", F.lit(None).cast("string"))
+    assert p.STAGES[0][1](spark, unlabelled, "").count() == unlabelled.count()
