@@ -425,20 +425,11 @@ def sample_k(df: DataFrame, key: str, k: int, seed: int) -> DataFrame:
 
 
 def sample_pool(df: DataFrame, key: str, count: int, seed: int) -> DataFrame:
-    """Each row's draw when `count` rows at a time are taken without replacement; a last incomplete draw is null.
-
-    Ranks go by range: rows of one leading hash digit pair are ranked together and placed after those
-    of smaller pairs, so no window holds all rows.
-    """
-    h = df.withColumns({"__h": _draw(key, seed), "__p": F.substring(_draw(key, seed), 1, 2)})
-    n = h.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("__n").over(Window.partitionBy())
-    starts = n.select("__p", before.alias("__before"), total.alias("__total"))
-    rank = F.col("__before") + F.row_number().over(Window.partitionBy("__p").orderBy("__h", key)) - 1
-    ranked = h.join(F.broadcast(starts), "__p").withColumn("pool_rank", rank)
+    """Each row's draw when `count` rows at a time are taken without replacement; a last incomplete draw is null."""
+    placed = ranked(df.withColumn("__h", _draw(key, seed)), ["__h", key], "pool_rank")
     whole = F.floor(F.col("__total") / count) * count
-    return ranked.withColumn("draw", F.when(F.col("pool_rank") < whole, F.floor(F.col("pool_rank") / count))).drop("__h", "__p", "__before", "__total")
+    total = placed.agg(F.count(F.lit(1)).alias("__total"))  # one row
+    return placed.join(F.broadcast(total)).withColumn("draw", F.when(F.col("pool_rank") < whole, F.floor(F.col("pool_rank") / count))).drop("__h", "__total")
 
 
 def random_int(key: Column, lo: Column, hi: Column, seed: int) -> Column:

@@ -127,7 +127,7 @@ def read_lyric_files(t):
     d = t("region").join(t("documents"), F.col("doc_id") == F.col("r_regionkey")).select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("head"), F.concat(F.when(F.col("r_regionkey") % 2 == 0, "English\n").otherwise(""), "text").alias("value"))
     path = _new(d)
     d.write.partitionBy("head").text(path)
-    return readers.lyric_files(d.sparkSession, path + "/*/*.txt").select(F.regexp_extract("path", "r_name=([^/]*)", 1).alias("head"), "lyrics")
+    return readers.lyric_files(d.sparkSession, path + "/*/*.txt").select(F.regexp_extract("path", "/head=([^/]*)", 1).alias("head"), "lyrics")
 
 
 @query("""SELECT 'm' || (user_id % 9) AS model, event_type AS metric, round(avg(value), 6) AS value FROM events GROUP BY 1, 2""")

@@ -106,7 +106,7 @@ def updated_targets(t):
     return relational.update_targets(files, songs)
 
 
-@query("""SELECT c_custkey AS audio_duration, c_name AS prompt, 0.0 AS guidance_scale_text, coalesce(CASE WHEN c_acctbal > 0 THEN c_acctbal END, 7.5) AS guidance_scale, c_custkey || ', ' || c_nationkey AS actual_seeds FROM customer""")
+@query("""SELECT c_custkey AS audio_duration, c_name AS prompt, CAST(0 AS DOUBLE) AS guidance_scale_text, coalesce(CASE WHEN c_acctbal > 0 THEN c_acctbal END, 7.5) AS guidance_scale, c_custkey || ', ' || c_nationkey AS actual_seeds FROM customer""")
 def parameters(t):
     rows = t("customer").select(F.col("c_custkey").alias("audio_duration"), F.col("c_name").alias("prompt"), F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("guidance_scale"), F.array("c_custkey", F.col("c_nationkey").cast("long")).alias("actual_seeds"))
     return relational.with_defaults(rows, {"audio_duration": None, "prompt": None, "guidance_scale_text": 0.0, "guidance_scale": 7.5, "actual_seeds": None})

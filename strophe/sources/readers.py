@@ -1,7 +1,7 @@
 """Sources: JSON lines, JSON, text, listings and side tables, read with Spark's own readers.
 
 File order is data here: every line gets `row_idx`, its place in the input, from a text scan. Places
-go by (file, line); they are numbered per partition and shifted by partition totals, not by a global sort.
+go by (file, line); lines are numbered per block of a file and shifted by block totals, not by a global sort.
 """
 
 from __future__ import annotations
@@ -17,10 +17,13 @@ from strophe.shared import cut
 
 
 def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """value, file, row_idx: the lines of text files; row_idx counts all lines in file order."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_path").alias("__path"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__id"))
-    lines = cut(lines)
-    blocks = lines.groupBy("__path", "__block").agg(F.count(F.lit(1)).alias("__n"), F.min("__id").alias("__first"))
+    """value, file, row_idx: the lines of text files; row_idx counts all lines in file order.
+
+    The files are read twice and cut in the same way both times, once to count the lines of each block.
+    """
+    meta = [F.col("_metadata.file_path").alias("__path"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__id")]
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"), *meta)
+    blocks = cut(spark.read.text(path).select(*meta).groupBy("__path", "__block").agg(F.count(F.lit(1)).alias("__n"), F.min("__id").alias("__first")))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__path", "__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = blocks.select("__path", "__block", "__first", before.alias("__before"))  # one row for each block of a file
     out = lines.join(starts, ["__path", "__block"])
