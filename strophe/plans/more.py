@@ -120,7 +120,7 @@ def counters(t):
     return relational.counters(t("documents"), F.col("n_chars") >= 500, "lang")
 
 
-@query("SELECT vec_id, round(list_max(embedding), 6) AS most, round(list_min(embedding), 6) AS least FROM embeddings")
+@query("SELECT vec_id, round(CAST(list_max(embedding) AS DOUBLE), 6) AS most, round(CAST(list_min(embedding) AS DOUBLE), 6) AS least FROM embeddings")
 def similarity_extremes(t):
     e = t("embeddings").withColumn("x", relational.extremes(F.transform("embedding", lambda x: x.cast("double"))))
     return e.select("vec_id", r6("x.max").alias("most"), r6("x.min").alias("least"))
