@@ -20,9 +20,13 @@ ASR_LOG = (
 )
 
 
+#: The same white space as single characters (fixed value).
+WHITE = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
     """Without leading and trailing Unicode white space."""
-    return F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def file_stem(path: Column) -> Column:
@@ -195,7 +199,8 @@ def count_cjk(c: Column) -> Column:
 
 def count_other(c: Column) -> Column:
     """characters that are neither CJK, ASCII letters nor white space."""
-    return F.length(F.regexp_replace(c, f"[\\u4e00-\\u9fffa-zA-Z{SPACE}]", ""))
+    rest = F.regexp_replace(c, "[a-zA-Z \n]+", "")  # most of a text, by a class that is quickly tested
+    return F.length(F.regexp_replace(rest, f"[\\u4e00-\\u9fffa-zA-Z{SPACE}]", ""))
 
 
 def audio_tags(c: Column) -> Column:

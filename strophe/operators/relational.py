@@ -7,11 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strophe.functions.text import count_cjk, count_other, file_stem, last_number, strip
+from strophe.functions.text import count_other, file_stem, last_number, strip
 from strophe.shared import ranked
 
 #: Symbols that become blanks before lyric languages are counted (fixed value).
-LYRIC_SYMBOLS = "['￥·′´（），。？\"!@#$%^&*()?./,=+_—— ！…《》<>0-9～※~;－・、☆｜△【】＃「」‖{}\\[\\]-]"
+LYRIC_SYMBOLS = "'￥·′´（），。？\"!@#$%^&*()?./,=+_— ！…《》<>0123456789～※~;－・、☆｜△【】＃「」‖{}[]-"
 
 # Filters and projections
 
@@ -232,9 +232,10 @@ def language_vote(sentences: DataFrame, key: str, least_words: int = 5, least_se
 
 def lyric_language(lines: Column, word_limit: int = 3, val_limit: int = 5) -> Column:
     """Zh, en, ez (both), nan or instrument of a song's lines; both limits are strict."""
-    one = lambda v: F.transform(F.array(v), lambda x: F.struct(
-        count_other(x).alias("other"), count_cjk(x).alias("cjk"), F.size(F.split(F.regexp_replace(x, "[一-鿿]+", ""), " ", -1)).alias("parts")))[0]
-    counted = F.transform(F.filter(lines, lambda x: strip(x) != "<nop>"), lambda x: one(F.regexp_replace(x, LYRIC_SYMBOLS, " ")))
+    # every value that is named more than once is bound, so that it is worked out once
+    parts = lambda x, bare: F.struct(count_other(bare).alias("other"), (F.length(x) - F.length(bare)).alias("cjk"), F.size(F.split(bare, " ", -1)).alias("parts"))
+    one = lambda v: F.transform(F.array(v), lambda x: F.transform(F.array(F.regexp_replace(x, "[一-鿿]+", "")), lambda bare: parts(x, bare))[0])[0]
+    counted = F.transform(F.filter(lines, lambda x: ~(x.contains("<nop>") & (strip(x) == "<nop>"))), lambda x: one(F.translate(x, LYRIC_SYMBOLS, " " * len(LYRIC_SYMBOLS))))
     add = lambda a, c: F.struct(
         (a["nan"] + F.when(c["other"] > word_limit, 1).otherwise(0)).alias("nan"), (a["zh"] + F.when((c["other"] <= word_limit) & (c["cjk"] > word_limit), 1).otherwise(0)).alias("zh"),
         (a["en"] + F.when((c["other"] <= word_limit) & (c["parts"] > word_limit), 1).otherwise(0)).alias("en"))

@@ -134,7 +134,7 @@ def test_lyric_language(spark):
     assert lang(["we are the world"] * 6) == "en" and lang(["we are the world"] * 5) == "instrument"
     assert lang(["我们是世界"] * 6) == "zh" and lang(["我们是世界"] * 6 + ["we are the world"] * 6) == "ez"
     assert lang(["éééé éé"] * 6) == "nan" and lang(["a b c"] * 9) == "instrument" and lang(["<nop>"] * 9) == "instrument" and lang(["1 2 3 4"] * 6) == "en"
-    assert re.search(relational.LYRIC_SYMBOLS, "[")
+    assert "[" in relational.LYRIC_SYMBOLS
 
 
 def test_choices(spark):
