@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strophe.llm.common import store
 from strophe.llm.tokens import with_token_counts
 
 #: Lengths that one window of suffix sums spans.
@@ -33,7 +34,8 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
     total_tokens: of all; truncated_total: tokens left when every document is cut at L; cut_docs: how
     many lose tokens; cdf: share of documents of at most L tokens.
     """
-    h = histogram.withColumns({"block": F.floor(F.col("n_tokens") / BLOCK), "tokens": F.col("n_tokens") * F.col("n_docs")})
+    # lengths and their blocks both come from the histogram: a row for each distinct length, stored so that texts are counted once
+    h = store(histogram).withColumns({"block": F.floor(F.col("n_tokens") / BLOCK), "tokens": F.col("n_tokens") * F.col("n_docs")})
     down = Window.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     blocks = h.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
