@@ -5,12 +5,13 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.sql import functions as F
 
 from strophe.llm import langid, licenses, lm_scoring, quality, token_counts
-from strophe.llm.common import crc_mod
+from strophe.llm.common import crc_mod, hashed_words, words
 from strophe.llm.tokens import TokenCounter, default_pattern, default_vocabulary, read_ranks
 
 EXTRA = "doc_id long, text string, lang string, source string, id long, score string, label int, row int, pos int"
@@ -55,6 +56,18 @@ def test_lm_scores_match_brute_force(spark, sizes):
         assert abs(sum(p(h, w) for w in known) + p(h, "unseen") - 1) < 1e-9
 
 
+def test_hashed_words_are_words():
+    r = random.Random(2)
+    texts = [None, "", " ", "a", "A b", "ab", "x" * 64, "x" * 65, "x" * 65 + "  ", "y" * 300 + " z", "é\tÉ\n  q ", "x" * 64 + " " + "x" * 65]
+    texts += ["".join(r.choice("ab \t\nAé") for _ in range(r.randint(0, 150))) for _ in range(500)]
+    for column in (pa.array(texts), pa.array(texts, pa.large_string())[5:], pa.array(texts[:1], pa.string()), pa.array([], pa.string())):
+        hashes, per_text = hashed_words(column)
+        said = [words(t) for t in column.to_pylist()]
+        assert per_text.tolist() == [len(x) for x in said]
+        flat = [w for x in said for w in x]
+        assert len(set(zip(flat, hashes.tolist(), strict=True))) == len(set(flat)) == len(set(hashes.tolist()))
+
+
 def test_token_lengths_and_histogram(spark):
     c = TokenCounter(read_ranks(default_vocabulary()), default_pattern())
     c.common = {"a": 1, "the": 1}
@@ -85,7 +98,10 @@ def test_language_of_held_out_and_mixed_texts(spark):
     r = random.Random(6)
     rows = [(i, talk(r, lang, r.randint(5, 60)), lang) for i, lang in enumerate(list(WORDS) * 60)]
     rows += [(1000, None, "en"), (1001, "", "de"), (1002, "123 ... !", "fr"), (1003, "Ä", None), (1004, (talk(r, "de", 70) + " " + talk(r, "en", 20)), "de")]
-    got = {g.doc_id: g for g in langid.detect_language(docs(spark, rows), learn=crc_mod("doc_id", 4) != 2).collect()}
+    rows += [(1005, talk(r, "fr", 40_000), "fr"), (1005, talk(r, "fr", 5), "fr")]  # very long, and an id that repeats
+    found = langid.detect_language(docs(spark, rows), learn=crc_mod("doc_id", 4) != 2).collect()
+    assert len(found) == len(rows) and [g.lang_pred for g in found if g.doc_id == 1005] == ["fr", "fr"]
+    got = {g.doc_id: g for g in found}
     held = [(i, lang) for i, _, lang in rows if i < 1000 and zlib.crc32(str(i).encode()) % 4 == 2]
     assert np.mean([got[i].lang_pred == lang for i, lang in held]) > 0.95
     assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (1000, 1001, 1002))
@@ -93,6 +109,16 @@ def test_language_of_held_out_and_mixed_texts(spark):
     assert all(0 <= g.score <= 1 for g in got.values())
 
 
+def test_language_sample_is_bounded_and_reads_all_languages(spark):
+    rows = [(i, "one two three " + "x" * (i % 50), f"l{i % 30}") for i in range(3000)]
+    rows += [(9, "always the same text", "same")] * 2000 + [(10_000, "long " * 500, "l0")]  # a language of one repeated row; a text beyond the bound
+    texts, langs = langid._sample(docs(spark, rows), "doc_id", "text", "lang", None, 20, 1000, 11)
+    counts = collections.Counter(langs)
+    assert set(counts) == {f"l{i}" for i in range(30)} | {"same"} and max(counts.values()) <= 20
+    assert all(sum(len(t) for t, x in zip(texts, langs, strict=True) if x == lang) <= 1000 for lang in counts)
+    assert langid._sample(docs(spark, rows).repartition(13), "doc_id", "text", "lang", None, 20, 1000, 11) == (texts, langs)
+
+
 def test_forward_backward_matches_enumeration():
     import itertools
 
@@ -116,7 +142,7 @@ def test_quality_votes(spark):
     r = random.Random(8)
     good = lambda: talk(r, "en", 40).capitalize() + "."
     bad = lambda: r.choice([lambda: "BUY!! " * 30, lambda: " | ".join(talk(r, "en", 20).split()), lambda: "$$$ %%% " * 20])() + talk(r, "en", 5)
-    rows = [(i, good() if i % 2 else bad(), "en") for i in range(300)] + [(900, None, "en"), (901, "", "en"), (1, good(), "en")]
+    rows = [(i, good() if i % 2 else bad(), "en") for i in range(300)] + [(900, None, "en"), (901, "", "en"), (1, good(), "en"), (902, good() * 3000, "en")]
     labels = spark.createDataFrame([(i, i % 2, "x") for i in range(300)] + [(5, 1, "y"), (None, 1, "z"), (7, None, "z")], "doc_id long, quality int, text string")
     got = quality.quality_scores(docs(spark, rows), labels, learn=crc_mod("doc_id", 5) != 0).collect()
     held = [(g.score >= 0.3) == (g.doc_id % 2 == 1) for g in got if g.doc_id < 300 and zlib.crc32(str(g.doc_id).encode()) % 5 == 0]
