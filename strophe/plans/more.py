@@ -240,7 +240,7 @@ def audio_codes(t):
 @query("""SELECT event_id, printf('%06d_%04d', event_id, event_id % 100) AS tail FROM events""")
 def song_ids(t):
     e = F.col("event_id")
-    return t("events").select("event_id", F.regexp_replace(vocab.song_id(F.lit("suno"), e, e % 100), "^suno_", "").alias("tail"))
+    return t("events").select("event_id", F.regexp_replace(vocab.song_id(F.lit("track"), e, e % 100), "^track_", "").alias("tail"))
 
 
 @query("""SELECT event_id, printf('[%02d:%02d.00]', (event_id % 400) // 60, (event_id % 400) % 60) AS stamp, (event_id % 5) || '分15秒' AS spoken, CAST((event_id % 5) * 60 + 15 AS INT) AS seconds FROM events""")
