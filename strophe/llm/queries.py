@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strophe.llm import bpe, embedding_dedup, exact_dedup, langid, licenses, lm_scoring, minhash_dedup, mixing, packing, quality, token_counts
+from strophe.llm import bpe, embedding_dedup, exact_dedup, langid, licenses, lm_scoring, merkle, minhash_dedup, mixing, packing, quality, token_counts
 
 QUERIES = {
     "op1_quality": quality.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_licenses": licenses.query,
     "op9_mixing": mixing.query,
     "op10_minhash_dedup": minhash_dedup.query,
+    "op11_merkle_manifest": merkle.query,
     "op12_bpe": bpe.query,
 }
 
