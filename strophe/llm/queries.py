@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strophe.llm import bpe, embedding_dedup, exact_dedup, langid, licenses, lm_scoring, merkle, minhash_dedup, mixing, packing, quality, token_counts
+from strophe.llm import bpe, conversations, embedding_dedup, exact_dedup, langid, licenses, lm_scoring, merkle, minhash_dedup, mixing, packing, quality, token_counts
 
 QUERIES = {
     "op1_quality": quality.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_minhash_dedup": minhash_dedup.query,
     "op11_merkle_manifest": merkle.query,
     "op12_bpe": bpe.query,
+    "op13_conversations": conversations.query,
 }
 
 ORACLES = {
