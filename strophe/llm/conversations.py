@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strophe.llm.common import WS, partitions, store
+from strophe.llm.lm_scoring import _CRC
 from strophe.llm.minhash_dedup import _groups, _runs
 from strophe.llm.ranks import long_digits, radix_ranks
 
@@ -312,3 +313,41 @@ def damaged(rows: DataFrame) -> DataFrame:
 def query(spark, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     return report(rows.select("conv_id"), repaired_turns(damaged(rows)))
+
+
+#: Costs to go turn by turn from the end, then the walk, as recursive queries.
+ORACLE = f"""
+WITH RECURSIVE o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC.replace("CAST(doc_id AS VARCHAR)", "concat(coalesce(CAST(conv_id AS VARCHAR), ' '), ':', coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS kind FROM conversations),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+  unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy FROM o WHERE kind <> 0),
+m AS (SELECT *, row_number() OVER c - 1 AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth, trim(text, E' \\t\\n\\x0b\\x0c\\r') AS bare, left(role, 1) AS c0,
+  lag(left(role, 1)) OVER c AS c1 FROM d WINDOW c AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)),
+x AS (SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM m),
+y AS (SELECT *, fault IN ('blank', 'duplicate') AS gone, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS more,
+  CASE WHEN fault IN ('blank', 'duplicate') OR c0 <> 's' THEN 1000000 ELSE 0 END AS ns, CASE WHEN fault IN ('blank', 'duplicate') OR c0 <> 'u' THEN 1000000 ELSE 0 END AS nu,
+  CASE WHEN fault IN ('blank', 'duplicate') OR c0 <> 'a' THEN 1000000 ELSE 0 END AS na, CASE WHEN fault IN ('blank', 'duplicate') THEN 1000000 ELSE 1 END AS r FROM x),
+n AS (SELECT conv_id, count(*) AS n FROM y GROUP BY 1),
+b AS (SELECT conv_id, n AS i, 0 AS v0, 10 AS v1, 5 AS v2, 0 AS v3 FROM n
+  UNION ALL SELECT conv_id, i, least(o0, 5 + o2, 10 + o3), least(o1, 5 + o2, 10 + o3), least(o2, 5 + o3), least(o3, 5 + o2) FROM (
+    SELECT b.conv_id, y.i, least(2 + v0, more + ns + v1, more + nu + v2, more + r + v2) AS o0, least(2 + v1, more + nu + v2, more + r + v2) AS o1,
+      least(2 + v2, more + na + v3, more + r + v3) AS o2, least(2 + v3, more + nu + v2, more + r + v2) AS o3 FROM b JOIN y ON y.conv_id IS NOT DISTINCT FROM b.conv_id AND y.i = b.i - 1)),
+v AS (SELECT conv_id, i, unnest([0, 1, 2, 3]) AS s, unnest([v0, v1, v2, v3]) AS v FROM b),
+-- for each turn and state the first edit that keeps to the least cost
+e AS (SELECT v.conv_id, v.i, v.s, CASE v.s WHEN 2 THEN 3 ELSE 2 END AS given, CASE WHEN y.i IS NULL AND v.v = 0 THEN '' WHEN y.i IS NOT NULL AND v.v = 2 + w.v THEN 'D' WHEN v.v = 5 + g.v THEN 'I'
+    WHEN v.s = 0 AND c0 = 's' AND NOT gone AND v.v = more + w1.v THEN 'K' WHEN (CASE v.s WHEN 2 THEN 'a' ELSE 'u' END) = c0 AND NOT gone AND v.v = more + w2.v THEN 'K' ELSE 'R' END AS edit,
+    CASE WHEN v.s = 0 AND c0 = 's' THEN 1 WHEN v.s = 2 THEN 3 ELSE 2 END AS kept, y.role, y.text
+  FROM v LEFT JOIN y ON y.conv_id IS NOT DISTINCT FROM v.conv_id AND y.i = v.i LEFT JOIN v w ON w.conv_id IS NOT DISTINCT FROM v.conv_id AND w.i = v.i + 1 AND w.s = v.s
+  LEFT JOIN v w1 ON w1.conv_id IS NOT DISTINCT FROM v.conv_id AND w1.i = v.i + 1 AND w1.s = 1 LEFT JOIN v w2 ON w2.conv_id IS NOT DISTINCT FROM v.conv_id AND w2.i = v.i + 1 AND w2.s = CASE v.s WHEN 2 THEN 3 ELSE 2 END
+  LEFT JOIN v g ON g.conv_id IS NOT DISTINCT FROM v.conv_id AND g.i = v.i AND g.s = CASE v.s WHEN 2 THEN 3 ELSE 2 END),
+a AS (SELECT conv_id, 0 AS i, 0 AS s, '' AS audit, '' AS repaired FROM n
+  UNION ALL SELECT a.conv_id, CASE WHEN edit = 'I' THEN a.i ELSE a.i + 1 END, CASE edit WHEN 'D' THEN a.s WHEN 'K' THEN kept ELSE given END, audit || edit,
+    repaired || CASE edit WHEN 'D' THEN '' WHEN 'K' THEN E'\\n' || role || ':' || text WHEN 'R' THEN E'\\n' || CASE given WHEN 3 THEN 'assistant' ELSE 'user' END || ':' || text ELSE E'\\n' || CASE given WHEN 3 THEN 'assistant' ELSE 'user' END || ':' END
+  FROM a JOIN e ON e.conv_id IS NOT DISTINCT FROM a.conv_id AND e.i = a.i AND e.s = a.s WHERE edit <> ''),
+f AS (SELECT conv_id, arg_max(audit, length(audit)) AS audit, arg_max(repaired, length(audit)) AS repaired FROM a GROUP BY 1),
+k AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+  count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (c1 || c0 NOT IN ('su', 'ua', 'au')) AS illegal FROM y GROUP BY 1)
+SELECT z.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(v0, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(substr(repaired, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) z LEFT JOIN k ON k.conv_id IS NOT DISTINCT FROM z.conv_id LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM z.conv_id
+LEFT JOIN (SELECT conv_id, v0 FROM b WHERE i = 0) b0 ON b0.conv_id IS NOT DISTINCT FROM z.conv_id
+"""

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strophe.llm.common import crc_mod, store
+from strophe.llm.lm_scoring import _CRC as CRC
 from strophe.llm.ranks import long_digits, radix_ranks, text_digits
 
 FANOUT = 16
@@ -136,3 +137,34 @@ def manifest(docs: DataFrame, fields: list[str], id_col: str = "doc_id", group_c
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], changed={"text": F.translate("text", _UPPER, _LOWER)}, changes=crc_mod("doc_id", 5) == 0)
+
+
+def _field(c: str) -> str:
+    return f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR) END"
+
+
+#: Trees level by level, for tables whose ids aren't null.
+ORACLE = f"""
+WITH RECURSIVE f AS (SELECT doc_id, source, concat({', '.join(map(_field, ('doc_id', 'source', 'lang', 'n_chars')))}) AS head, {_field('text')} AS body,
+  {_field(f"translate(text, '{_UPPER}', '{_LOWER}')")} AS other, {CRC} % 5 = 0 AS hit FROM documents),
+l AS (SELECT doc_id, source, sha256(head || body) AS leaf, CASE WHEN hit THEN sha256(head || other) ELSE sha256(head || body) END AS now,
+  row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, sha256(head || body)) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM f),
+t AS (SELECT source, 0 AS lvl, i, n, leaf AS h FROM l
+  UNION ALL SELECT source, lvl + 1, i // 16, any_value((n + 15) // 16), sha256(string_agg(h, '' ORDER BY i)) FROM t WHERE n > 1 GROUP BY source, lvl, i // 16),
+s AS (SELECT 0 AS lvl, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS n, h, source FROM t WHERE n = 1
+  UNION ALL SELECT lvl + 1, i // 16, any_value((n + 15) // 16), sha256(string_agg(h, '' ORDER BY i)), NULL FROM s WHERE n > 1 GROUP BY lvl, i // 16),
+up AS (SELECT a.source, a.h AS subroot, a.i, d.lvl FROM s a, (SELECT DISTINCT lvl FROM s WHERE n > 1) d WHERE a.lvl = 0),
+p AS (SELECT l.source, l.i, t.lvl, coalesce(string_agg(t.h, '' ORDER BY t.i) FILTER (t.i < l.i // (16 ** t.lvl)::BIGINT), '') AS a, coalesce(string_agg(t.h, '' ORDER BY t.i) FILTER (t.i > l.i // (16 ** t.lvl)::BIGINT), '') AS b
+    FROM l JOIN t ON l.source IS NOT DISTINCT FROM t.source AND t.n > 1 AND t.i // 16 = l.i // (16 ** (t.lvl + 1))::BIGINT GROUP BY ALL),
+q AS (SELECT up.source, up.lvl, coalesce(string_agg(s.h, '' ORDER BY s.i) FILTER (s.i < up.i // (16 ** s.lvl)::BIGINT), '') AS a, coalesce(string_agg(s.h, '' ORDER BY s.i) FILTER (s.i > up.i // (16 ** s.lvl)::BIGINT), '') AS b
+    FROM up JOIN s ON s.lvl = up.lvl AND s.i // 16 = up.i // (16 ** (s.lvl + 1))::BIGINT GROUP BY up.source, up.lvl),
+w AS (SELECT source, i, lvl, a, b FROM p UNION ALL SELECT l.source, l.i, 100 + q.lvl, q.a, q.b FROM l JOIN q ON l.source IS NOT DISTINCT FROM q.source),
+k AS (SELECT *, row_number() OVER (PARTITION BY source, i ORDER BY lvl) AS step FROM w),
+z AS (SELECT source, i, 0 AS step, now AS h FROM l UNION ALL SELECT k.source, k.i, k.step, sha256(k.a || z.h || k.b) FROM z JOIN k ON k.source IS NOT DISTINCT FROM z.source AND k.i = z.i AND k.step = z.step + 1),
+e AS (SELECT source, i, arg_max(h, step) AS folded_root FROM z GROUP BY ALL),
+g AS (SELECT source, i, string_agg(a || b, '' ORDER BY step) AS sides FROM k GROUP BY ALL),
+r AS (SELECT h AS root FROM s WHERE n = 1)
+SELECT doc_id, leaf, up.subroot, root, sha256(coalesce(sides, '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM l CROSS JOIN r JOIN (SELECT source, h AS subroot FROM s WHERE lvl = 0) up ON up.source IS NOT DISTINCT FROM l.source
+JOIN e ON e.source IS NOT DISTINCT FROM l.source AND e.i = l.i LEFT JOIN g ON g.source IS NOT DISTINCT FROM l.source AND g.i = l.i
+"""

@@ -25,4 +25,6 @@ ORACLES = {
     "op5_lm_scoring": lm_scoring.ORACLE,
     "op6_exact_dedup": exact_dedup.ORACLE,
     "op10_minhash_dedup": minhash_dedup.ORACLE,
+    "op11_merkle_manifest": merkle.ORACLE,
+    "op13_conversations": conversations.ORACLE,
 }
