@@ -5,12 +5,14 @@ interchangeable, so the packing is decided on the exact histogram of piece lengt
 as many entries as the largest permitted length: longest first, pieces go to the open bins with the
 least room that still takes them; if none does, bins open of the permitted length whose cost for each
 token they would hold of such pieces is least; at the end each bin shrinks to the smallest permitted
-length that holds its contents. The decision names bins for ranges of ranks, and executors give each
-piece its rank among the pieces of its length, dealt by a salt so that a length that a third of the
-pieces have is ranked by many tasks.
+length that holds its contents. The bins are those of placing the pieces one by one. The decision names
+bins for ranges of ranks, and executors give each piece its rank among the pieces of its length by digit
+histograms (`ranks.radix_ranks`), so a length that a third of the pieces have is ranked by many tasks.
 
 Special cases: a document counts its tokens and one for its end, so null and empty texts take one
-token; ties in length go by id, then piece; repeated rows are packed each; an empty table packs nothing.
+token; pieces of one length go by id (null first), then a hash of the text, then piece, whatever the
+partitions; of bins with equal room the one of less capacity is filled first; equal rows are packed each, in any
+order; texts of any length are packed whole; an empty table packs nothing. Extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -22,10 +24,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strophe.llm.common import partitions, store
+from strophe.llm.common import store
+from strophe.llm.ranks import long_digits, radix_ranks
 from strophe.llm.tokens import with_token_counts
 
 
@@ -40,29 +43,31 @@ class Plan:
 def plan_bins(histogram: dict[int, int], sizes: list[int], overhead: int = 64) -> Plan:
     """Best-fit decreasing over (length, count). A bin of size s costs s + overhead."""
     sizes = sorted(sizes)
-    room: dict[int, list[list[int]]] = defaultdict(list)  # room left: [first bin, bins, capacity]
-    rooms: list[int] = []
+    room: dict[tuple[int, int], list[list[int]]] = defaultdict(list)  # room left and capacity: [first bin, bins]
+    rooms: list[tuple[int, int]] = []
     spans: list[tuple[int, int, int, int, int]] = []
     made = 0
 
     def give(left: int, first: int, bins: int, capacity: int) -> None:
-        if not room[left]:
-            insort(rooms, left)
-        room[left].append([first, bins, capacity])
+        if not room[left, capacity]:
+            insort(rooms, (left, capacity))
+        room[left, capacity].append([first, bins])
 
     for length in sorted(histogram, reverse=True):
         n, rank = histogram[length], 0
+        most = sizes[-1] // length
         while n:
-            at = bisect_left(rooms, length)
+            at = bisect_left(rooms, (length, 0))
             if at < len(rooms):
-                left = rooms[at]
-                first, bins, capacity = room[left].pop()
-                if not room[left]:
+                left, capacity = rooms[at]
+                first, bins = room[left, capacity].pop()
+                if not room[left, capacity]:
                     rooms.pop(at)
             else:
                 cost = lambda s: ((s + overhead) / (min(s // length, n) * length), s)  # noqa: B023, E731
                 capacity = left = min((s for s in sizes if s >= length), key=cost)
-                first, bins = made, -(-n // (capacity // length))
+                # while pieces for the largest size are left, bins of the same size follow
+                first, bins = made, max(1, (n - most) // (capacity // length) + 1)
                 made += bins
             each = left // length
             full = min(bins, n // each)
@@ -77,13 +82,14 @@ def plan_bins(histogram: dict[int, int], sizes: list[int], overhead: int = 64) -
                 rank, n, first, bins = rank + n, 0, first + 1, bins - 1
             if bins:
                 give(left, first, bins, capacity)
-    final = sorted((first, min(s for s in sizes if s >= capacity - left)) for left, groups in room.items() for first, _, capacity in groups)
+    final = sorted((first, min(s for s in sizes if s >= capacity - left)) for (left, capacity), groups in room.items() for first, _ in groups)
     return Plan(np.array(spans, dtype=np.int64).reshape(-1, 5), np.array(final, dtype=np.int64).reshape(-1, 2))
 
 
 def pieces_of(docs: DataFrame, id_col: str, text_col: str, largest: int, **tokenizer) -> DataFrame:
-    """id, n_tokens, piece, start, length: whole documents, cut where they pass the largest length."""
-    counted = with_token_counts(docs.select(id_col, text_col), "n_tokens", text_col, drop_text=True, **tokenizer)
+    """id, mark (the text's hash), n_tokens, piece, start, length: whole documents, cut where they pass the largest length."""
+    marked = docs.select(id_col, text_col, F.xxhash64(text_col).alias("mark"))
+    counted = with_token_counts(marked, "n_tokens", text_col, drop_text=True, **tokenizer)
     counted = counted.withColumn("n_tokens", F.col("n_tokens") + 1)
     whole = F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_tokens") - 1) / largest))
     out = counted.withColumn("piece", F.explode(whole)).withColumn("start", F.col("piece") * largest)
@@ -93,15 +99,12 @@ def pieces_of(docs: DataFrame, id_col: str, text_col: str, largest: int, **token
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sizes: tuple[int, ...] = (512, 1024, 2048, 4096, 8192), overhead: int = 64, **tokenizer) -> DataFrame:
     """One row per piece: id, piece, start, length, bin_id, bin_size, bin_offset."""
     spark = docs.sparkSession
-    salts = partitions(spark)
-    pieces = store(pieces_of(docs, id_col, text_col, max(sizes), **tokenizer).withColumn("salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts)).cast("int")))
-    counts = store(pieces.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")))
-    histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most max(sizes) entries
+    pieces = store(pieces_of(docs, id_col, text_col, max(sizes), **tokenizer).withColumn("row", F.monotonically_increasing_id()))
+    histogram = {r.length: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most max(sizes) entries
     plan = spark.sparkContext.broadcast(plan_bins(histogram, list(sizes), overhead))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = pieces.join(counts.select("length", "salt", before.alias("before")), ["length", "salt"])
-    order = F.row_number().over(Window.partitionBy("length", "salt").orderBy(id_col, "piece"))
-    ranked = ranked.withColumn("rank", F.col("before") + order - 1).select(id_col, "piece", "start", "length", "rank")
+    digits = [F.hex(F.encode(F.coalesce(F.col(id_col).cast("string"), F.lit("")), "UTF-8")), F.lit("!")] if dict(docs.dtypes)[id_col] == "string" else [long_digits(F.col(id_col))]
+    key = F.concat(*digits, long_digits(F.col("mark")), long_digits(F.col("piece")), long_digits(F.col("row")))
+    ranked = radix_ranks(pieces, "length", key, total="").select(id_col, "piece", "start", "length", "rank")
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spans, bins = plan.value.spans, plan.value.bins
