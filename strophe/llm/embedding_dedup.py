@@ -8,11 +8,12 @@ depends on its angle alone, so the passes that keep its miss in all of them at t
 follow from `bits`, however dense the vectors stand. `bits` is the cheapest of some lengths by the sizes
 of their cells, which are counted over all vectors; it moves work between passes and cells, not the miss.
 
-Identical vectors collapse first. A cell, or a pair of its blocks, emits a forest, not pairs.
-Components of the verified pairs are then compared inside, in blocks against blocks, by exact cosine,
-which counts the links of each vector without writing them.
+Identical vectors collapse first, inside each task before anything moves, so one that a third of the rows share
+is moved once for each task. A cell, or a pair of its blocks, emits a forest and each vector's number of links,
+not pairs; a pair counts in the first pass whose cells it shares. Components of up to BLOCK vectors are then compared
+inside by exact cosine, which also counts links that no cell holds; in larger ones the links found count.
 
-Cosines are in double precision. Special cases: vectors that are null, zero, or hold null or
+Cosines are in double precision, of vectors scaled by powers of two, so none over- or underflows. Special cases: vectors that are null, zero, or hold null or
 non-finite components link with nothing; vectors of different lengths don't link; repeated ids are
 vectors of their own; at a cosine of exactly the threshold a pair links; rows of equal keys are compared
 whatever their order; extra columns may have any names; an empty table gives an empty result.
@@ -20,11 +21,13 @@ whatever their order; extra columns may have any names; an empty table gives an
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,31 +61,43 @@ def _unit(values: pa.Array) -> np.ndarray:
         return np.zeros((0, 1))
     values = values.combine_chunks() if isinstance(values, pa.ChunkedArray) else values
     x = values.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(values), -1)
+    _, exponent = np.frexp(np.abs(x).max(axis=1, keepdims=True))
+    x = np.ldexp(x, -exponent)  # exact: magnitudes below 1, the largest at least a half
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+class _Planes:
+    """Cells of unit vectors in each pass; a pass's planes follow from the seed."""
+
+    def __init__(self, bits: int, seed: int):
+        self.bits, self.seed, self.made = bits, seed, {}
+        self.weight = 1 << np.arange(bits - 1, -1, -1, dtype=np.int64)
+
+    def cells(self, x: np.ndarray, number: int) -> np.ndarray:
+        d = x.shape[1]
+        if (number, d) not in self.made:
+            self.made[number, d] = np.random.default_rng([self.seed, number, d]).standard_normal((d, BITS))[:, : self.bits]
+        return ((x @ self.made[number, d]) > 0) @ self.weight
+
+
 def _keys(batches: Iterator[pa.RecordBatch], first: int, count: int, bits: int, seed: int, carry: bool = True) -> Iterator[pa.RecordBatch]:
-    """(rid, size, vector) to (pass, size, cell) and, to carry, (rid, vector), for passes first .. first + count - 1."""
-    planes: dict[tuple[int, int], np.ndarray] = {}
-    weight = 1 << np.arange(bits - 1, -1, -1, dtype=np.int64)
+    """(rid, copies, size, vector) to (pass, size, cell) and, to carry, (rid, copies, vector), for passes first .. first + count - 1."""
+    planes = _Planes(bits, seed)
     for b in batches:
-        sizes = b.column(1).to_numpy()
+        sizes = b.column(2).to_numpy()
         for d in np.unique(sizes):
             part = b.filter(pa.array(sizes == d)) if (sizes != d).any() else b
-            x = _unit(part.column(2))
+            x = _unit(part.column(3))
             for p in range(first, first + count):
-                if (p, d) not in planes:
-                    planes[p, d] = np.random.default_rng([seed, p, int(d)]).standard_normal((int(d), BITS))[:, :bits]
-                cell = ((x @ planes[p, d]) > 0) @ weight
-                cols = {"pass": pa.array(np.full(len(x), p), pa.int32()), "size": part.column(1), "cell": pa.array(cell, pa.int64())}
-                yield pa.RecordBatch.from_pydict(cols | ({"rid": part.column(0), "vector": part.column(2)} if carry else {}))
+                cols = {"pass": pa.array(np.full(len(x), p), pa.int32()), "size": part.column(2), "cell": pa.array(planes.cells(x, p), pa.int64())}
+                yield pa.RecordBatch.from_pydict(cols | ({"rid": part.column(0), "copies": part.column(1), "vector": part.column(3)} if carry else {}))
 
 
 def _bits(distinct: DataFrame, total: int, threshold: float, miss: float, seed: int) -> int:
     """The prefix length whose passes and cells cost least, by the cells of the first pass at each length."""
     least = max(0, math.ceil(math.log2(max(total, 1) / WINDOW)) - 2)
     lengths = [*range(least, min(BITS, least + 21) + 1, 3)]
-    keyed = distinct.select("rid", "size", "vector").mapInArrow(lambda it: _keys(it, 0, 1, BITS, seed, carry=False), "pass int, size int, cell long")
+    keyed = distinct.select("rid", "copies", "size", "vector").mapInArrow(lambda it: _keys(it, 0, 1, BITS, seed, carry=False), "pass int, size int, cell long")
     cut = keyed.select("size", F.explode(F.array(*map(F.lit, lengths))).alias("bits"), "cell").withColumn("cell", F.expr(f"shiftright(cell, {BITS} - bits)"))
     c = F.col("n").cast("double")
     cost = F.sum(c * c + ROW * c * F.ceil(c / BLOCK))
@@ -101,14 +116,16 @@ def _tiles(u: np.ndarray, v: np.ndarray, x: np.ndarray, same: bool, threshold: f
         yield left, right, near
 
 
-def _linked(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Rows (pass, size, cell, i, j, block, rid, vector), sorted: forests of the pairs of each cell of blocks."""
+def _linked(batches: Iterator[pa.RecordBatch], threshold: float, bits: int, seed: int) -> Iterator[pa.RecordBatch]:
+    """Rows (pass, size, cell, i, j, block, rid, copies, vector), sorted: of each cell of blocks a forest (a, b) of its
+    pairs, and for each vector a the copies that it links to and no earlier pass has shown it."""
+    planes = _Planes(bits, seed)
     for t in _runs(batches, 5):
         if not t.num_rows:
             continue
-        rid, block = t.column("rid").to_numpy(), t.column("block").to_numpy()
-        i, j = t.column("i").to_numpy(), t.column("j").to_numpy()
-        left, right = [], []
+        rid, block, copies = (t.column(c).to_numpy() for c in ("rid", "block", "copies"))
+        number, i, j = (t.column(c).to_numpy() for c in ("pass", "i", "j"))
+        left, right, links = [], [], np.zeros(t.num_rows, dtype=np.int64)
         for a, b in _groups(t, 5):
             if b - a < 2:
                 continue
@@ -117,13 +134,25 @@ def _linked(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
             root = np.arange(b - a)
             for part, other, near in _tiles(u, v, x, i[a] == j[a], threshold):
                 p, q = np.nonzero(near)
-                if len(p):  # what the tiles before have joined stays joined
-                    root = fold(np.concatenate([part[p], root]), np.concatenate([other[q], np.arange(b - a)]), b - a)
+                if not len(p):
+                    continue
+                # what the tiles before have joined stays joined
+                root = fold(np.concatenate([part[p], root]), np.concatenate([other[q], np.arange(b - a)]), b - a)
+                p, q = np.unique(p), np.unique(q)
+                part, other, near = part[p], other[q], near[np.ix_(p, q)]
+                for k in range(number[a]):
+                    near &= planes.cells(x[part], k)[:, None] != planes.cells(x[other], k)
+                links[a + part] += near @ copies[a + other]
+                links[a + other] += near.T @ copies[a + part]
             leaf = np.nonzero(root != np.arange(b - a))[0]
             left.append(rid[a + root[leaf]])
             right.append(rid[a + leaf])
-        if left:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
+        some = np.nonzero(links)[0]
+        edges = sum(map(len, left))
+        if edges or len(some):
+            nodes = np.concatenate([*left, rid[some]])
+            others = pa.array(np.concatenate([*right, np.zeros(len(some), dtype=np.int64)]), pa.int64(), mask=np.arange(len(nodes)) >= edges)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), others, pa.array(np.concatenate([np.zeros(edges, dtype=np.int64), links[some]]))], names=["a", "b", "links"])
 
 
 def _counts(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
@@ -149,6 +178,20 @@ def _against(rows: DataFrame) -> DataFrame:
     return placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
 
 
+def _collapsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, row, vector) to (id, row, local, vector): equal vectors of a task name its first row; only that keeps the vector."""
+    first: dict[bytes, int] = {}
+    for b in batches:
+        vectors, rows = b.column(2), b.column(1).to_pylist()
+        values = vectors.values.to_numpy(zero_copy_only=False)
+        offsets = vectors.offsets.to_numpy()
+        local = []
+        for row, valid, start, end in zip(rows, vectors.is_valid().to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            local.append(first.setdefault(hashlib.blake2b(values[start:end].tobytes(), digest_size=16).digest(), row) if valid else None)
+        local = pa.array(local, pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), local, pc.if_else(pc.fill_null(pc.equal(local, b.column(1)), False), vectors, pa.scalar(None, vectors.type))], names=["id", "row", "local", "vector"])
+
+
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, miss: float = 1e-4, seed: int = 5) -> DataFrame:
     """One row per vector: id, n_links, component_id, kept."""
     spark = vectors.sparkSession
@@ -157,37 +200,46 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     kind = "float" if vectors.schema[vector_col].dataType == T.ArrayType(T.FloatType(), vectors.schema[vector_col].dataType.containsNull) else "double"
     v = F.col(vector_col).cast(f"array<{kind}>")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
-    rows = store(vectors.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), F.when(F.coalesce(finite, F.lit(False)), v).alias("vector")))
-    good = rows.where(F.col("vector").isNotNull())
+    read = store(vectors.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), F.when(F.coalesce(finite, F.lit(False)), v).alias("vector")))
+    rows = store(read.mapInArrow(_collapsed, f"id long, row long, local long, vector array<{kind}>"))
     # identical vectors: the row of the smallest id stands for them
-    same = good.groupBy("vector").agg(F.min(F.struct(F.coalesce("id", F.lit((1 << 63) - 1)).alias("id"), "row")).alias("best"), F.count(F.lit(1)).alias("copies"), F.min("id").alias("min_id"))
-    distinct = store(same.select(F.col("best.row").alias("rid"), "min_id", "copies", F.size("vector").alias("size"), "vector"))
+    least = F.coalesce("id", F.lit((1 << 63) - 1))
+    counted = rows.where("local IS NOT NULL").groupBy("local").agg(F.count(F.lit(1)).alias("copies"), F.min(least).alias("least"), F.min("id").alias("min_id"))
+    heads = rows.where("vector IS NOT NULL").select("local", "vector").join(counted, "local")
+    same = heads.groupBy("vector").agg(F.min(F.struct("least", "local")).alias("best"), F.sum("copies").alias("copies"), F.min("min_id").alias("min_id"), F.collect_list("local").alias("locals"))
+    whole = store(same.select(F.col("best.local").alias("rid"), "min_id", "copies", F.size("vector").alias("size"), "vector", "locals"))
+    distinct = whole.drop("locals")
     total = distinct.count()
-    edges: DataFrame | None = None
+    found: DataFrame | None = None
     bits = _bits(distinct, total, threshold, miss, seed) if total > 1 else 0
     needed = passes_for(total, threshold, miss, bits)
     for first in range(0, needed if total > 1 else 0, TOGETHER):
         count = min(TOGETHER, needed - first)
-        keyed = lambda schema, carry, f=first, c=count: distinct.select("rid", "size", "vector").mapInArrow(lambda it: _keys(it, f, c, bits, seed, carry), schema)
+        keyed = lambda schema, carry, f=first, c=count: distinct.select("rid", "copies", "size", "vector").mapInArrow(lambda it: _keys(it, f, c, bits, seed, carry), schema)
         at = ["pass", "size", "cell"]
-        large = keyed("pass int, size int, cell long", False).groupBy(*at).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
-        rows_at = keyed(f"pass int, size int, cell long, rid long, vector array<{kind}>", True).join(F.broadcast(large), at, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        dealt = _against(rows_at).select(*at, "i", "j", "block", "rid", "vector").repartition(n, *at, "i", "j").sortWithinPartitions(*at, "i", "j", "rid")
-        these = store(dealt.mapInArrow(lambda it: _linked(it, threshold), "a long, b long").distinct())
-        edges = these if edges is None else edges.unionByName(these)
-    if edges is None:
-        edges = spark.createDataFrame([], "a long, b long")
-    comp = connected_components(edges).withColumnRenamed("node", "rid")
-    members = store(distinct.join(comp, "rid").select("rid", "component", "copies", "min_id", "vector"))
-    sizes = members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    cells = _against(members.join(sizes, "component")).select("component", "i", "j", "block", "rid", "copies", "vector")
-    cells = cells.repartition(n, "component", "i", "j").sortWithinPartitions("component", "i", "j", "rid")
-    linked = cells.mapInArrow(lambda it: _counts(it, threshold), "rid long, links long").groupBy("rid").agg(F.sum("links").alias("links"))
-    least = members.groupBy("component").agg(F.min("min_id").alias("component_min"))
-    settled = distinct.select("rid", "min_id", "copies", "vector").join(linked, "rid", "left").join(members.select("rid", "component"), "rid", "left").join(least, "component", "left")
-    settled = settled.select("vector", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_min", "min_id").alias("component_id"))
-    out = good.join(settled, "vector").select("id", "n_links", "component_id")
-    out = out.unionByName(rows.where(F.col("vector").isNull()).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id")))
+        large = store(keyed("pass int, size int, cell long", False).groupBy(*at).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("blocks > 1"))
+        rows_at = keyed(f"pass int, size int, cell long, rid long, copies long, vector array<{kind}>", True).join(large, at, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        dealt = _against(rows_at).select(*at, "i", "j", "block", "rid", "copies", "vector").repartition(n, *at, "i", "j").sortWithinPartitions(*at, "i", "j", "rid")
+        these = store(dealt.mapInArrow(lambda it: _linked(it, threshold, bits, seed), "a long, b long, links long").groupBy("a", "b").agg(F.sum("links").alias("links")))
+        found = these if found is None else found.unionByName(these)
+    if found is None:
+        found = spark.createDataFrame([], "a long, b long, links long")
+    comp = connected_components(found.where("b IS NOT NULL").select("a", "b")).withColumnRenamed("node", "rid")
+    comp = store(comp)
+    sizes = store(comp.groupBy("component").agg(F.count(F.lit(1)).alias("members")))
+    small = sizes.where(F.col("members") <= BLOCK).select("component")
+    members = distinct.join(comp.join(small, "component"), "rid").withColumns({"i": F.lit(0), "j": F.lit(0), "block": F.lit(0)})
+    cells = members.select("component", "i", "j", "block", "rid", "copies", "vector").repartition(n, "component", "i", "j").sortWithinPartitions("component", "i", "j", "rid")
+    inside = cells.mapInArrow(lambda it: _counts(it, threshold), "rid long, links long")
+    across = found.where("b IS NULL").select(F.col("a").alias("rid"), "links").join(comp.join(sizes.where(F.col("members") > BLOCK), "component").select("rid"), "rid")
+    linked = inside.unionByName(across).groupBy("rid").agg(F.sum("links").alias("links"))
+    ids = whole.drop("vector")
+    least = ids.join(comp, "rid").groupBy("component").agg(F.min("min_id").alias("component_min"))
+    of = comp.join(least, "component").select("rid", "component_min")
+    settled = ids.join(linked, "rid", "left").join(of, "rid", "left")
+    settled = settled.select(F.explode("locals").alias("local"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_min", "min_id").alias("component_id"))
+    out = rows.where("local IS NOT NULL").select("id", "local").join(settled, "local").select("id", "n_links", "component_id")
+    out = out.unionByName(rows.where("local IS NULL").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id")))
     return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 

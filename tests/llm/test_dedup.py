@@ -216,6 +216,33 @@ def test_near_vectors_in_a_dense_group(spark):
     assert len(wrong) <= 4, len(wrong)
 
 
+def test_vectors_of_extreme_size_repeated_ids_and_the_threshold(spark):
+    """Magnitudes whose squares over- or underflow, denormals; a cosine of exactly the threshold; ids that repeat."""
+    base = [1.0, 2.0, -1.0, 0.5]
+    far = [-2.0, 1.0, 1.0, 2.0]  # at right angles to base
+    rows = [(i, [x * size for x in base]) for i, size in enumerate((1.0, 1e200, 1e-200, 1e308 / 2, 2.0**-1070))]
+    rows += [(10, [x * 1e-200 for x in far]), (11, [x * 1e200 for x in far]), (12, [3.0, 4.0, 0.0, 0.0]), (13, [1.0, 0.0, 0.0, 0.0]), (13, [0.0, 0.0, 0.0, 7e-310]), (13, [0.0, 0.0, 0.0, 7e300])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted((g.vec_id, g.n_links, g.component_id, g.kept) for g in near_vectors(df).collect())
+    assert got == sorted([(i, 4, 0, i == 0) for i in range(5)] + [(10, 1, 10, True), (11, 1, 10, False), (12, 0, 12, True), (13, 0, 13, True), (13, 1, 13, True), (13, 1, 13, True)])
+    same = {g.vec_id: g.n_links for g in near_vectors(df.where("vec_id IN (12, 13)"), threshold=0.6).collect()}
+    assert same[12] == 1  # 3/5 against (1, 0, 0, 0) is the threshold itself
+
+
+@pytest.mark.parametrize("block", [64, embedding_dedup.BLOCK])
+def test_a_shared_vector_and_a_chain(spark, monkeypatch, block):
+    """A third of the rows are one vector; a chain of neighbours is one component; links come from the cells or the component."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", block)
+    turn = np.arange(900) * 0.2
+    plane = np.stack([np.cos(turn), np.sin(turn)], axis=1)
+    x = np.concatenate([np.c_[plane * 0.6, np.outer(np.ones(900), [0.8]), turn[:, None] * 0.08], np.tile([[0.0, 0.0, -1.0, 0.0]], (450, 1))])
+    links, comp = linked(x)
+    assert np.bincount(comp).max() > 128
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(5)
+    got = {g.vec_id: g for g in near_vectors(df, miss=1e-9).collect()}
+    assert [(got[i].n_links, got[i].component_id, got[i].kept) for i in range(len(x))] == [(links[i], comp[i], comp[i] == i) for i in range(len(x))]
+
+
 @pytest.mark.parametrize("f", [lambda d: exact_dedup.exact_dedup(d), lambda d: exact_dedup.exact_dedup_rows(d), lambda d: minhash_dedup.near_dedup(d), lambda d: minhash_dedup.near_dedup_rows(d)])
 def test_empty_tables(spark, f):
     assert f(spark.createDataFrame([], SCHEMA)).count() == 0
