@@ -8,6 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strophe.operators import chinese as words_of
+from strophe.operators import g2p
+
 #: Words of digits met in English text (fixed value).
 DIGITS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine")
 
@@ -26,34 +29,30 @@ def language_runs(c: Column) -> Column:
     return F.filter(tagged, lambda x: x.isNotNull())
 
 
+#: Syllables whose letters aren't their initial and final, as pattern and `initial final` (fixed values). A row for each spelling.
+SPELLINGS = (
+    ("([zcsr])i", "$1 ii"), ("([zcs]h)i", "$1 iii"),
+    ("y(a|an|ang|ao|e|ong|ou)", " i$1"), ("y(i|in|ing)", " $1"), ("y[uv](|an|n)", " v$1"), ("yve", " ve"),
+    ("wu", " u"), ("w(.*)", " u$1"), ("([jqx])u(.*)", "$1 v$2"),
+    ("([^aeiouv]*)ui", "$1 uei"), ("([^aeiouv]*)iu", "$1 iou"), ("([^aeiouv]*)un", "$1 uen"), ("([^aeiouv]*)ue", "$1 ve"),
+    ("([^aeiouv]*)([aeiouv].*)", "$1 $2"),
+)
+#: What one variant spells otherwise (fixed values): evaluation reads `yue` as a final alone.
+EVALUATED = (("yue", " ve"),)
+
+
 def split_pinyin(c: Column, variant: str = "eval") -> Column:
-    """initial and final of a toned syllable, the tone staying on the final.
+    """initial and final of a toned syllable, a final r and the tone staying on the final.
 
-    The training variant reads `yue` as initial y and final ve.
+    A syllable without any vowel has neither; an r alone is a final in the training variant and nothing in the other.
     """
     tone = F.regexp_extract(c, r"(\d)$", 1)
-    plain = F.regexp_replace(c, r"\d$", "")
-    plain = F.when(plain.isin("n", "ng", "m"), F.concat(F.lit("e"), plain)).otherwise(plain)
+    plain = F.regexp_replace(F.regexp_replace(c, r"\d$", ""), "^(n|ng|m)$", "e$1")
     r = F.when(plain.endswith("r"), "r").otherwise("")
     p = F.regexp_replace(plain, "r$", "")
-    initial, final = F.regexp_extract(p, "^([^aeiouv]*)", 1), F.regexp_extract(p, "([aeiouv].*)$", 1)
-    whole = F.create_map(*(F.lit(x) for pair in (("ui", "uei"), ("iu", "iou"), ("un", "uen"), ("ue", "ve")) for x in pair))
-    yu = ("yu", "yv", "yuan", "yvan", "yve", "yun", "yvn", *(("yue",) if variant == "eval" else ()))
-    pair = lambda a, b: F.struct(a.alias("initial"), F.concat(b, r, tone).alias("final"))
-    one, two = F.substring(p, 1, 1), F.substring(p, 1, 2)
-    from_ = lambda k: F.substring(p, F.lit(k), F.length(p))
-    return (
-        F.when(p.isin("zi", "ci", "si", "ri"), pair(one, F.lit("ii")))
-        .when(p.isin("zhi", "chi", "shi"), pair(two, F.lit("iii")))
-        .when(p.isin("ya", "yan", "yang", "yao", "ye", "yong", "you"), pair(F.lit(""), F.concat(F.lit("i"), from_(2))))
-        .when(p.isin("yi", "yin", "ying"), pair(F.lit(""), from_(2)))
-        .when(p.isin(*yu), pair(F.lit(""), F.concat(F.lit("v"), from_(3))))
-        .when(p == "wu", pair(F.lit(""), F.lit("u")))
-        .when(p.startswith("w"), pair(F.lit(""), F.concat(F.lit("u"), from_(2))))
-        .when(p.rlike("^[jqx]u"), pair(one, F.concat(F.lit("v"), from_(3))))
-        .when(final == "", F.struct(F.lit("").alias("initial"), F.lit("").alias("final")))
-        .otherwise(pair(initial, F.coalesce(F.try_element_at(whole, final), final)))
-    )
+    rows = (*EVALUATED, *SPELLINGS) if variant == "eval" else SPELLINGS
+    found = F.coalesce(*(F.when(p.rlike(f"^{k}$"), F.regexp_replace(p, f"^{k}$", v)) for k, v in rows), F.when((p == "") & (r == "r") & F.lit(variant != "eval"), F.lit(" ")))
+    return F.struct(F.coalesce(F.split_part(found, F.lit(" "), F.lit(1)), F.lit("")).alias("initial"), F.coalesce(F.concat(F.split_part(found, F.lit(" "), F.lit(2)), r, tone), F.lit("")).alias("final"))
 
 
 def spell(word: str) -> list[str]:
@@ -61,23 +60,33 @@ def spell(word: str) -> list[str]:
     return [x.upper() for x in word if x.isalpha()]
 
 
-def phonemes(runs: DataFrame, key: str, lexicon: DataFrame, fallback: Callable[[str], list[str]] = spell, with_sp: bool = False) -> DataFrame:
-    """(key, pos, text) words to each key's phonemes in order, tones and stresses removed.
+def phonemes(runs: DataFrame, key: str, lexicon: DataFrame, fallback: Callable[[str], list[str]] | str = spell, with_sp: bool = False, chinese: DataFrame | None = None, variant: str = "eval") -> DataFrame:
+    """(key, pos, text) runs to each key's phonemes in order, tones and stresses removed.
 
-    Words come from the lexicon (word, phones) in lower case; those it lacks go through `fallback`,
-    once for each distinct word.
+    Words come from the lexicon (word, phones) in lower case, the first by phones of equal ones; those it lacks go through `fallback`,
+    once for each distinct word: a function, or "learned" for a model fitted on the lexicon. With `chinese`, a lexicon
+    (word, weight, readings), runs of its characters are cut into words and read; without, they are words like others.
     """
     low = runs.withColumn("word", F.lower("text"))
-    missing = low.select("word").distinct().join(lexicon, "word", "left_anti")
-
-    def convert(words: pd.Series) -> pd.Series:
-        return words.map(fallback)
-
-    spelled = missing.withColumn("phones", F.pandas_udf(convert, "array<string>")("word"))
-    known = lexicon.select("word", "phones").unionByName(spelled)
-    phones = F.filter(F.transform("phones", lambda x: F.regexp_replace(x, r"\d+", "")), lambda x: x != "")
-    phones = F.when(F.size("phones") > 0, F.concat(phones, F.array(F.lit("sp")))).otherwise(phones) if with_sp else phones
-    said = low.join(known, "word").select(key, "pos", phones.alias("p"))
+    lexicon = lexicon.groupBy(F.lower("word").alias("word")).agg(F.min("phones").alias("phones"))
+    is_chinese = F.col("word").rlike("^[一-鿿]+$") & F.lit(chinese is not None)
+    missing = low.select("word").distinct().where(~is_chinese).join(lexicon, "word", "left_anti")
+    if fallback == "learned":
+        spelled = g2p.convert_words(missing, g2p.fit(lexicon))
+    else:
+
+        def convert(words: pd.Series) -> pd.Series:
+            return words.map(fallback)
+
+        spelled = missing.withColumn("phones", F.pandas_udf(convert, "array<string>")("word"))
+    plain = lambda c: F.filter(F.transform(c, lambda x: F.regexp_replace(x, r"\d+", "")), lambda x: x != "")
+    paused = lambda c: F.when(F.size(c) > 0, F.concat(c, F.array(F.lit("sp")))).otherwise(c) if with_sp else c
+    known = lexicon.select("word", "phones").unionByName(spelled).select("word", paused(plain(F.col("phones"))).alias("p"))
+    if chinese is not None:
+        cut = words_of.cut_runs(low.where(is_chinese), chinese, "word")
+        said = plain(words_of.spoken(F.col("words"), F.col("readings"), lambda x: split_pinyin(x, variant), with_sp))
+        known = known.unionByName(cut.select(F.col("run").alias("word"), said.alias("p")))
+    said = low.join(known, "word").select(key, "pos", "p")
     return said.groupBy(key).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "p"))), lambda x: x["p"])).alias("phonemes"))
 
 

@@ -86,7 +86,7 @@ def similarity_dedup(songs: DataFrame, threshold: float = 0.9, key: str = "row_i
     return dedup.greedy_keep(songs, dedup.similarity_edges(vectors, threshold), key)
 
 
-def per_evaluation(hyp: DataFrame, gt: DataFrame, lexicon: DataFrame, offset: int = 0) -> DataFrame:
+def per_evaluation(hyp: DataFrame, gt: DataFrame, lexicon: DataFrame, offset: int = 0, **spoken) -> DataFrame:
     """Phoneme error rate of each transcription: file_index, per, ref_text, hyp_text, phonemes of both."""
     index = F.coalesce(F.col("file_idx"), text.last_number(F.col("file_name")))
     pairs = relational.offset_join(hyp, gt, index, offset)
@@ -94,7 +94,7 @@ def per_evaluation(hyp: DataFrame, gt: DataFrame, lexicon: DataFrame, offset: in
     pairs = pairs.withColumns({"ref_text": ref, "heard": heard}).select("file_index", "ref_text", F.col("heard").alias("hyp_text"))
     sides = pairs.select("file_index", F.explode(F.array(F.struct(F.lit("ref").alias("side"), F.col("ref_text").alias("t")), F.struct(F.lit("hyp").alias("side"), F.col("hyp_text").alias("t")))).alias("s")).select(F.concat_ws("|", "file_index", "s.side").alias("k"), "s.t")
     runs = sides.select("k", F.posexplode(phonemes.language_runs(F.col("t"))).alias("pos", "r")).select("k", "pos", F.col("r.text").alias("text"))
-    said = phonemes.phonemes(runs, "k", lexicon)
+    said = phonemes.phonemes(runs, "k", lexicon, **spoken)
     empty = F.array().cast("array<string>")
     side = lambda s: said.where(F.col("k").endswith(f"|{s}")).select(F.split("k", r"\|")[0].cast("long").alias("file_index"), F.col("phonemes").alias(f"{s}_phonemes"))
     out = pairs.join(side("ref"), "file_index", "left").join(side("hyp"), "file_index", "left")
@@ -164,14 +164,14 @@ def written_songs(prompts: DataFrame, prompt: str = "prompt") -> DataFrame:
     return relational.with_fields(songs, "description", "lyrics").where(lrc.is_valid(F.col("lyrics")))
 
 
-def conversation_phonemes(turns: DataFrame, conv: str, lexicon: DataFrame, with_sp: bool = True) -> DataFrame:
+def conversation_phonemes(turns: DataFrame, conv: str, lexicon: DataFrame, with_sp: bool = True, **spoken) -> DataFrame:
     """Turns after the first that aren't the assistant's, with the phonemes of their lyrics line by line."""
     said = relational.prompts_only(turns).withColumn("lines", text.phoneme_lyrics(F.col("text"))).where(F.col("lines").isNotNull())
     lines = said.select(conv, "turn", F.posexplode("lines").alias("n", "line")).withColumn("k", F.concat_ws("|", conv, "turn", "n"))
     runs = lines.select("k", F.posexplode(phonemes.language_runs(F.col("line"))).alias("pos", "r")).select("k", "pos", F.col("r.text").alias("text"))
-    spoken = lines.join(phonemes.phonemes(runs, "k", lexicon, with_sp=with_sp), "k", "left")
+    heard = lines.join(phonemes.phonemes(runs, "k", lexicon, with_sp=with_sp, **spoken), "k", "left")
     per = F.array_sort(F.collect_list(F.struct("n", F.coalesce(F.array_join("phonemes", " "), F.lit("")).alias("p"))))
-    return spoken.groupBy(conv, "turn").agg(F.array_join(F.transform(per, lambda x: x["p"]), "\n").alias("phonemes"))
+    return heard.groupBy(conv, "turn").agg(F.array_join(F.transform(per, lambda x: x["p"]), "\n").alias("phonemes"))
 
 
 def generation_run(spark, songs: int, partitions: int = 4) -> tuple[DataFrame, DataFrame]:

@@ -370,16 +370,6 @@ def asr_batch(t):
     return models.batch_map(t("pages").select("page_id", "url"), "url", "said", "string", models.load_asr).select("page_id", "said")
 
 
-@query("""WITH w AS (SELECT conv_id, turn, regexp_extract_all(text, '[a-zA-Z]+') AS w FROM conversations WHERE turn > 0 AND role <> 'assistant')
-SELECT conv_id, turn, trim(array_to_string(list_transform(w, lambda x: trim(regexp_replace(upper(x), '(.)', '\\1 ', 'g')) || ' sp'), ' ')) AS phonemes FROM w""")
-def conversation_phonemes(t):
-    from strophe.plans.composites import conversation_phonemes as spoken
-
-    lexicon = t("region").limit(0).select(F.col("r_name").alias("word"), F.array("r_name").alias("phones"))
-    c = t("conversations").withColumn("text", F.concat(F.lit("[lyrics:"), F.regexp_replace(F.regexp_replace("text", r"[^\x00-\x7f]", " "), r"[\[\]\n]", " "), F.lit("]")))
-    return spoken(c, "conv_id", lexicon)
-
-
 @query("""WITH s AS (SELECT i AS song, i % 7 <> 6 AS ok, i % 3 + 1 AS polls FROM (SELECT unnest(range(0, 200)) AS i))
 SELECT count(*) AS total, count(*) FILTER (ok) AS n_success, count(*) FILTER (NOT ok) AS n_fail, CAST(sum(CASE WHEN ok THEN 2 ELSE 0 END) AS BIGINT) AS tracks, CAST(sum(polls) AS BIGINT) AS polls, round(avg(polls), 6) AS avg_polls FROM s""")
 def generation_run(t):
@@ -412,20 +402,6 @@ def baseline_lyrics(t):
     return reshape(c, "conv_id")
 
 
-@query("""WITH p AS (SELECT a.conv_id * 1000 + a.turn AS file_index, regexp_replace(regexp_replace(a.text, '[ ,。"，:;&—''.\\]\\[()?\\n-]', ' ', 'g'), ' {2,}', ' ', 'g') AS r, regexp_replace(regexp_replace(b.text, '[ ,。"，:;&—''.\\]\\[()?\\n-]', ' ', 'g'), ' {2,}', ' ', 'g') AS h FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn + 1 = b.turn),
-c AS (SELECT file_index, left(r, least(length(r), length(h))) AS r, left(h, least(length(r), length(h))) AS h FROM p),
-w AS (SELECT file_index, upper(regexp_replace(r, '[^a-zA-Z]', '', 'g')) AS r, upper(regexp_replace(h, '[^a-zA-Z]', '', 'g')) AS h FROM c)
-SELECT file_index, round(CASE WHEN length(r) = 0 THEN (CASE WHEN length(h) > 0 THEN 1.0 ELSE 0.0 END) ELSE levenshtein(r, h) / length(r) END, 6) AS per FROM w""")
-def per_evaluation(t):
-    from strophe.plans.composites import per_evaluation as evaluate
-
-    c = t("conversations").withColumn("k", F.col("conv_id") * 1000 + F.col("turn"))
-    hyp = c.select((F.col("k") - 1).alias("file_idx"), F.lit("x").alias("file_name"), F.col("text").alias("hyp_text"))
-    gt = c.select(F.col("k").alias("file_index"), F.col("text").alias("lyrics"))
-    lexicon = t("region").limit(0).select(F.col("r_name").alias("word"), F.array("r_name").alias("phones"))
-    return evaluate(hyp, gt, lexicon).select("file_index", r6("per").alias("per"))
-
-
 @query("""SELECT count(*) AS n FROM (SELECT DISTINCT doc_id, lang FROM documents)""")
 def written_songs(t):
     from strophe.plans.composites import written_songs as write

@@ -608,13 +608,6 @@ def phoneme_errors(t):
     return c.join(nxt, ["conv_id", "turn"]).select("conv_id", "turn", r6(phonemes.phoneme_error_rate(letters(ref), letters(hyp))).alias("per"))
 
 
-@query("""WITH r AS (SELECT item_id, regexp_extract_all(translate(regexp_replace(text, '[0-9]', '', 'g'), 'ht', '哈特'), '[\\x{4e00}-\\x{9fff}]+|[a-zA-Z]+') AS w FROM benchmark), u AS (SELECT item_id, unnest(w) AS word FROM r)
-SELECT item_id, word, CASE WHEN regexp_matches(word, '^[a-zA-Z]') THEN 1 ELSE 0 END AS tag FROM u""")
-def language_runs(t):
-    runs = phonemes.language_runs(F.translate(F.regexp_replace("text", "[0-9]", ""), "ht", "哈特"))
-    return t("benchmark").select("item_id", F.explode(runs).alias("r")).select("item_id", F.col("r.text").alias("word"), F.col("r.tag").alias("tag"))
-
-
 # Composite pipelines over derived inputs
 
 
@@ -675,4 +668,4 @@ def generated_turns(t):
     return models.generate_turns(t("conversations"), lambda history: f"answer {len(history)}").withColumn("error", F.coalesce("error", F.lit("")))
 
 
-from strophe.plans import files, more  # noqa: E402, F401  (their queries register themselves)
+from strophe.plans import files, media, more, speech  # noqa: E402, F401  (their queries register themselves)
