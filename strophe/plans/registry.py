@@ -668,4 +668,4 @@ def generated_turns(t):
     return models.generate_turns(t("conversations"), lambda history: f"answer {len(history)}").withColumn("error", F.coalesce("error", F.lit("")))
 
 
-from strophe.plans import files, media, more, speech  # noqa: E402, F401  (their queries register themselves)
+from strophe.plans import files, media, more, speech, streams  # noqa: E402, F401  (their queries register themselves)

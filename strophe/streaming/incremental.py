@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 
 def process_new(source: DataFrame, key: str, work: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
@@ -16,31 +15,64 @@ def process_new(source: DataFrame, key: str, work: Callable[[DataFrame], DataFra
     return work(source.dropDuplicates([key])).writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
-def request_windows(log: DataFrame, ts: str = "ts", late: str = "1 minute", by: str | None = None) -> DataFrame:
-    """Requests in sliding windows of ten seconds, one second apart, as a streaming aggregate."""
-    keys = [F.window(ts, "10 seconds", "1 second"), *([F.col(by)] if by else [])]
+def request_windows(log: DataFrame, ts: str = "ts", late: str = "1 minute", by: str | None = None, length: str = "10 seconds", slide: str = "1 second") -> DataFrame:
+    """Requests in sliding windows as a streaming aggregate; a window is given out when the watermark has passed it.
+
+    Requests that come later than `late` after newer ones are dropped where their windows are out already.
+    """
+    keys = [F.window(ts, length, slide), *([F.col(by)] if by else [])]
     return log.withWatermark(ts, late).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
 
-def poll(events: DataFrame, timeout_ms: int, key: str = "task_id") -> DataFrame:
-    """(task_id, status) updates to one outcome for each task: its final status, or `timeout`."""
-
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        polls = state.get[0] if state.exists else 0
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame({key: [k[0]], "outcome": ["timeout"], "polls": [polls]})
-            return
-        final = None
-        for b in batches:
-            polls += len(b)
-            done = b["status"][b["status"].isin(["succeeded", "failed"])]
-            final = done.iloc[0] if len(done) else final
-        if final:
-            state.remove() if state.exists else None
-            yield pd.DataFrame({key: [k[0]], "outcome": [final], "polls": [polls]})
-        else:
-            state.update((polls,))
-            state.setTimeoutDuration(timeout_ms)
-
-    return events.groupBy(key).applyInPandasWithState(step, f"{key} string, outcome string, polls long", "polls long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+_FINAL = ("succeeded", "failed")
+
+
+class _Poll(StatefulProcessor):
+    """Status updates of one task, held until the watermark shows that none before a moment is missing."""
+
+    def __init__(self, key: str, timeout_us: int):
+        self.key, self.timeout = key, timeout_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getListState("seen", "us long, status string")
+        self.done = handle.getValueState("done", "done boolean")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        new = [(r["us"], r["status"]) for r in rows]
+        if self.done.exists():
+            return iter(())
+        for x in new:
+            self.seen.appendValue(x)
+        moments = {min(us for us, _ in self.seen.get()) + self.timeout} | {us for us, status in new if status in _FINAL}
+        for us in moments:  # timers are by the millisecond: at its end nothing of it is missing
+            self.handle.registerTimer(us // 1000 + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
+        if not self.done.exists():
+            seen = sorted(self.seen.get())
+            deadline = seen[0][0] + self.timeout
+            at, outcome = min(((us, status) for us, status in seen if status in _FINAL and us <= deadline), default=(deadline, "timeout"))
+            if at < expiredTimerInfo.getExpiryTimeInMs() * 1000:
+                self.seen.clear()
+                self.done.update((True,))
+                yield Row(**{self.key: key[0], "outcome": outcome, "polls": sum(us <= at for us, _ in seen)})
+
+    def close(self) -> None:
+        pass
+
+
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def poll(events: DataFrame, timeout_ms: int, key: str = "task_id", ts: str = "ts", late: str = "1 minute") -> DataFrame:
+    """(task_id, ts, status) updates to one outcome for each task: its first final status, or `timeout`, and the polls up to it.
+
+    All by the events' own time: a task times out when `timeout_ms` have passed since its first update and the watermark
+    has passed that moment. Of final statuses at one moment `failed` counts.
+    """
+    kind = dict(events.dtypes)[key]
+    rows = events.withWatermark(ts, late).select(key, ts, F.unix_micros(ts).alias("us"), "status")
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
+    return rows.groupBy(key).transformWithState(_Poll(key, timeout_ms * 1000), f"{key} {kind}, outcome string, polls long", "append", "eventTime")

@@ -1,6 +1,5 @@
 import json
 import os
-import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -187,14 +186,6 @@ def test_streams(spark, tmp_path):
     q = w.writeStream.format("memory").queryName("rates").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("rates").agg(F.max("n")).first()[0] == 2
-    ev = str(tmp_path / "ev")
-    spark.createDataFrame([("t1", "running"), ("t1", "succeeded"), ("t2", "failed")], "task_id string, status string").coalesce(1).write.json(ev)
-    q = incremental.poll(spark.readStream.schema("task_id string, status string").json(ev), 60_000).writeStream.format("memory").queryName("polls").outputMode("append").start()
-    until = time.time() + 60  # a state with timers never runs out of batches
-    while spark.table("polls").count() < 2 and time.time() < until:
-        time.sleep(0.5)
-    q.stop()
-    assert sorted((r.task_id, r.outcome, r.polls) for r in spark.table("polls").collect()) == [("t1", "succeeded", 2), ("t2", "failed", 1)]
 
 
 def test_services_and_vocabulary(spark):
