@@ -136,36 +136,6 @@ def sample_offsets(chunks: DataFrame, song: str, order: str, n_tokens: Column, t
     return chunks.withColumns({"start_sample": begin, "__dur": dur}).where(F.col("start_sample") < total_samples).withColumn("end_sample", F.least(F.col("start_sample") + F.col("__dur"), total_samples)).drop("__dur")
 
 
-def voiced_spans(frames: DataFrame, path: str = "path", ring: int = 10, share: float = 0.9, frame_s: float = 0.03) -> DataFrame:
-    """Speech spans by hysteresis over a ring of frames that clears at each switch; (-1, -1) if there is none.
-
-    Columns: path, ts, is_speech.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        spans: list[tuple[float, float]] = []
-        held: list[tuple[float, bool]] = []
-        start: float | None = None
-        last = 0.0
-        for r in pdf.sort_values("ts").itertuples():
-            held = [*held[-(ring - 1) :], (r.ts, bool(r.is_speech))]
-            last = r.ts + frame_s
-            if sum(v == (start is None) for _, v in held) > share * ring:
-                if start is None:
-                    start = held[0][0]
-                else:
-                    spans.append((start, last))
-                    start = None
-                held = []
-        if start is not None:
-            spans.append((start, last))
-        spans = spans or [(-1.0, -1.0)]
-        return pd.DataFrame({path: pdf[path].iloc[0], "span": range(len(spans)), "start": [a for a, _ in spans], "end": [b for _, b in spans]})
-
-    kind = dict(frames.dtypes)[path]
-    return frames.groupBy(path).applyInPandas(run, f"{path} {kind}, span int, start double, end double")
-
-
 def greedy_prefix(df: DataFrame, group: str, order: str, content: str, limit: int = 1600) -> DataFrame:
     """Leading non-empty contents whose joined length stays within the limit."""
     w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

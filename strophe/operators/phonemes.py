@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from strophe.operators import chinese as words_of
 from strophe.operators import g2p
@@ -105,29 +106,63 @@ def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def bit_distance(a: Sequence, b: Sequence, most: int | None = None) -> int:
+    """Edit distance of two lists of any elements; beyond `most`, some number above it.
+
+    A column of the table is two sets of bits (where it rises and falls from row to row), moved on by one element of b
+    at a time in arithmetic on whole words; the loop stops where the rest can't bring the distance down to `most`.
+    """
+    if len(a) > len(b):
+        a, b = b, a
+    if not a:
+        return len(b)
+    rows: dict = {}
+    for i, x in enumerate(a):
+        rows[x] = rows.get(x, 0) | 1 << i
+    last, whole = 1 << len(a) - 1, (1 << len(a)) - 1
+    up, down, score = whole, 0, len(a)
+    for i, x in enumerate(b):
+        same = rows.get(x, 0)
+        diagonal = ((same & up) + up ^ up) | same | down
+        rise, fall = down | ~(diagonal | up) & whole, up & diagonal
+        score += bool(rise & last) - bool(fall & last)
+        if most is not None and score - (len(b) - 1 - i) > most:
+            return score
+        rise, fall = rise << 1 | 1, fall << 1
+        up, down = (fall | ~(diagonal | rise)) & whole, rise & diagonal & whole
+    return score
+
+
+@F.pandas_udf(IntegerType())
+def _wide_distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else bit_distance(x.tolist(), y.tolist()) for x, y in zip(a, b, strict=True)], dtype="Int32")
+
+
 def list_distance(a: Column, b: Column) -> Column:
-    """Edit distance of lists: each pair's distinct elements become one character each.
+    """Edit distance of lists of any number of symbols.
 
-    Up to ONE_BYTE symbols are ASCII characters, for which distances are fastest; more are characters of the basic plane
-    without its surrogates; a pair of more than ONE_CHARACTER symbols raises.
+    A pair's distinct elements become one character each: up to ONE_BYTE symbols are ASCII characters, for which distances
+    are fastest, more are characters of the basic plane without its surrogates. Pairs with more elements than
+    it has characters go through `bit_distance`.
     """
+    wide = F.size(a) + F.size(b) > ONE_CHARACTER
 
     def distance(p: Column) -> Column:
         n = F.size(p["s"])
 
         def code(x: Column) -> Column:
             at = F.array_position(p["s"], x)
-            wide = F.decode(F.unhex(F.lpad(F.hex(at + F.when(at + 0x4DFF < 0xD800, 0x4DFF).otherwise(0x4DFF + 0x800)), 4, "0")), "UTF-16BE")
-            return F.when(n <= ONE_BYTE, F.char(at + 31)).when(n <= ONE_CHARACTER, wide).otherwise(F.raise_error(F.lit("too many distinct elements to compare lists")).cast("string"))
+            character = F.decode(F.unhex(F.lpad(F.hex(at + F.when(at + 0x4DFF < 0xD800, 0x4DFF).otherwise(0x4DFF + 0x800)), 4, "0")), "UTF-16BE")
+            return F.when(n <= ONE_BYTE, F.char(at + 31)).otherwise(character)
 
         line = lambda c: F.array_join(F.transform(c, code), "")
         return F.levenshtein(line(p["a"]), line(p["b"]))
 
-    both = F.struct(a.alias("a"), b.alias("b"))
-    return _bound(both, lambda q: _bound(F.struct(q["a"].alias("a"), q["b"].alias("b"), F.array_distinct(F.concat(q["a"], q["b"])).alias("s")), distance))
+    both = F.struct(F.when(~wide, a).alias("a"), F.when(~wide, b).alias("b"))
+    narrow = _bound(both, lambda q: _bound(F.struct(q["a"].alias("a"), q["b"].alias("b"), F.array_distinct(F.concat(q["a"], q["b"])).alias("s")), distance))
+    return F.when(wide, _wide_distance(F.when(wide, a), F.when(wide, b))).otherwise(narrow)
 
 
 def phoneme_error_rate(ref: Column, hyp: Column) -> Column:
     """Distance by reference length; of an empty reference 1 if anything was heard, else 0."""
-    rate = lambda p: F.when(F.size(p["r"]) == 0, F.when(F.size(p["h"]) > 0, 1.0).otherwise(0.0)).otherwise(list_distance(p["r"], p["h"]) / F.size(p["r"]))
-    return _bound(F.struct(ref.alias("r"), hyp.alias("h")), rate)
+    return F.when(F.size(ref) == 0, F.when(F.size(hyp) > 0, 1.0).otherwise(0.0)).otherwise(list_distance(ref, hyp) / F.size(ref))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strophe.functions import jsonx, lrc, text, tokens
-from strophe.operators import dedup, models, ordered, phonemes, relational, report
+from strophe.operators import dedup, hysteresis, models, ordered, phonemes, relational, report
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -526,7 +526,7 @@ s AS (SELECT user_id, a, b, row_number() OVER (PARTITION BY user_id ORDER BY k)
 SELECT user_id AS path, CAST(coalesce(span, 0) AS INT) AS span, round(coalesce(a, -1), 6) AS start, round(coalesce(b, -1), 6) AS "end" FROM (SELECT DISTINCT user_id FROM events) LEFT JOIN s USING (user_id)""")
 def voiced_spans(t):
     e = t("events").select(F.col("user_id").alias("path"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"), (F.col("value") > 10).alias("is_speech"))
-    return ordered.voiced_spans(e).withColumns({"start": r6("start"), "end": r6("end")})
+    return hysteresis.voiced_spans(e).withColumns({"start": r6("start"), "end": r6("end")})
 
 
 @query("""WITH RECURSIVE f AS (SELECT user_id, epoch_us(ts) / 1e6 AS ts_s, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS k FROM events),

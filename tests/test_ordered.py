@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strophe.operators import dedup, models, ordered, relational
+from strophe.operators import dedup, hysteresis, models, ordered, phonemes, relational
 
 
 def test_sections(spark):
@@ -121,7 +122,7 @@ def test_offsets_prefix_and_batches(spark):
 def test_voiced_spans(spark):
     frames = [("a", i * 0.03, 20 <= i < 60) for i in range(120)] + [("quiet", i * 0.03, False) for i in range(30)] + [("end", i * 0.03, i > 5) for i in range(40)]
     got = {}
-    for g in ordered.voiced_spans(spark.createDataFrame(frames, "path string, ts double, is_speech boolean")).collect():
+    for g in hysteresis.voiced_spans(spark.createDataFrame(frames, "path string, ts double, is_speech boolean")).collect():
         got.setdefault(g.path, []).append((round(g.start, 2), round(g.end, 2)))
     assert got["quiet"] == [(-1.0, -1.0)] and len(got["a"]) == 1 and got["a"][0][0] == 0.6 and got["end"][0][1] == pytest.approx(1.2)
 
@@ -195,3 +196,65 @@ def test_generated_turns_carry_history_and_failures(spark):
 
     got = {(g.conv_id, g.turn): (g.text, g.status, g.error) for g in models.generate_turns(spark.createDataFrame(rows, "conv_id int, turn int, role string, text string"), model).collect()}
     assert got[1, 3] == ("a+a+b", "generated", None) and got[2, 1] == (None, "failed", "no") and got[1, 0][1] == "given"
+
+
+def walked(flags, times, ring, share, frame_s):
+    """Spans of one recording, frame by frame."""
+    spans, held, start = [], [], None
+    for ts, flag in zip(times, flags, strict=True):
+        held = [*held[-(ring - 1) :], (ts, flag)]
+        if sum(v == (start is None) for _, v in held) > share * ring:
+            if start is None:
+                start = held[0][0]
+            else:
+                spans.append((start, ts + frame_s))
+                start = None
+            held = []
+    if start is not None:
+        spans.append((start, times[-1] + frame_s))
+    return spans or [(-1.0, -1.0)]
+
+
+@pytest.mark.parametrize(("block", "ring", "share"), [(7, 10, 0.9), (64, 5, 0.5), (4096, 10, 0.9), (1, 3, 0.6)])
+def test_spans_of_blocks_equal_a_walk(spark, block, ring, share):
+    r = np.random.default_rng(block)
+    tracks = {"empty speech": [False] * 40, "all": [True] * 25, "one": [True]}
+    for i in range(6):
+        tracks[f"t{i}"] = np.repeat(r.random(40) < 0.5, r.integers(1, 25, 40)).tolist()
+    rows = [(p, k * 0.03, None if not f and k % 5 == 0 else bool(f)) for p, flags in tracks.items() for k, f in enumerate(flags)]
+    got = {}
+    for g in hysteresis.voiced_spans(spark.createDataFrame(rows, "path string, ts double, is_speech boolean").repartition(5), ring=ring, share=share, block=block).orderBy("path", "span").collect():
+        got.setdefault(g.path, []).append((g.start, g.end))
+    assert got == {p: walked(f, [k * 0.03 for k in range(len(f))], ring, share, 0.03) for p, f in tracks.items()}
+
+
+def test_spans_of_a_million_frames_on_one_path(spark):
+    n = 1_000_000
+    flag = F.pmod(F.xxhash64(F.floor(F.col("id") / 17)), F.lit(3)) == 0
+    frames = spark.range(n).select(F.lit("p").alias("path"), F.col("id").cast("double").alias("ts"), flag.alias("is_speech"))
+    got = [(g.start, g.end) for g in hysteresis.voiced_spans(frames).orderBy("span").collect()]
+    flags = [r.is_speech for r in frames.orderBy("ts").collect()]
+    assert got == walked(flags, [float(k) for k in range(n)], 10, 0.9, 0.03) and len(got) > 10_000
+
+
+def test_distances_of_any_alphabet():
+    r = random.Random(2)
+    for _ in range(400):
+        a, b = ([r.randrange(r.choice([2, 5, 90])) for _ in range(r.randrange(0, 150))] for _ in range(2))
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            row, above = [i + 1], row
+            for j, y in enumerate(b):
+                row.append(min(above[j] + (x != y), above[j + 1] + 1, row[-1] + 1))
+        assert phonemes.bit_distance(a, b) == row[-1]
+        for most in (0, 3, row[-1]):
+            assert (phonemes.bit_distance(a, b, most) > most) == (row[-1] > most)
+
+
+def test_distances_of_a_hundred_thousand_symbols(spark):
+    n = 100_000
+    a = F.sequence(F.lit(1), F.lit(n))
+    rows = spark.range(1).select(a.alias("a"), F.filter(F.transform(a, lambda x: F.when(x % 1000 == 0, -x).otherwise(x)), lambda x: x % 777 != 0).alias("b"), F.array(F.lit(1)).alias("c"), F.array().cast("array<int>").alias("d"))
+    got = rows.select(phonemes.list_distance(F.col("a"), F.col("b")), phonemes.list_distance(F.col("a"), F.col("c")), phonemes.list_distance(F.col("d"), F.col("a")), phonemes.list_distance(F.col("c"), F.col("c"))).first()
+    gone, swapped = n // 777, n // 1000
+    assert list(got) == [gone + swapped, n - 1, n, 0]
