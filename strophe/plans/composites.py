@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strophe.functions import lrc, text, tokens
-from strophe.operators import dedup, models, ordered, phonemes, relational, report
+from strophe.operators import dedup, models, ordered, phonemes, relational, report, similarity
 from strophe.shared import ranked
 
 
@@ -80,10 +80,9 @@ def section_conversations(meta: DataFrame, desc: DataFrame, audio: DataFrame) ->
 
 
 def similarity_dedup(songs: DataFrame, threshold: float = 0.9, key: str = "row_idx") -> DataFrame:
-    """Songs without an earlier kept one of cosine above the threshold."""
-    embedded = models.batch_map(songs.withColumn("__text", dedup.song_text(F.col("description"), F.col("lyrics"))), "__text", "__vector", "array<float>", models.load_embedder())
-    vectors = embedded.select(F.col(key).alias("vec_id"), F.col("__vector").alias("embedding"))
-    return dedup.greedy_keep(songs, dedup.similarity_edges(vectors, threshold), key)
+    """Songs without an earlier kept one of cosine above the threshold, by the words of description and lyrics."""
+    said = similarity.word_counts(songs, key, dedup.song_text(F.coalesce("description", F.lit("")), F.coalesce("lyrics", F.lit(""))))
+    return dedup.greedy_keep(songs, similarity.similar_pairs(similarity.word_vectors(said), threshold), key)
 
 
 def per_evaluation(hyp: DataFrame, gt: DataFrame, lexicon: DataFrame, offset: int = 0, **spoken) -> DataFrame:

@@ -655,17 +655,9 @@ def chunk_evaluation(t):
         "song_idx", "turn", "text_prompt", "section_name", *(F.col(c).cast("long").alias(c) for c in ("sub_idx", "flat_index", "n_tokens", "start_sample", "end_sample")), "score")
 
 
-@query()
-def song_dedup(t):
-    from strophe.plans.composites import similarity_dedup
-
-    songs = t("documents").select(F.col("doc_id").alias("row_idx"), F.col("lang").alias("description"), F.col("text").alias("lyrics"))
-    return similarity_dedup(songs, 0.95).select("row_idx")
-
-
 @query("""SELECT conv_id, turn, role, CASE WHEN role = 'assistant' THEN 'answer ' || (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) ELSE text END AS text, CASE WHEN role = 'assistant' THEN 'generated' ELSE 'given' END AS status, '' AS error FROM conversations""")
 def generated_turns(t):
     return models.generate_turns(t("conversations"), lambda history: f"answer {len(history)}").withColumn("error", F.coalesce("error", F.lit("")))
 
 
-from strophe.plans import files, media, more, speech, streams  # noqa: E402, F401  (their queries register themselves)
+from strophe.plans import files, media, more, songs, speech, streams, tokenized  # noqa: E402, F401  (their queries register themselves)
