@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
 import uuid
 
 import numpy as np
@@ -13,6 +12,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strophe.shared import folder
+
 #: ASCII white space, the only characters that part words here.
 WS = "\x20\x09\x0a\x0b\x0c\x0d"
 _TO_SPACE = bytes(32 if chr(b) in WS else b for b in range(256))
@@ -22,15 +23,7 @@ _LOWER_AND_SPACE = bytes(_LOWER_AZ[_TO_SPACE[b]] for b in range(256))
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; a local one of our own only where it is unset on a local master, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="strophe-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base
+    return folder(spark)
 
 
 @contextlib.contextmanager
@@ -51,8 +44,7 @@ def cut(df: DataFrame) -> DataFrame:
     later joins on the key needn't shuffle it again.
     """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    folder(spark)
     with setting(spark, "spark.sql.adaptive.enabled", "false"):
         return df.select("*").checkpoint(eager=True)
 

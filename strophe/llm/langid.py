@@ -9,7 +9,9 @@ share of each language, the largest share is the prediction and its value the sc
 
 The field is fitted by gradient ascent of the regularised log-likelihood on a bounded sample:
 `per_language` learning rows of each language, those with the smallest seeded hash of id and text, of
-`sample_chars` characters together at most (a longer text is never learned from).
+`sample_chars` characters together at most (a longer text is never learned from). All languages share
+`total_chars` characters, and the `languages` commonest are learned (of equal counts those that sort first), so the
+sample and the broadcast tables (2 MB a language) are bounded whatever the labels are; rarer labels are never predicted.
 Whole texts are labelled, however long. Recursions run over all words of a batch in step, longest text first.
 
 Special cases: null texts and texts without a letter give `und` with score 0; a text with letters but
@@ -163,16 +165,18 @@ def can_learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", l
     return not _learnable(docs, text_col, lang_col, learn).select(lang_col).limit(1).isEmpty()
 
 
-def _sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, learn, per_language: int, chars: int, seed: int) -> tuple[list[str], list[str]]:
-    """Of each language the `per_language` rows of the smallest seeded hash, as far as their texts stay within `chars`.
+def _sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, learn, per_language: int, chars: int, total_chars: int, languages: int, seed: int) -> tuple[list[str], list[str]]:
+    """Of each of the `languages` commonest labels the `per_language` rows of the smallest seeded hash, as far as their
+    texts stay within `chars` and an equal share of `total_chars`.
 
-    Two scans for any number of languages: one counts rows by language, one reads the rows whose hash lies
+    Two scans for any number of labels: one counts rows by language, one reads the rows whose hash lies
     under a bound that about twice as many pass (all, in a small language) and keeps the smallest by
     partition, then by language.
     """
     rows = _learnable(docs, text_col, lang_col, learn)
     rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col, F.lit(seed)).alias("h")).where(F.length("text") <= chars)
-    counts = store(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))  # a row for each language
+    counts = store(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages))
+    chars = min(chars, total_chars // max(1, counts.count()))
     order = Window.partitionBy("lang").orderBy("h", "text")
 
     def smallest(some: DataFrame) -> list:
@@ -190,17 +194,18 @@ def _sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, learn, p
 
 
 def detect_language(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", learn=None, per_language: int = 250, sample_chars: int = 4_000_000, seed: int = 11, carry: bool = False,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", learn=None, per_language: int = 250, sample_chars: int = 4_000_000,
+    total_chars: int = 64_000_000, languages: int = 128, seed: int = 11, carry: bool = False,
 ) -> DataFrame:
     """Predictions for every row: id, lang_pred, score; with carry, all columns, __strophe_lang, __strophe_score.
 
     learn: predicate for rows whose text and language may be learned from; per_language, sample_chars: rows
-    and characters of a language that the field is fitted on at most.
+    and characters of a language that the field is fitted on at most; total_chars, languages: characters and languages in all.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-    field = fit(*_sample(docs, id_col, text_col, lang_col, learn, per_language, sample_chars, seed))
+    field = fit(*_sample(docs, id_col, text_col, lang_col, learn, per_language, sample_chars, total_chars, languages, seed))
     shared = docs.sparkSession.sparkContext.broadcast(field)
     rows = docs if carry else docs.select(id_col, text_col)
     out = [f for f in rows.schema.fields if carry or f.name != text_col]

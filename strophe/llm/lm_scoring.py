@@ -22,7 +22,8 @@ The model is never gathered in one place, and every n-gram counts:
 
 N-grams are compared by 64-bit hashes of their tokens (hashed words, then mixing). Special cases: null
 and empty texts have one token, the end; rows repeat freely; without learning rows every token is
-unknown; an empty table gives no rows; a null id counts as the empty text for the fold.
+unknown; an empty table gives no rows; a null id counts as the empty text for the fold; whole texts are scored, a
+very long one as a block of its own; extra columns may have any names. `query` rounds both scores to six decimals.
 """
 
 from __future__ import annotations

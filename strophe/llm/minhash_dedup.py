@@ -17,7 +17,9 @@ lost that could join components, however large they are, and no cell writes its
 
 Special cases: null texts and texts without words have empty sets and stay alone; a text of fewer words
 than a shingle has one, its whole sequence; repeated rows are members like others, and exactly one row
-of a component is marked as staying for `near_dedup_rows`; a null id is larger than any other.
+of a component is marked as staying for `near_dedup_rows`; a null id is larger than any other; whole texts count,
+however long; an empty table gives no rows; extra columns may have any names but those that begin with __strophe,
+which are ours.
 """
 
 from __future__ import annotations

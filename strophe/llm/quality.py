@@ -10,6 +10,8 @@ products, block by block, keep the k most similar, and their labels vote with we
 Special cases: null and empty texts have no terms and score the share of label 1 in the sample; so
 does every text if there are no labelled rows (then 0.5). Ties among neighbours are broken by
 position in the sample. Repeated rows are scored each time. Labels given twice count as the larger.
+Where ids repeat among the sampled documents, the sample holds the rows of the smallest ids. Whole texts are
+scored, however long; an empty table gives no rows; extra columns may have any names.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ The histogram has a row for each distinct length, so its size follows the longes
 number of documents. The suffix sums go over blocks of lengths first, so no window needs all rows.
 
 Special cases: null and empty texts count as length 0; an empty table has an empty histogram, totals
-of 0 and null quantiles; repeated rows count each time.
+of 0 and null quantiles; repeated rows count each time; whole texts are counted, however long; extra columns
+may have any names.
 """
 
 from __future__ import annotations

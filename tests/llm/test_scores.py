@@ -112,11 +112,14 @@ def test_language_of_held_out_and_mixed_texts(spark):
 def test_language_sample_is_bounded_and_reads_all_languages(spark):
     rows = [(i, "one two three " + "x" * (i % 50), f"l{i % 30}") for i in range(3000)]
     rows += [(9, "always the same text", "same")] * 2000 + [(10_000, "long " * 500, "l0")]  # a language of one repeated row; a text beyond the bound
-    texts, langs = langid._sample(docs(spark, rows), "doc_id", "text", "lang", None, 20, 1000, 11)
+    texts, langs = langid._sample(docs(spark, rows), "doc_id", "text", "lang", None, 20, 1000, 64_000_000, 128, 11)
     counts = collections.Counter(langs)
     assert set(counts) == {f"l{i}" for i in range(30)} | {"same"} and max(counts.values()) <= 20
     assert all(sum(len(t) for t, x in zip(texts, langs, strict=True) if x == lang) <= 1000 for lang in counts)
-    assert langid._sample(docs(spark, rows).repartition(13), "doc_id", "text", "lang", None, 20, 1000, 11) == (texts, langs)
+    assert langid._sample(docs(spark, rows).repartition(13), "doc_id", "text", "lang", None, 20, 1000, 64_000_000, 128, 11) == (texts, langs)
+    few, told = langid._sample(docs(spark, rows), "doc_id", "text", "lang", None, 20, 1000, 1000, 2, 11)
+    counted = collections.Counter(r[2] for r in rows if r[1] and r[2])
+    assert set(told) <= {x for x, _ in sorted(counted.items(), key=lambda x: (-x[1], x[0]))[:2]} and 0 < sum(map(len, few)) <= 1000
 
 
 def test_forward_backward_matches_enumeration():
