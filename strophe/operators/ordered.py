@@ -184,7 +184,11 @@ def admission(times: DataFrame, by: str, ts_s: str = "ts_s", limit: int = 10, se
 
 
 def history_prompts(turns: DataFrame, conv: str, turn: str = "turn", role: str = "role", content: str = "text") -> DataFrame:
-    """For each assistant turn, all earlier turns as its prompt."""
+    """For each assistant turn, all earlier turns as its prompt.
+
+    The prompts themselves grow with the turns before them, so a conversation's output is quadratic in its text: for
+    conversations of a chat's length, not for whole logs.
+    """
     w = Window.partitionBy(conv).orderBy(turn).rowsBetween(Window.unboundedPreceding, -1)
     said = F.concat(F.col(role), F.lit(": "), F.col(content))
     return turns.withColumn("history", F.array_join(F.collect_list(said).over(w), "\n")).where(F.col(role) == "assistant")

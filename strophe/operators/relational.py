@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strophe.functions.text import count_other, file_stem, last_number, strip
-from strophe.shared import ranked
+from strophe.shared import cumulated, ranked
 
 #: Symbols that become blanks before lyric languages are counted (fixed value).
 LYRIC_SYMBOLS = "'￥·′´（），。？\"!@#$%^&*()?./,=+_— ！…《》<>0123456789～※~;－・、☆｜△【】＃「」‖{}[]-"
@@ -274,9 +274,7 @@ def best_values(metrics: DataFrame, lower: str = "PER") -> DataFrame:
 
 def mark_best(metrics: DataFrame, lower: str = "PER") -> DataFrame:
     """Cells within 1e-9 of their metric's best."""
-    w = Window.partitionBy("metric")
-    best = F.when(F.col("metric") == lower, F.min("value").over(w)).otherwise(F.max("value").over(w))
-    return metrics.withColumn("is_best", F.abs(F.col("value") - best) < 1e-9)
+    return metrics.join(best_values(metrics, lower), "metric", "left").withColumn("is_best", F.abs(F.col("value") - F.col("best")) < 1e-9).drop("best")
 
 
 def metric_table(metrics: DataFrame, order: Sequence[str]) -> DataFrame:
@@ -344,17 +342,9 @@ def extremes(values: Column) -> Column:
 def fitting_files(files: DataFrame, order: str, size: str, most_bytes: int, per: int) -> DataFrame:
     """Files in order with their number and the size up to them, as far as the first check (after each `per`
     files) that finds more than `most_bytes`."""
-    from strophe.shared import cut
-
-    placed = cut(ranked(files, order, "__at"))
-    batches = placed.groupBy(F.floor(F.col("__at") / per).alias("__batch")).agg(F.sum(size).alias("__s"), F.count(F.lit(1)).alias("__n"))
-    upto = F.sum("__s").over(Window.orderBy("__batch"))  # a row for each check, not for each file
-    over = batches.withColumn("__upto", upto).where((F.col("__upto") > most_bytes) & (F.col("__n") == per)).agg(F.min("__batch").alias("__stop"))
-    kept = placed.join(F.broadcast(over)).where(F.col("__stop").isNull() | (F.floor(F.col("__at") / per) <= F.col("__stop")))
-    before = batches.select("__batch", (upto - F.col("__s")).alias("__before"))
-    inside = F.sum(size).over(Window.partitionBy("__batch").orderBy("__at"))
-    out = kept.withColumn("__batch", F.floor(F.col("__at") / per)).join(before, "__batch")
-    return out.withColumns({"count": F.col("__at") + 1, "total_bytes": F.col("__before") + inside}).drop("__at", "__batch", "__stop", "__before")
+    placed = cumulated(ranked(files, order, "__at"), "__at", size, "total_bytes").withColumn("count", F.col("__at") + 1)
+    over = placed.where((F.col("count") % per == 0) & (F.col("total_bytes") > most_bytes)).agg(F.min("count").alias("__stop"))  # one row
+    return placed.crossJoin(over).where(F.col("__stop").isNull() | (F.col("count") <= F.col("__stop"))).drop("__at", "__stop")
 
 
 # Order, limits and samples
@@ -430,12 +420,13 @@ def sample_pool(df: DataFrame, key: str, count: int, seed: int) -> DataFrame:
     placed = ranked(df.withColumn("__h", _draw(key, seed)), ["__h", key], "pool_rank")
     whole = F.floor(F.col("__total") / count) * count
     total = placed.agg(F.count(F.lit(1)).alias("__total"))  # one row
-    return placed.join(F.broadcast(total)).withColumn("draw", F.when(F.col("pool_rank") < whole, F.floor(F.col("pool_rank") / count))).drop("__h", "__total")
+    return placed.crossJoin(total).withColumn("draw", F.when(F.col("pool_rank") < whole, F.floor(F.col("pool_rank") / count))).drop("__h", "__total")
 
 
 def random_int(key: Column, lo: Column, hi: Column, seed: int) -> Column:
-    """A whole number in [lo, hi] that the key and the seed determine."""
-    return lo + F.pmod(F.xxhash64(key, F.lit(seed)), hi - lo + 1)
+    """A whole number in [lo, hi] that the key and the seed determine, by twelve digits of a digest."""
+    drawn = F.conv(F.substring(F.md5(F.concat(key.cast("string"), F.lit(f"|{seed}"))), 1, 12), 16, 10).cast("long")
+    return lo + F.pmod(drawn, hi - lo + 1)
 
 
 def lyric_duration(lyrics: Column, key: Column, seed: int) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strophe.operators import ordered, relational
 from strophe.plans.registry import query, r6
 from strophe.shared import folder
-from strophe.sources import readers, sinks
+from strophe.sources import archives, readers, sinks
 
 
 def _new(df: DataFrame, name: str = "table") -> str:
@@ -122,12 +122,13 @@ def read_aligned_words(t):
     return got.select(F.col("song_id").cast("long").alias("song_id"), F.col("pos").cast("long").alias("pos"), "word", "startS")
 
 
-@query("""SELECT 'r' || r_regionkey AS head, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, E' \\n\\t\\r')), lambda x: x <> ''), ' ') AS lyrics FROM region JOIN documents ON doc_id = r_regionkey""")
+@query("""SELECT doc_id, array_to_string(list_filter(list_transform(regexp_split_to_array(text, '\\r\\n|\\r|\\n'), lambda x: trim(x, E' \\n\\t\\r')), lambda x: x <> ''), ' ') AS lyrics FROM documents""")
 def read_lyric_files(t):
-    d = t("region").join(t("documents"), F.col("doc_id") == F.col("r_regionkey")).select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("head"), F.concat(F.when(F.col("r_regionkey") % 2 == 0, "English\n").otherwise(""), "text").alias("value"))
+    d = t("documents")
+    body = F.encode(F.concat(F.when(F.col("doc_id") % 2 == 0, "English\n").otherwise(""), "text"), "UTF-8")
     path = _new(d)
-    d.write.partitionBy("head").text(path)
-    return readers.lyric_files(d.sparkSession, path + "/*/*.txt").select(F.regexp_extract("path", "/head=([^/]*)", 1).alias("head"), "lyrics")
+    archives.write_files(d.select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), body.alias("body")), path)
+    return readers.lyric_files(d.sparkSession, path + "/*.txt").select(F.regexp_extract("path", r"/(\d+)\.txt", 1).cast("long").alias("doc_id"), "lyrics")
 
 
 @query("""SELECT 'm' || (user_id % 9) AS model, event_type AS metric, round(avg(value), 6) AS value FROM events GROUP BY 1, 2""")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from strophe.functions import jsonx, lrc, text, tokens
 from strophe.operators import models, ordered, phonemes, relational, vocab
 from strophe.plans.registry import _LRC_SQL, _lrc, _quantised, query, r6
+from strophe.shared import cut, ranked
 
 _TRIM = "E' \\n\\t\\r'"
 
@@ -132,19 +133,28 @@ def fitting_files(t):
     return relational.fitting_files(t("pages").select("page_id", F.length("html").alias("size")), "page_id", "size", 300_000, 16).select("page_id", "count", "total_bytes")
 
 
-@query("SELECT event_type, count(*) AS n, min(event_id) AS first FROM events GROUP BY 1 ORDER BY n DESC, first")
+def _in_order(df):
+    """The rows of a sorted frame with their place in it."""
+    return ranked(cut(df.withColumn("__m", F.monotonically_increasing_id())), "__m", "place").drop("__m")
+
+
+@query("SELECT user_id, n, first, row_number() OVER (ORDER BY n DESC, first) - 1 AS place FROM (SELECT user_id, count(*) AS n, min(event_id) AS first FROM events GROUP BY 1)")
 def counts_in_order(t):
-    return relational.by_count(t("events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first")), "n", "first")
+    return _in_order(relational.by_count(t("events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first")), "n", "first"))
 
 
-@query("SELECT url FROM pages")
+@query("""SELECT path, row_number() OVER (ORDER BY TRY_CAST(regexp_extract(regexp_replace(path, '^.*/', ''), '([0-9]+)[^0-9]*\\.mp3$', 1) AS BIGINT) NULLS LAST, path) - 1 AS place FROM (
+  SELECT CASE WHEN page_id % 7 = 0 THEN 'a1/none_' || chr(CAST(97 + page_id % 26 AS INT)) || '.mp3' ELSE 'a1/s' || (page_id * 7919 % 1000) || '_' || page_id || '.mp3' END AS path FROM (SELECT DISTINCT page_id FROM pages))""")
 def paths_by_number(t):
-    return relational.sort_by_path_number(t("pages").select("url"), "url")
+    i = F.col("page_id")
+    none = F.concat(F.lit("a1/none_"), F.char(97 + i % 26), F.lit(".mp3"))
+    path = F.when(i % 7 == 0, none).otherwise(F.concat(F.lit("a1/s"), (i * 7919 % 1000).cast("string"), F.lit("_"), i.cast("string"), F.lit(".mp3")))
+    return _in_order(relational.sort_by_path_number(t("pages").select(path.alias("path"))))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderstatus <> 'F' THEN o_custkey END AS file_idx FROM orders")
+@query("""SELECT file_idx, place FROM (SELECT CASE WHEN o_orderstatus <> 'F' THEN o_custkey END AS file_idx, row_number() OVER (ORDER BY coalesce(CASE WHEN o_orderstatus <> 'F' THEN o_custkey END, 999999)) - 1 AS place FROM orders)""")
 def sorted_by_index(t):
-    return relational.sort_by_index(t("orders").select("o_orderkey", F.when(F.col("o_orderstatus") != "F", F.col("o_custkey")).alias("file_idx")))
+    return _in_order(relational.sort_by_index(t("orders").select(F.when(F.col("o_orderstatus") != "F", F.col("o_custkey")).alias("file_idx"))))
 
 
 @query("SELECT arg_max(event_id, ts) AS event_id FROM events")
@@ -157,17 +167,18 @@ def first_rows(t):
     return relational.first_rows(t("events").select("event_id"), 100, "event_id")
 
 
-@query("SELECT doc_id, true AS inside FROM documents")
+@query("SELECT doc_id, 170 + CAST('0x' || substr(md5(doc_id || '|3'), 1, 12) AS BIGINT) % 41 AS drawn FROM documents")
 def random_ints(t):
-    v = relational.random_int(F.col("doc_id"), F.lit(170), F.lit(210), 3)
-    return t("documents").select("doc_id", v.between(170, 210).alias("inside"))
+    return t("documents").select("doc_id", relational.random_int(F.col("doc_id"), F.lit(170), F.lit(210), 3).alias("drawn"))
 
 
-@query("SELECT doc_id, true AS inside FROM documents")
+@query("""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN translate(text, 'e', '鹅') ELSE text END AS t FROM documents),
+n AS (SELECT doc_id, CASE WHEN regexp_matches(t, '[\\x{4e00}-\\x{9fff}]') THEN length(replace(t, chr(10), '')) ELSE len(list_filter(regexp_split_to_array(t, '\\s+'), lambda w: w <> '')) END AS n FROM d),
+b AS (SELECT doc_id, CAST(floor(n * 0.4::DOUBLE) AS BIGINT) AS lo, CAST(floor(n * 0.7::DOUBLE) AS BIGINT) AS hi FROM n)
+SELECT doc_id, lo + CAST('0x' || substr(md5(doc_id || '|5'), 1, 12) AS BIGINT) % (hi - lo + 1) AS seconds FROM b""")
 def lyric_durations(t):
-    n = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
-    d = relational.lyric_duration(F.col("text"), F.col("doc_id"), 5)
-    return t("documents").select("doc_id", d.between((n * 0.4).cast("long"), (n * 0.7).cast("long")).alias("inside"))
+    text_of = F.when(F.col("doc_id") % 3 == 0, F.translate("text", "e", "鹅")).otherwise(F.col("text"))
+    return t("documents").select("doc_id", relational.lyric_duration(text_of, F.col("doc_id"), 5).alias("seconds"))
 
 
 # Text

@@ -40,3 +40,14 @@ def ranked(df: DataFrame, order: str | list[str], name: str = "rank", by: str |
     starts = counts.select("__part", *group, "__first", before.alias("__before"))
     starts = starts if by else F.broadcast(starts)  # one row for each range, or for each group in a range
     return placed.join(starts, ["__part", *group]).withColumn(name, F.col("__before") + F.col("__in") - F.col("__first")).drop("__part", "__in", "__first", "__before")
+
+
+def cumulated(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
+    """The sum of `value` over all rows up to each in the order, without a window over all of them; `order` has no ties."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = cut(df.repartitionByRange(n, order).withColumn("__part", F.spark_partition_id()))
+    totals = placed.groupBy("__part").agg(F.sum(value).alias("__sum"))  # a row for each range
+    before = F.coalesce(F.sum("__sum").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.sum(value).over(Window.partitionBy("__part").orderBy(order))
+    starts = F.broadcast(totals.select("__part", before.alias("__before")))
+    return placed.join(starts, "__part").withColumn(name, F.col("__before") + inside).drop("__part", "__before")

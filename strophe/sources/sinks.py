@@ -14,8 +14,8 @@ def write_jsonl(df: DataFrame, path: str, append: bool = False) -> None:
 
 
 def write_json(df: DataFrame, path: str, most: int = 100_000) -> None:
-    """One JSON array, for reports of a few rows: gathered in one task, not on the driver. More than `most` rows raise."""
-    one = df.agg(F.to_json(F.collect_list(F.struct(*df.columns)), {"pretty": "true"}).alias("value"), F.count(F.lit(1)).alias("n"))
+    """One JSON array, for reports of a few rows: gathered in one task, not on the driver, which reads `most` and one more. More raise."""
+    one = df.limit(most + 1).agg(F.to_json(F.collect_list(F.struct(*df.columns)), {"pretty": "true"}).alias("value"), F.count(F.lit(1)).alias("n"))
     check = F.assert_true(F.col("n") <= most, F.lit(f"a JSON document holds {most} rows at most, write JSON lines"))
     one.select(F.when(check.isNull(), F.col("value")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
