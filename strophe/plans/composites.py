@@ -25,8 +25,10 @@ def lyric_conversion(src: DataFrame, suffix: str = "") -> DataFrame:
     lines = chosen.select("__song", F.posexplode(lrc.lines_to_bracket(F.col("lyric"))).alias("pos", "l")).select("__song", "pos", "l.*")
     parsed = ordered.parsed_lyrics(lines, "__song")
     pick = lambda kind, c: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("pos", c)))), lambda x: x[c])
-    meta = F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "meta", F.struct("pos", F.struct("key", "value").alias("e"))))), lambda x: x["e"]))
-    songs = parsed.groupBy("__song").agg(meta.alias("lyrics_meta"), pick("lyric", "value").alias("lyrics"), pick("lyric", "start_s").alias("lyrics_time"))
+    pairs = F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "meta", F.struct("pos", F.struct("key", "value").alias("e"))))), lambda x: x["e"])
+    later = lambda e, i: F.exists(F.slice("pairs", i + 2, F.size("pairs")), lambda y: y["key"] == e["key"])
+    meta = F.map_from_entries(F.filter("pairs", lambda e, i: ~later(e, i)))  # of equal keys the last holds
+    songs = parsed.groupBy("__song").agg(pairs.alias("pairs"), pick("lyric", "value").alias("lyrics"), pick("lyric", "start_s").alias("lyrics_time")).withColumn("lyrics_meta", meta).drop("pairs")
     out = chosen.drop("lyric", "tlyric", "artists").join(songs, "__song", "left").drop("__song")
     return out.withColumn("lyric_lang", relational.lyric_language(F.coalesce("lyrics", F.array().cast("array<string>"))))
 

@@ -396,15 +396,6 @@ def service_songs(t):
     return run(t("region").sparkSession, 200)[0].select("song", F.col("task_id").alias("task"), "state", "poll_count")
 
 
-@query(f"""WITH {_LRC_SQL}, l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
-k AS (SELECT doc_id, i, trim(x, {_TRIM}) AS x FROM l WHERE trim(x, {_TRIM}) <> '' AND NOT contains(x, ':') AND NOT contains(x, '/'))
-SELECT doc_id, CAST(i - 1 AS INT) AS pos, 'lyric' AS kind, x AS value FROM k""")
-def parsed_lyrics(t):
-    lines = _lrc(t).select("doc_id", F.posexplode(lrc.lines_to_stamp(F.col("lyric"))).alias("pos", "l")).select("doc_id", "pos", "l.*").where("text <> ''")
-    lines = lines.where(~F.col("text").contains(":") & ~F.col("text").contains("/"))
-    return ordered.parsed_lyrics(lines, "doc_id").select("doc_id", "pos", "kind", "value")
-
-
 @query("""SELECT conv_id, '[intro-medium] ;' || coalesce(string_agg(' [verse] ' || regexp_replace(regexp_replace(regexp_replace(text, '[,。"，:;&—‘''.\\]\\[()?\\n-]', '.', 'g'), '\\.{2,}', '.', 'g'), '\\.$', '') || ' ;', '' ORDER BY turn) FILTER (turn > 0 AND role <> 'assistant'), '') || ' [outro-medium]' AS gt_lyric FROM conversations GROUP BY 1""")
 def baseline_lyrics(t):
     from strophe.plans.composites import baseline_lyrics as reshape
