@@ -17,7 +17,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents whose language can't be told: no letters, or no language with a third of the words' weight.
 
     Null and empty texts have no letters. Where no row gives a language to learn from, nothing can be told
-    apart and all rows stay. Repeated rows are decided alike, an empty table stays empty.
+    apart and all rows stay. Whole texts are read, however long; repeated rows are decided alike, an empty table stays
+    empty. Columns that begin with __strophe are ours.
     """
     learn = crc_mod("doc_id", 4) != 2
     if not langid.can_learn(docs, learn=learn):
@@ -38,7 +39,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each component of near copies (five-word shingles, similarity 0.8).
 
-    Texts without words stay; of rows of equal ids and texts one stays.
+    Null texts and texts without words stay; whole texts count, however long; of rows of equal ids and texts one
+    stays; an empty table stays empty. Columns that begin with __strophe are ours.
     """
     return minhash_dedup.near_dedup_rows(docs, k=5, percent=80)
 
@@ -55,8 +57,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the mixture into training sequences: one row for each piece with its bin.
 
-    A text beyond the largest size makes several pieces; an empty one has its end token; an empty table
-    gives no rows.
+    A text beyond the largest size makes several pieces; a null or empty one has its end token; equal rows are
+    packed each; an empty table gives no rows; extra columns aren't read.
     """
     return packing.pack(docs)
 

@@ -9,6 +9,10 @@ from strophe.functions.text import strip
 
 #: A time stamp as lyric files write it (fixed value).
 STAMP = r"\[([0-9]{1,2}):([0-9]{1,2})(?:[.:]([0-9]{1,3}))?\]"
+#: The strict stamps of valid files, and those that are stripped (fixed values).
+STRICT, STRIPPED = r"\[(\d{2}):(\d{2})(?:\.(\d{2}))?\]", r"\[\d{2}:\d{2}(?:\.\d+)?\]"
+#: Seconds a valid file's last stamp comes at least after the start, and at most after the one before (fixed values).
+LAST_S, GAP_S = 170.0, 35.0
 
 
 def _seconds(minute: Column, second: Column, fraction: Column, hundredths: bool) -> Column:
@@ -37,18 +41,17 @@ def lines_to_stamp(c: Column) -> Column:
 
 def stamps(c: Column) -> Column:
     """Times of `[dd:dd]` and `[dd:dd.dd]` in seconds."""
-    p = r"\[(\d{2}):(\d{2})(?:\.(\d{2}))?\]"
-    m, s, f = (F.regexp_extract_all(c, F.lit(p), F.lit(i)) for i in (1, 2, 3))
+    m, s, f = (F.regexp_extract_all(c, F.lit(STRICT), F.lit(i)) for i in (1, 2, 3))
     z = F.arrays_zip(m.alias("m"), s.alias("s"), f.alias("f"))
     return F.transform(z, lambda x: x["m"].cast("int") * 60 + x["s"].cast("int") + F.coalesce(x["f"].try_cast("int"), F.lit(0)) / 100.0)
 
 
 def strip_stamps(c: Column) -> Column:
     """T04."""
-    return F.regexp_replace(c, r"\[\d{2}:\d{2}(?:\.\d+)?\]", "")
+    return F.regexp_replace(c, STRIPPED, "")
 
 
-def is_valid(c: Column, least_s: float = 170.0, gap_s: float = 35.0) -> Column:
+def is_valid(c: Column, least_s: float = LAST_S, gap_s: float = GAP_S) -> Column:
     """Two stamps at least, the last no earlier than least_s and no more than gap_s after the one before."""
     t = stamps(c)
     return F.coalesce((F.size(t) >= 2) & (F.try_element_at(t, F.lit(-1)) >= least_s) & (F.try_element_at(t, F.lit(-1)) - F.try_element_at(t, F.lit(-2)) <= gap_s), F.lit(False))

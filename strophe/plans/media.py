@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from strophe.functions import audio, tokens
 from strophe.plans.files import _new
 from strophe.plans.registry import query, r6
-from strophe.sources import archives
+from strophe.sources import archives, readers
 
 #: Samples a second of the recordings made of vectors, and their scale.
 RATE = 8000
@@ -95,3 +95,32 @@ def resampled_up(t):
 @query(_convolved(1, 3))
 def resampled_down(t):
     return _resampled(t, 48_000, 16_000, 16)
+
+
+@query("""SELECT 'c' || vec_id AS stem, [2, len(embedding) // 2] AS shape, list_transform(embedding, lambda x: CAST(floor((CAST(x AS DOUBLE) + 1) * 500) AS BIGINT)) AS tokens FROM embeddings""")
+def read_codec_files(t):
+    e = t("embeddings").select(F.concat(F.lit("c"), F.col("vec_id").cast("string"), F.lit(".npy")).alias("name"), F.transform("embedding", lambda x: F.floor((x.cast("double") + 1) * 500).cast("int")).alias("tokens"))
+    path = _new(e)
+    archives.write_files(archives.array_files(e, "name", "tokens", 2), path)
+    return readers.arrays(e.sparkSession, path).select("stem", F.transform("shape", lambda x: x.cast("long")).alias("shape"), "tokens")
+
+
+@query("""SELECT CAST(row_number() OVER (ORDER BY p_partkey) - 1 AS INT) AS idx, p_name AS title FROM part QUALIFY idx < 100""")
+def first_json_items(t):
+    p = t("part").select("p_partkey", F.struct(F.col("p_name").alias("title")).alias("s"))
+    body = p.agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", "s"))), lambda x: x["s"])).alias("value"))
+    path = _new(p)
+    body.coalesce(1).write.text(path)
+    return readers.json_items(p.sparkSession, path, "title string", 100)
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 11 = 0 THEN NULL ELSE event_type END AS status, event_id % 11 <> 0 AND event_type IN ('failed', 'running') AS processed
+FROM (SELECT event_id, CASE event_type WHEN 'error' THEN 'failed' WHEN 'click' THEN 'running' ELSE event_type END AS event_type FROM events WHERE user_id < 10)""")
+def previous_api_results(t):
+    status = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "click", "running").otherwise(F.col("event_type"))
+    e = t("events").where("user_id < 10").select("event_id", F.to_json(F.struct(F.struct(status.alias("status"), "value").alias("api_response"))).alias("body"))
+    body = F.encode(F.when(F.col("event_id") % 11 == 0, F.substring("body", 1, 20)).otherwise(F.col("body")), "UTF-8")
+    path = _new(e)
+    archives.write_files(e.select(F.concat(F.lit("song_"), F.col("event_id").cast("string"), F.lit(".json")).alias("name"), body.alias("body")), path)
+    got = readers.previous_results(e.sparkSession, path)
+    return got.select(F.regexp_extract("path", r"song_(\d+)\.json", 1).cast("long").alias("event_id"), "status", "processed")

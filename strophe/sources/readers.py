@@ -6,8 +6,11 @@ go by (file, line); lines are numbered per block of a file and shifted by block
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import io
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -143,6 +146,55 @@ def token_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("stem string, tokens array<int>").parquet(path)
 
 
+def _decoded_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for path, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            try:
+                x = np.load(io.BytesIO(body or b""), allow_pickle=False)
+                if x.dtype.kind not in "biuf":
+                    raise ValueError(f"no numbers: {x.dtype}")
+                shape, whole, real, error = list(x.shape), x.dtype.kind != "f", x.ravel(), None
+            except (ValueError, EOFError, OSError) as e:
+                shape, whole, real, error = None, None, None, str(e)
+            longs = real.astype(np.int64) if whole else None
+            floats = real.astype(np.float64) if whole is False else None
+            kinds = [pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip([path, shape, longs, floats, error], kinds, strict=True)], names=["path", "shape", "tokens", "values", "error"])
+
+
+def arrays(spark: SparkSession, path: str) -> DataFrame:
+    """(path, stem, shape, tokens, values, error) of .npy files: whole numbers as tokens, others as values, in C order.
+
+    A file that holds no array of numbers has an error and nothing else.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    found = files.mapInArrow(_decoded_arrays, "path string, shape array<int>, tokens array<long>, values array<double>, error string")
+    return found.withColumn("stem", file_stem(F.col("path")))
+
+
+def json_items(spark: SparkSession, path: str, schema: str, most: int = -1) -> DataFrame:
+    """The items of a JSON array with their place (idx), the first `most` unless -1; a missing file is an empty table."""
+    if not _exists(spark, path):
+        return spark.createDataFrame([], f"idx int, {schema}")
+    items = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", f"array<struct<{schema}>>")).alias("idx", "item"))
+    return (items if most == -1 else items.where(F.col("idx") < most)).select("idx", "item.*")
+
+
+#: States of a task that has ended, and of one that is under way (fixed values).
+ENDED, UNDER_WAY = ("succeeded", "failed", "timeouted", "cancelled"), ("preparing", "queued", "running", "streaming", "reviewing")
+
+
+def previous_results(spark: SparkSession, path: str) -> DataFrame:
+    """(path, api_response, status, processed) of earlier outputs, a JSON file each.
+
+    Processed are tasks that have ended or are under way; a file that can't be parsed is not, and has no response.
+    """
+    response = F.get_json_object("text", "$.api_response")
+    rows = whole_text(spark, path).withColumn("api_response", F.when(F.try_parse_json("text").isNotNull(), response))
+    rows = rows.withColumn("status", F.get_json_object("api_response", "$.status"))
+    return rows.select("path", "api_response", "status", F.coalesce(F.col("status").isin(*ENDED, *UNDER_WAY), F.lit(False)).alias("processed"))
+
+
 def ground_truth(spark: SparkSession, path: str) -> DataFrame:
     """Lyrics by file index; bad rows and null indices drop, the last wins."""
     rows = tolerant_jsonl(spark, path, "file_index bigint, lyrics string", ["file_index"])

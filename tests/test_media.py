@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strophe.functions import audio
-from strophe.sources import archives
+from strophe.sources import archives, readers
 
 
 def files(spark, rows):
@@ -114,3 +114,29 @@ def test_no_recordings(spark):
     assert audio.encoded(none).count() == 0 and audio.resampled_blocks(audio.in_blocks(none, 5), 2, 3, 5).count() == 0
     silent = spark.createDataFrame([("a", None)], "name string, samples array<double>")
     assert audio.resampled_blocks(audio.in_blocks(silent, 5), 2, 3, 5).collect()[0].samples in ([], None)
+
+
+def test_array_files(spark, tmp_path):
+    want = {"a": np.arange(6, dtype=np.int16).reshape(2, 3), "b": np.array([0.5, -1.0], dtype=np.float32), "c": np.zeros((0, 4), dtype=np.int64), "d": np.array(7, dtype=np.uint8), "e": np.asfortranarray(np.arange(4).reshape(2, 2))}
+    for n, x in want.items():
+        np.save(tmp_path / f"{n}.npy", x)
+    (tmp_path / "bad.npy").write_bytes(b"no array")
+    np.save(tmp_path / "words.npy", np.array(["x"]))
+    np.save(tmp_path / "objects.npy", np.array([{}], dtype=object), allow_pickle=True)
+    got = {r.stem: r for r in readers.arrays(spark, str(tmp_path)).collect()}
+    for n, x in want.items():
+        r = got[n]
+        assert r.shape == list(x.shape) and r.error is None and (r.tokens if x.dtype.kind in "iu" else r["values"]) == x.ravel().tolist()
+    assert all(got[n].error and got[n].shape is None and got[n].tokens is None for n in ("bad", "words", "objects"))
+
+
+def test_json_items_and_previous_results(spark, tmp_path):
+    (tmp_path / "songs.json").write_text('[{"title": "é"}, {"title": null}, {"other": 1}]', encoding="utf-8")
+    items = lambda n: [(r.idx, r.title) for r in readers.json_items(spark, str(tmp_path / "songs.json"), "title string", n).collect()]
+    assert items(-1) == [(0, "é"), (1, None), (2, None)] and items(1) == [(0, "é")] and readers.json_items(spark, str(tmp_path / "none.json"), "title string").count() == 0
+    out = tmp_path / "out"
+    out.mkdir()
+    for n, body in {"done": '{"api_response": {"status": "succeeded", "id": 5}}', "live": '{"api_response": {"status": "queued"}}', "odd": '{"api_response": {"status": "?"}}', "none": '{"api_response": null}', "cut": '{"api_response": {"status": "succ', "blank": ""}.items():
+        (out / f"{n}.json").write_text(body)
+    got = {Path(r.path).stem: r for r in readers.previous_results(spark, str(out)).collect()}
+    assert {n for n, r in got.items() if r.processed} == {"done", "live"} and got["cut"].api_response is None and got["done"].status == "succeeded"
