@@ -11,7 +11,7 @@ from strophe.sources import archives, readers
 
 #: Samples a second of the recordings made of vectors, and their scale.
 RATE = 8000
-_SHORT = "round_even(CAST(x AS DOUBLE) * 20000, 0)"
+_SHORT = "CAST(CAST(round_even(CAST(x AS DOUBLE) * 20000, 0) AS INT) AS DOUBLE)"
 
 
 def _recordings(t, path: str) -> None:
@@ -34,13 +34,13 @@ def archived_pages(t):
     return got.select("shard", "name", F.substring("name", 1, 8).cast("long").alias("page_id"), F.sha2("body", 256).alias("body"))
 
 
-@query("""SELECT s.shard, sum(CASE WHEN kind = '.htm' THEN 1 ELSE 0 END) AS members FROM (
-  SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '.htm' ELSE '.txt' END AS kind, 'block_' || ((row_number() OVER (ORDER BY printf('%08d', page_id)) - 1) // 10 * 10) || '_0.tar.gz' AS shard FROM pages) s GROUP BY 1 HAVING members > 0""")
+@query("""SELECT shard, count(*) AS members FROM (
+  SELECT page_id, 'block_' || ((row_number() OVER (ORDER BY printf('%08d', page_id)) - 1) // 10 * 10) || '_0.tar.gz' AS shard FROM pages) WHERE page_id % 3 = 0 GROUP BY 1""")
 def archived_by_suffix(t):
     p = t("pages").select(F.concat(F.format_string("%08d", "page_id"), F.when(F.col("page_id") % 3 == 0, ".htm").otherwise(".txt")).alias("name"), F.encode("url", "UTF-8").alias("body"))
     path = _new(p)
     archives.write_archives(p, path, 10, [".htm"])
-    return archives.read_archives(p.sparkSession, path).groupBy("shard").agg(F.count(F.lit(1)).cast("decimal(38,0)").alias("members"))
+    return archives.read_archives(p.sparkSession, path).groupBy("shard").agg(F.count(F.lit(1)).alias("members"))
 
 
 @query(f"""SELECT vec_id, len(embedding) AS frames, 44 + 2 * len(embedding) AS size, round(len(embedding) / 8000, 3) AS seconds, list_transform(embedding, lambda x: {_SHORT}) AS samples FROM embeddings""")
