@@ -74,10 +74,11 @@ def radix_ranks(rows: DataFrame, group: str, key: Column, rank: str = "rank", to
         done = done.join(mark, ["__rank_g", "__rank_p"], "left").withColumn("__rank_p", F.when(F.col("__rank_deeper"), F.substring(key, 1, depths[-1])).otherwise(F.col("__rank_p"))).drop("__rank_deeper")
         final = final.unionByName(found.where(F.col("__rank_n") <= bucket))
         depth = depths[-1]
-    done = done.join(final.select("__rank_g", "__rank_p", "__rank_before"), ["__rank_g", "__rank_p"])
+    final = final.select("__rank_g", "__rank_p", "__rank_before")
+    if total:  # by bucket, so that a large group's rows needn't meet in a join on the group
+        final = final.join(top.select("__rank_g", F.col("__rank_n").alias(total)), "__rank_g")
+    done = done.join(final, ["__rank_g", "__rank_p"])
     done = done.withColumn("__rank_k", key)
     place = F.row_number().over(Window.partitionBy("__rank_g", "__rank_p").orderBy("__rank_k"))
     done = done.withColumn(rank, F.col("__rank_before") + place - 1)
-    if total:
-        done = done.join(top.select("__rank_g", F.col("__rank_n").alias(total)), "__rank_g")
     return done.drop("__rank_g", "__rank_p", "__rank_k", "__rank_before")
