@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,3 +81,9 @@ def test_byte_encoder_round_trips(spark):
     assert load().decode(load().encode("[verse][x]")[:0]) == ""
     with pytest.raises(ValueError, match="id of another"):
         vocab.byte_encoder(public.path("byte_bpe_50k.tiktoken"), public.PATTERN, {"[x]": 7})()
+
+
+def test_only_a_piece_of_a_batch_is_python_objects():
+    batches = [pa.array([str(i) for i in range(n)]) for n in (1, 0, 10_000)]
+    pieces = list(vocab._pieces(iter(batches)))
+    assert max(map(len, pieces)) <= vocab.PIECE and [x for p in pieces for x in p] == [x for b in batches for x in b.to_pylist()]
