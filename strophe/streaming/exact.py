@@ -44,8 +44,10 @@ class Ledger:
         return sorted(int(n.split("=")[1]) for n in found if n.startswith("__flush="))
 
     def commit(self, batch: int, flush: int) -> None:
+        """Renames a flush unless its name is there: one look by name, not a listing, which grows with every flush."""
         name = f"flush-{batch:09d}-{flush:09d}"
-        if name not in self.names() and not self.disk.rename(self._at(f"{self.staged(batch)}/__flush={flush}"), self._at(f"{self.path}/{name}")):
+        where = self._at(f"{self.path}/{name}")
+        if not self.disk.exists(where) and not self.disk.rename(self._at(f"{self.staged(batch)}/__flush={flush}"), where):
             raise OSError(f"can't rename {name}")
 
 

@@ -80,3 +80,15 @@ def test_appends_are_exactly_once_when_killed(spark, tmp_path, monkeypatch, step
         sizes[r.flush] = sizes.get(r.flush, 0) + 1
     assert [sizes[f] for f in sorted(sizes)] == [10, 10, 5, 3]
     assert sorted(p.name for p in (tmp_path / "out").iterdir() if not p.name.startswith(".")) == sorted(sizes)
+
+
+def test_a_commit_lists_no_flushes(spark, tmp_path, monkeypatch):
+    """A listing for each commit would make the commits quadratic in the flushes."""
+    ledger = exact.Ledger(spark, str(tmp_path / "out"))
+    (tmp_path / "out" / "_staging-3" / "__flush=1").mkdir(parents=True)
+    monkeypatch.setattr(exact.Ledger, "names", lambda self: pytest.fail("listed"))
+    ledger.commit(3, 1)
+    ledger.commit(3, 1)  # again, after a crash
+    assert [p.name for p in (tmp_path / "out").iterdir() if p.name.startswith("flush")] == ["flush-000000003-000000001"]
+    with pytest.raises(OSError, match="can't rename"):
+        ledger.commit(3, 2)
