@@ -393,7 +393,7 @@ def lyric_blocks(t):
 @query("""SELECT event_id, printf('%.2f', CASE WHEN v < 1024 THEN v WHEN v < 1048576 THEN v / 1024 WHEN v < 1073741824 THEN v / 1048576 ELSE v / 1073741824 END) || CASE WHEN v < 1024 THEN ' B' WHEN v < 1048576 THEN ' KB' WHEN v < 1073741824 THEN ' MB' ELSE ' GB' END AS size
 FROM (SELECT event_id, CAST(event_id * event_id * 7 AS DOUBLE) AS v FROM events)""")
 def pretty_bytes(t):
-    return t("events").select("event_id", text.pretty_bytes(F.col("event_id") * F.col("event_id") * 7).alias("size"))
+    return t("events").select("event_id", text.pretty_bytes(F.col("event_id") * F.col("event_id") * 7, "GB").alias("size"))  # as its SQL, which has no larger unit
 
 
 @query("""SELECT doc_id, CAST(length(regexp_replace(text, '[a-zA-Z\\s]', '', 'g')) AS INT) AS other FROM documents""")

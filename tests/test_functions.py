@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from strophe.functions import jsonx, lrc, text, tokens
 from strophe.operators import phonemes, relational
+from strophe.plans import registry
 
 
 def one(spark, expr, **cols):
@@ -65,6 +66,13 @@ def test_sizes(spark):
         assert one(spark, text.pretty_bytes(F.col("c")), c=(n, "long")) == want
 
 
+def test_size_in_a_largest_unit(spark, tmp_path):
+    for n, want in ((1023, "1023.00 B"), (5 * 1024**3, "5.00 GB"), (3 * 1024**4, "3072.00 GB")):
+        assert one(spark, text.pretty_bytes(F.col("c"), "GB"), c=(n, "long")) == want
+    spark.range(1_000_000, 1_000_001).withColumnRenamed("id", "event_id").write.parquet(str(tmp_path / "events.parquet"))
+    assert registry.QUERIES["pretty_bytes"](spark, str(tmp_path)).first().size == "6519.26 GB"  # as the query's SQL
+
+
 def test_songs(spark):
     got = s(spark, jsonx.songs, '```json\n[{"description": "d", "lyrics": "l"},]\n```')
     assert [(r.description, r.lyrics) for r in got] == [("d", "l")]
