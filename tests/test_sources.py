@@ -1,12 +1,13 @@
 import json
 import os
+import pickle
 
 import pytest
 from pyspark.sql import functions as F
 
 from strophe.operators import relational, report
-from strophe.plans import composites
-from strophe.sources import readers, sinks
+from strophe.plans import composites, registry
+from strophe.sources import archives, readers, sinks
 from strophe.streaming import incremental
 
 
@@ -220,3 +221,42 @@ def test_evaluation_conversations(spark):
     assert m[0].content.startswith("Please generate a song in the following style:o2.\n") and m[0].content.endswith("\n[Intro][desc:]")
     assert m[2].content == "[Verse][desc:oft][lyrics:\nhello,\nhi][phoneme:\nHH AH sp\nH I sp]"
     assert [x.role for x in m] == ["user", "assistant"] * 2 and m[1].content == ""
+
+
+def test_lyrics_stay_with_their_songs(spark):
+    """Rows that come in another order each time they are made keep their own lines."""
+
+    def shuffled(batches):
+        for b in batches:
+            yield b.sample(frac=1, random_state=int.from_bytes(os.urandom(4), "little"))
+
+    rows = [(i, "s", True, f"[00:01.00]line {i}", "", "x") for i in range(50)]
+    src = spark.createDataFrame(rows, "k long, source string, has_lyric boolean, lyric string, tlyric string, artists string").coalesce(1).mapInPandas(shuffled, "k long, source string, has_lyric boolean, lyric string, tlyric string, artists string")
+    assert {r.k: r.lyrics for r in composites.lyric_conversion(src).collect()} == {i: [f"line {i}"] for i in range(50)}
+
+
+def test_files_send_no_names_to_the_driver(spark, tmp_path):
+    """A task's commit message doesn't grow with its files, and a pattern of names is one listing of their folder."""
+    df = spark.createDataFrame([(f"{i}.txt", bytearray(b"x")) for i in range(300)], "name string, body binary")
+    message = archives._Files(str(tmp_path / "a"), df.schema, False).write(iter(df.collect()))
+    assert len(pickle.dumps(message)) < 1000
+    archives.write_files(df, f"file://{tmp_path}/b")
+    put(tmp_path / "b" / "1.other", "y")
+    assert sorted(p.name for p in (tmp_path / "b").iterdir() if p.suffix == ".txt") == sorted(r.name for r in df.collect())
+    got = readers.whole_text(spark, f"file://{tmp_path}/b/*.txt")
+    assert got.count() == 300 and {r.path.rpartition("/")[2] for r in got.collect()} == {r.name for r in df.collect()}
+
+
+def test_lines_are_cut_and_numbered_by_size(spark, tmp_path):
+    """Files of lines have as many ranges as a shuffle has partitions; lines meet the places of their blocks without a shuffle."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        path = registry.files._lines(spark.range(1000), F.col("id").cast("string"), "id")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    lines = readers.numbered_lines(spark, path)
+    assert lines.select("file").distinct().count() > 4
+    assert {int(r.value) for r in lines.where("int(value) <> row_idx").collect()} == set() and lines.count() == 1000
+    assert "Exchange hashpartitioning" not in lines._jdf.queryExecution().executedPlan().toString()
