@@ -68,8 +68,12 @@ def json(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def whole_text(spark: SparkSession, path: str) -> DataFrame:
-    """S03."""
-    return spark.read.text(path, wholetext=True).select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("path"))
+    """S03. A pattern of names in one folder is a filter of the folder's listing, not a listing of each file it names."""
+    at, _, names = path.rpartition("/")
+    reader = spark.read
+    if any(c in names for c in "*?[{") and not any(c in at for c in "*?[{"):
+        path, reader = at, reader.option("pathGlobFilter", names)
+    return reader.text(path, wholetext=True).select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("path"))
 
 
 def listing(spark: SparkSession, path: str, pattern: str = "{*.mp3,*.wav}") -> DataFrame:
