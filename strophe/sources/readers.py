@@ -19,6 +19,10 @@ from strophe.operators.relational import first_wins, last_wins
 from strophe.shared import cut
 
 
+#: Blocks of files whose first places are sent to all tasks.
+FEW_BLOCKS = 100_000
+
+
 def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """value, file, row_idx: the lines of text files; row_idx counts all lines in file order.
 
@@ -29,6 +33,7 @@ def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     blocks = cut(spark.read.text(path).select(*meta).groupBy("__path", "__block").agg(F.count(F.lit(1)).alias("__n"), F.min("__id").alias("__first")))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__path", "__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = blocks.select("__path", "__block", "__first", before.alias("__before"))  # one row for each block of a file
+    starts = F.broadcast(starts) if blocks.count() <= FEW_BLOCKS else starts  # else each task of the join would get whole blocks
     out = lines.join(starts, ["__path", "__block"])
     return out.select("value", "file", (F.col("__before") + F.col("__id") - F.col("__first")).alias("row_idx"))
 
