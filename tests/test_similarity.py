@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from strophe.operators import similarity, vocab
+from strophe.operators import dedup, similarity, vocab
 
 
 def texts(n):
@@ -87,3 +87,19 @@ def test_only_a_piece_of_a_batch_is_python_objects():
     batches = [pa.array([str(i) for i in range(n)]) for n in (1, 0, 10_000)]
     pieces = list(vocab._pieces(iter(batches)))
     assert max(map(len, pieces)) <= vocab.PIECE and [x for p in pieces for x in p] == [x for b in batches for x in b.to_pylist()]
+
+
+def test_greedy_by_steps_equals_a_walk(spark):
+    """Also over many steps and blocks; edges of all vectors at once are never asked for."""
+    r = random.Random(3)
+    rows = [(i, [r.gauss(0, 1) for _ in range(6)]) for i in r.sample(range(10_000), 400)]
+    unit = {i: [a / math.sqrt(sum(b * b for b in x)) for a in x] for i, x in rows}
+    kept = []
+    for i in sorted(unit):
+        if not any(sum(a * b for a, b in zip(unit[i], unit[j], strict=True)) > 0.7 for j in kept):
+            kept.append(i)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    assert sorted(x.vec_id for x in dedup.greedy_similar(df, 0.7, step=90).collect()) == kept
+    assert sorted(x.vec_id for x in dedup.greedy_similar(df, 0.7).collect()) == kept
+    edges = [sorted((e.i, e.j) for e in dedup.similarity_edges(df, 0.7, block=b).collect()) for b in (None, 64)]
+    assert edges[0] == edges[1] and len(set(edges[0])) == len(edges[0])
