@@ -633,8 +633,8 @@ def line_conversations(t):
     from strophe.plans.composites import line_conversations as convert
 
     items = _lrc(t).select(F.col("doc_id").cast("string").alias("stem"), "lyric", F.lit("").alias("tlyric"))
-    audio = t("documents").select(F.col("doc_id").cast("string").alias("stem"), F.sequence(F.lit(0), F.col("n_chars").cast("int")).alias("tokens"))
-    turns = convert(items, audio, F.concat(F.lit("song "), "stem")).select("stem", F.posexplode("messages").alias("turn", "m"))
+    audio = t("documents").select(F.col("doc_id").cast("string").alias("stem"), "n_chars")
+    turns = convert(items, audio, F.concat(F.lit("song "), "stem"), F.sequence(F.lit(0), F.col("n_chars").cast("int"))).select("stem", F.posexplode("messages").alias("turn", "m"))
     return turns.select("stem", "turn", F.col("m.role").alias("role"), F.col("m.content").alias("content"))
 
 

@@ -260,3 +260,14 @@ def test_lines_are_cut_and_numbered_by_size(spark, tmp_path):
     assert lines.select("file").distinct().count() > 4
     assert {int(r.value) for r in lines.where("int(value) <> row_idx").collect()} == set() and lines.count() == 1000
     assert "Exchange hashpartitioning" not in lines._jdf.queryExecution().executedPlan().toString()
+
+
+def test_line_conversations_shuffle_no_made_tokens(spark):
+    items = spark.createDataFrame([("a", "[00:01.00]one\n[00:02.00]two", ""), ("b", "", "")], "stem string, lyric string, tlyric string")
+    audio = spark.createDataFrame([("a", 100), ("b", 5)], "stem string, n int")
+    made = F.sequence(F.lit(0), F.col("n"))
+    want = composites.line_conversations(items, audio.select("stem", made.alias("tokens")), F.lit("intro")).collect()
+    got = composites.line_conversations(items, audio, F.lit("intro"), made)
+    assert got.collect() == want and len(want) == 1
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("sequence(0") < plan.index("Join")  # above the join
