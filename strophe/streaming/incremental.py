@@ -40,20 +40,24 @@ class _Poll(StatefulProcessor):
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
         new = [(r["us"], r["status"]) for r in rows]
-        if self.done.exists():
+        if self.done.exists() or not new:
             return iter(())
-        for x in new:
-            self.seen.appendValue(x)
-        moments = {min(us for us, _ in self.seen.get()) + self.timeout} | {us for us, status in new if status in _FINAL}
-        for us in moments:  # timers are by the millisecond: at its end nothing of it is missing
-            self.handle.registerTimer(us // 1000 + 1)
+        old = [(us, status) for us, status in self.seen.get()]
+        self.seen.appendList(new)
+        # updates move the end only to an earlier moment, which gets a timer of its own
+        if not old or self.end(old + new)[0] != self.end(old)[0]:
+            self.handle.registerTimer(self.end(old + new)[0] // 1000 + 1)  # by the millisecond: at its end nothing of it is missing
         return iter(())
 
+    def end(self, seen: list[tuple[int, str]]) -> tuple[int, str]:
+        """When and how the task ends by what is known."""
+        deadline = min(us for us, _ in seen) + self.timeout
+        return min(((us, status) for us, status in seen if status in _FINAL and us <= deadline), default=(deadline, "timeout"))
+
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
         if not self.done.exists():
-            seen = sorted(self.seen.get())
-            deadline = seen[0][0] + self.timeout
-            at, outcome = min(((us, status) for us, status in seen if status in _FINAL and us <= deadline), default=(deadline, "timeout"))
+            seen = [(us, status) for us, status in self.seen.get()]
+            at, outcome = self.end(seen)
             if at < expiredTimerInfo.getExpiryTimeInMs() * 1000:
                 self.seen.clear()
                 self.done.update((True,))

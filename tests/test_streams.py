@@ -92,3 +92,34 @@ def test_a_commit_lists_no_flushes(spark, tmp_path, monkeypatch):
     assert [p.name for p in (tmp_path / "out").iterdir() if p.name.startswith("flush")] == ["flush-000000003-000000001"]
     with pytest.raises(Exception, match="__flush=2|can't rename"):  # a flush that isn't there
         ledger.commit(3, 2)
+
+
+def test_a_poll_has_one_timer_for_each_end(monkeypatch):
+    """Not one for each final status: a task's updates of one batch cost one append and at most one timer."""
+
+    class State(list):
+        def get(self):
+            return iter(self)
+
+        def exists(self):
+            return bool(self)
+
+        def appendList(self, rows):
+            self.extend(rows)
+
+    class Handle:
+        timers = []
+        getListState = getValueState = lambda self, *a: State()
+
+        def registerTimer(self, ms):
+            self.timers.append(ms)
+
+    p = incremental._Poll("k", 60_000_000)
+    p.init(Handle())
+    batch = lambda *us: p.handleInputRows(("a",), iter([{"us": x * 1_000_000, "status": "failed"} for x in us]), None)
+    batch(*range(100, 150))
+    batch(*range(150, 200))
+    assert Handle.timers == [100_001]
+    batch(90, 95)
+    batch(10)
+    assert Handle.timers == [100_001, 90_001, 10_001]
