@@ -103,3 +103,14 @@ def test_greedy_by_steps_equals_a_walk(spark):
     assert sorted(x.vec_id for x in dedup.greedy_similar(df, 0.7).collect()) == kept
     edges = [sorted((e.i, e.j) for e in dedup.similarity_edges(df, 0.7, block=b).collect()) for b in (None, 64)]
     assert edges[0] == edges[1] and len(set(edges[0])) == len(edges[0])
+
+
+def test_line_ids_over_pieces(spark):
+    """Lines of more rows than a piece holds, and rows without lines or with empty ones, in bounded pieces."""
+    rows = [(i, ["[verse]", "a" * (i % 5), "[space]"] if i % 7 else []) for i in range(300)]
+
+    def load():
+        return lambda text: [1] * len(text)
+
+    got = spark.createDataFrame(rows, "i long, lines array<string>").coalesce(1).withColumn("ids", vocab.line_ids(F.col("lines"), load)).collect()
+    assert {r.i: r.ids for r in got} == {i: [503, 511, *[1] * (i % 5), 511, 512, 511] if i % 7 else [] for i, _ in rows}
