@@ -50,6 +50,27 @@ def test_pairs_equal_all_pairs(spark, block, threshold):
         assert similarity.candidates(vectors, threshold, block).count() < n * (n - 1) / 20
 
 
+def test_few_shared_words_are_not_compared(spark):
+    r = random.Random(8)
+    rows = [(i, " ".join([*(["shared"] if i < 80 else []), *r.sample([f"w{k}" for k in range(150)], 40)])) for i in range(400)]
+    vectors = similarity.word_vectors(similarity.word_counts(spark.createDataFrame(rows, "id long, text string"), "id", F.col("text"))).cache()
+    assert similarity.candidates(vectors, 0.8).count() < 400 * 399 / 2 / 10 and similarity.similar_pairs(vectors, 0.8).count() == len(plain(rows, 0.8))
+
+
+def test_first_kept_never_makes_pairs_of_copies(spark, monkeypatch):
+    """The kept set of a plain walk over all pairs; edges are those of different vectors only."""
+    rows = [x for x in texts(40) if x[1]] + [(5000 + k, f"copy of one text {k % 2}") for k in range(60)]
+    pairs, kept = plain(rows, 0.6), []
+    for i in sorted(i for i, _ in rows):
+        if not any((k, i) in pairs for k in kept):
+            kept.append(i)
+    asked, keep = [], dedup.greedy_keep
+    monkeypatch.setattr(dedup, "greedy_keep", lambda nodes, edges, *a, **b: asked.append(edges.count()) or keep(nodes, edges, *a, **b))
+    df = spark.createDataFrame(rows, "id long, text string").repartition(5)
+    gone = {x.id for x in similarity.first_kept(similarity.word_vectors(similarity.word_counts(df, "id", F.col("text"))), 0.6).collect()}
+    assert sorted({i for i, _ in rows} - gone) == kept and asked[0] < len(pairs) - 600
+
+
 def test_no_texts(spark):
     none = spark.createDataFrame([], "id long, text string")
     assert similarity.similar_pairs(similarity.word_vectors(similarity.word_counts(none, "id", F.col("text"))), 0.5).count() == 0
