@@ -56,6 +56,11 @@ def block_map(flags: np.ndarray, nexts: np.ndarray) -> np.ndarray:
     return distinct[of].astype(np.int32)
 
 
+def later_blocks(placed: DataFrame, path: str) -> DataFrame:
+    """The frames of paths of more than one block: only their blocks need maps, a path's first block begins closed."""
+    return placed.join(placed.where("block > 0").select(path).distinct(), path, "left_semi")
+
+
 def voiced_spans(frames: DataFrame, path: str = "path", ring: int = 10, share: float = 0.9, frame_s: float = 0.03, block: int = BLOCK) -> DataFrame:
     """Speech spans by hysteresis over a ring of frames that clears at each switch; (-1, -1) if there is none.
 
@@ -82,7 +87,7 @@ def voiced_spans(frames: DataFrame, path: str = "path", ring: int = 10, share: f
             state = int(np.frombuffer(m, dtype=np.int32)[state])
         return pd.DataFrame({path: same(pdf, len(out)), "block": pdf["block"].tolist(), "state": out})
 
-    known = placed.groupBy(path, "block").applyInPandas(maps, f"{path} {kind}, block long, map binary").groupBy(path).applyInPandas(entries, f"{path} {kind}, block long, state int")
+    known = later_blocks(placed, path).groupBy(path, "block").applyInPandas(maps, f"{path} {kind}, block long, map binary").groupBy(path).applyInPandas(entries, f"{path} {kind}, block long, state int")
 
     def replay(pdf: pd.DataFrame) -> pd.DataFrame:
         nexts, turns, held = automaton(ring, least)
@@ -96,7 +101,8 @@ def voiced_spans(frames: DataFrame, path: str = "path", ring: int = 10, share: f
             state = int(nexts[f, state])
         return pd.DataFrame({path: same(pdf, len(out)), "at": [x[0] for x in out], "from": pd.array([x[1] for x in out], dtype="Int64"), "end": pd.array([x[2] for x in out], dtype="Float64")})
 
-    turned = cut(placed.join(known, [path, "block"]).groupBy(path, "block").applyInPandas(replay, f"{path} {kind}, at long, from long, end double"))
+    entered = placed.join(known, [path, "block"], "left").withColumn("state", F.coalesce("state", F.lit(first)))
+    turned = cut(entered.groupBy(path, "block").applyInPandas(replay, f"{path} {kind}, at long, from long, end double"))
     switches = ranked(turned, "at", "n", by=path).withColumn("span", F.floor(F.col("n") / 2).cast("int"))
     begins = switches.where(F.col("from").isNotNull()).select(path, "span", F.col("from").alias("at"))
     begins = placed.select(path, "at", F.col("ts").alias("start")).join(begins, [path, "at"]).select(path, "span", "start")

@@ -228,6 +228,20 @@ def test_spans_of_blocks_equal_a_walk(spark, block, ring, share):
     assert got == {p: walked(f, [k * 0.03 for k in range(len(f))], ring, share, 0.03) for p, f in tracks.items()}
 
 
+def test_only_paths_of_several_blocks_have_maps(spark, monkeypatch):
+    """Paths of one block beside one of three: the frames that get maps are those of the long one, the spans are a walk's."""
+    asked, later = [], hysteresis.later_blocks
+    monkeypatch.setattr(hysteresis, "later_blocks", lambda *a: asked.append(later(*a)) or asked[0])
+    r = np.random.default_rng(4)
+    tracks = {p: np.repeat(r.random(9) < 0.5, 16)[:n].tolist() for p, n in (("a", 50), ("b", 64), ("long", 140), ("c", 1))}
+    rows = [(p, float(k), bool(f)) for p, flags in tracks.items() for k, f in enumerate(flags)]
+    got = {}
+    for g in hysteresis.voiced_spans(spark.createDataFrame(rows, "path string, ts double, is_speech boolean"), block=64).orderBy("path", "span").collect():
+        got.setdefault(g.path, []).append((g.start, g.end))
+    assert got == {p: walked(f, [float(k) for k in range(len(f))], 10, 0.9, 0.03) for p, f in tracks.items()}
+    assert {x.path for x in asked[0].collect()} == {"long"} and asked[0].count() == 140
+
+
 def test_spans_of_a_million_frames_on_one_path(spark):
     n = 1_000_000
     flag = F.pmod(F.xxhash64(F.floor(F.col("id") / 17)), F.lit(3)) == 0
