@@ -1,9 +1,10 @@
 """Letters to phones, learned from a lexicon.
 
 Letters and phones of the entries are aligned by expectation maximisation over small units (one or two
-letters with none to two phones). The entries, cut into their best units, give joint n-grams that also know the next letter, with Dirichlet smoothing, and a
-word is converted by a beam search over its cuts. The fit reads at most `most` entries, chosen by a hash of
-the word; its tables are bounded by that and are broadcast.
+letters with none to two phones). The entries, cut into their best units, say how likely a unit is where some letters lie ahead and
+some units went before, with Dirichlet smoothing, and a word is converted by a beam search over its cuts. Letters are given, so cuts into
+fewer units are not likelier for it. The fit reads at most `most` entries, chosen by a hash of the word; its tables are bounded by that
+and are broadcast.
 """
 
 from __future__ import annotations
@@ -16,9 +17,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Letters and phones of a unit; order of the n-grams; weight of a shorter context; open paths of the search.
+#: Letters and phones of a unit; order of the n-grams; letters ahead, the unit's own among them; weight of a shorter context; open paths of the search.
 SHAPES = ((1, 1), (1, 0), (2, 0), (2, 1), (1, 2))
-ORDER, WEIGHT, BEAM = 4, 0.5, 12
+ORDER, AHEAD, WEIGHT, BEAM = 4, 4, 0.5, 12
 #: Entries the fit reads.
 MOST = 5000
 Unit = tuple[str, tuple[str, ...]]
@@ -65,12 +66,13 @@ class Model:
             weight = defaultdict(lambda: 1e-12, {u: c / whole for u, c in counts.items() if c > 1e-6})
         self.counts: dict[tuple, Counter] = defaultdict(Counter)
         for n, m, arcs in lattices:
-            for i, u in enumerate(path := self._aligned(n, m, arcs, weight)):
-                follows = path[i + 1][0][0] if i + 1 < len(path) else ""
-                for k in range(min(order, i + 1)):
-                    h = tuple(path[i - k : i])
+            path = [("^", ()), *self._aligned(n, m, arcs, weight)]
+            word, at = "".join(u[0] for u in path[1:]) + "$", 0
+            for i, u in enumerate(path[1:], 1):
+                self.counts[()][u] += 1
+                for h in self._contexts(tuple(path[max(0, i + 1 - order) : i]), word[at : at + AHEAD]):
                     self.counts[h][u] += 1
-                    self.counts[(*h, follows)][u] += 1
+                at += len(u[0])
         self.totals = {h: sum(c.values()) for h, c in self.counts.items()}
         self.of: dict[str, list[Unit]] = defaultdict(list)
         for u in sorted(self.counts[()]):
@@ -79,30 +81,38 @@ class Model:
 
     @staticmethod
     def _aligned(n: int, m: int, arcs: list, weight: dict) -> list[Unit]:
-        """The best units of an entry, between marks of its ends."""
+        """The best units of an entry."""
         best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         for i, j, k, e, u in arcs:
             if (i, j) in best:
                 score = best[i, j][0] + math.log(weight[u])
                 if (k, e) not in best or score > best[k, e][0]:
                     best[k, e] = (score, (i, j, u))
-        out, at = [("$", ())], (n, m)
+        out, at = [], (n, m)
         if at not in best:
             return []
         while best[at][1]:
             i, j, u = best[at][1]
             out.append(u)
             at = (i, j)
-        return [("^", ()), *reversed(out)]
-
-    def chance(self, history: tuple[Unit, ...], unit: Unit, follows: str) -> float:
-        """Of a unit after others and before a letter, smoothed by shorter histories and by those that don't look ahead."""
-        p = 1.0 / (len(self.counts[()]) + 1)
-        for end in ((), (follows,)):
-            for k in range(min(len(history), self.order - 1) + 1):
-                h = (*history[len(history) - k :], *end)
-                if h in self.totals:
-                    p = (self.counts[h][unit] + WEIGHT * p) / (self.totals[h] + WEIGHT)
+        return out[::-1]
+
+    def _contexts(self, history: tuple[Unit, ...], ahead: str) -> Iterable[tuple]:
+        """Wider and wider: first more letters ahead (`$` is the end), then also more units before."""
+        yield from ((ahead[:k],) for k in range(1, len(ahead) + 1))
+        yield from ((*history[len(history) - k :], ahead) for k in range(1, min(len(history), self.order - 1) + 1))
+
+    def _units(self, ahead: str) -> list[Unit]:
+        """Those that can begin before these letters."""
+        return [u for k in range(1, min(2, len(ahead)) + 1) for u in self.of.get(ahead[:k], ())]
+
+    def chance(self, history: tuple[Unit, ...], unit: Unit, ahead: str) -> float:
+        """Of a unit after others and at the letters ahead, which begin with its own; smoothed by smaller contexts."""
+        units = self._units(ahead)
+        p = 1.0 / len(units) if unit in units else 0.0
+        for h in self._contexts(history, ahead):
+            if h in self.totals:
+                p = (self.counts[h][unit] + WEIGHT * p) / (self.totals[h] + WEIGHT)
         return p
 
     def convert(self, word: str) -> list[str]:
@@ -111,15 +121,14 @@ class Model:
         open_: list[dict[tuple, tuple[float, tuple]]] = [{} for _ in range(len(word) + 1)]
         open_[0][("^", ()),] = (0.0, ())
         for i in range(len(word)):
+            ahead = (word[i:] + "$")[:AHEAD]
             for h, (score, phones) in sorted(open_[i].items(), key=lambda x: (-x[1][0], x[0]))[:BEAM]:
-                for n in (1, 2):
-                    for u in self.of.get(word[i : i + n], ()) if i + n <= len(word) else ():
-                        s = score + math.log(self.chance(h, u, (word[i + n :] or "$")[0]))
-                        to = (*h, u)[1 - self.order :]
-                        if to not in open_[i + n] or s > open_[i + n][to][0]:
-                            open_[i + n][to] = (s, phones + u[1])
-        ends = [(score + math.log(self.chance(h, ("$", ()), "")), phones) for h, (score, phones) in open_[-1].items()]
-        return list(max(ends, key=lambda x: (x[0], x[1]))[1]) if ends else []
+                for u in self._units(word[i : i + 2]):
+                    s, k = score + math.log(self.chance(h, u, ahead)), i + len(u[0])
+                    to = (*h, u)[1 - self.order :]
+                    if to not in open_[k] or s > open_[k][to][0]:
+                        open_[k][to] = (s, phones + u[1])
+        return list(max(open_[-1].values())[1]) if open_[-1] else []
 
 
 def fit(lexicon: DataFrame, most: int = MOST) -> Model:
