@@ -126,6 +126,24 @@ def test_greedy_by_steps_equals_a_walk(spark):
     assert edges[0] == edges[1] and len(set(edges[0])) == len(edges[0])
 
 
+def test_a_piece_of_long_rows_is_bounded_in_bytes():
+    """Rows of very different lengths, texts and lists: a piece has a megabyte at most unless it is one row."""
+    texts = [("x" * n) for n in (0, 300_000, 5, 3_000_000, 400_000, 400_000, 400_000, 1) * 20]
+    for rows in (pa.array(texts), pa.array([[len(t)] * (len(t) // 10) for t in texts], pa.list_(pa.int32())), pa.array([["[verse]", t] for t in texts])):
+        for at in (0, 7):  # a slice's bytes are its own, not its buffers'
+            pieces = list(vocab._pieces(iter([rows.slice(at)])))
+            assert [x for p in pieces for x in p] == rows.slice(at).to_pylist()
+            assert all(len(p) == 1 or pa.array(p, rows.type).nbytes <= vocab.PIECE_BYTES for p in pieces)
+
+
+def test_line_ids_of_odd_lines(spark):
+    """Null lines have no ids, a null line is an empty one; only spaces around a line go; a marked line with spaces is plain text."""
+    cases = [(None, None), ([], []), ([None], [511]), (["  "], [511]), ([" ab "], [97, 98, 511]), (["\ta"], [9, 97, 511]), (["[stop]", "[end]"], [511, 511, 501, 511]), ([" [end]"], [*map(ord, "[end]"), 511])]
+    df = spark.createDataFrame([(i, v) for i, (v, _) in enumerate(cases)], "i long, lines array<string>")
+    got = df.withColumn("ids", vocab.line_ids(F.col("lines"), lambda: lambda text: [*map(ord, text)])).collect()
+    assert {r.i: r.ids for r in got} == {i: ids for i, (_, ids) in enumerate(cases)}
+
+
 def test_line_ids_over_pieces(spark):
     """Lines of more rows than a piece holds, and rows without lines or with empty ones, in bounded pieces."""
     rows = [(i, ["[verse]", "a" * (i % 5), "[space]"] if i % 7 else []) for i in range(300)]
