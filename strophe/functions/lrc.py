@@ -9,6 +9,8 @@ from strophe.functions.text import strip
 
 #: A time stamp as lyric files write it (fixed value).
 STAMP = r"\[([0-9]{1,2}):([0-9]{1,2})(?:[.:]([0-9]{1,3}))?\]"
+#: The same with the minutes of recordings of 100 minutes and more.
+LONG_STAMP = STAMP.replace("{1,2}", "{1,6}", 1)
 #: The strict stamps of valid files, and those that are stripped (fixed values).
 STRICT, STRIPPED = r"\[(\d{2}):(\d{2})(?:\.(\d{2}))?\]", r"\[\d{2}:\d{2}(?:\.\d+)?\]"
 #: Seconds a valid file's last stamp comes at least after the start, and at most after the one before (fixed values).
@@ -21,16 +23,16 @@ def _seconds(minute: Column, second: Column, fraction: Column, hundredths: bool)
     return minute.cast("int") * 60 + second.cast("int") + part
 
 
-def _lines(c: Column, text_pattern: str, hundredths: bool) -> Column:
-    whole = STAMP + text_pattern
+def _lines(c: Column, text_pattern: str, hundredths: bool, stamp: str = STAMP) -> Column:
+    whole = stamp + text_pattern
     m, s, f, t = (F.regexp_extract_all(c, F.lit(whole), F.lit(i)) for i in (1, 2, 3, 4))
     z = F.arrays_zip(m.alias("m"), s.alias("s"), f.alias("f"), t.alias("t"))
     return F.transform(z, lambda x: F.struct(_seconds(x["m"], x["s"], x["f"], hundredths).alias("start_s"), strip(x["t"]).alias("text")))
 
 
-def lines_to_bracket(c: Column) -> Column:
+def lines_to_bracket(c: Column, stamp: str = STAMP) -> Column:
     """Text ends at the next bracket; fractions are thousandths whatever their digits; empty texts go."""
-    return F.filter(_lines(c, r"([^\[]*)", hundredths=False), lambda x: x["text"] != "")
+    return F.filter(_lines(c, r"([^\[]*)", hundredths=False, stamp=stamp), lambda x: x["text"] != "")
 
 
 def lines_to_stamp(c: Column) -> Column:

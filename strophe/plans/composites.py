@@ -37,10 +37,10 @@ def lyric_conversion(src: DataFrame, suffix: str = "") -> DataFrame:
 def line_conversations(items: DataFrame, audio: DataFrame, intro: Column, tokens_of: Column | None = None) -> DataFrame:
     """One conversation a song: the prelude, then a turn for each line and its audio tokens.
 
-    items: stem, lyric, tlyric and what `intro` needs; audio: stem, tokens. Songs without lines drop.
+    items: stem, lyric, tlyric and what `intro` needs; audio: stem, tokens. Songs without lines drop; minutes may have any digits.
     tokens_of: the tokens by other columns of audio, made once a song after the join, so that only those columns are shuffled.
     """
-    lines = lrc.lines_to_bracket(relational.longer_lyric(F.coalesce("lyric", F.lit("")), F.coalesce("tlyric", F.lit(""))))
+    lines = lrc.lines_to_bracket(relational.longer_lyric(F.coalesce("lyric", F.lit("")), F.coalesce("tlyric", F.lit(""))), lrc.LONG_STAMP)
     j = items.select("*", F.explode(F.array(lines)).alias("lines")).where(F.size("lines") > 0).join(audio, "stem")  # a generator, so that lyrics are parsed once
     j = j if tokens_of is None else j.select("*", F.explode(F.array(tokens_of)).alias("tokens"))
     n = F.size("lines")

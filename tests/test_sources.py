@@ -271,3 +271,11 @@ def test_line_conversations_shuffle_no_made_tokens(spark):
     assert got.collect() == want and len(want) == 1
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("sequence(0") < plan.index("Join")  # above the join
+
+
+def test_line_conversations_keep_lines_after_100_minutes(spark):
+    items = spark.createDataFrame([("s", "[99:58.00]a\n[100:05.00]b\n[1000:00.00]c", "")], "stem string, lyric string, tlyric string")
+    audio = spark.createDataFrame([("s", 1000 * 60 * 25 + 50)], "stem string, n int")
+    got = composites.line_conversations(items, audio, F.lit("intro"), F.sequence(F.lit(1), F.col("n"))).first().messages
+    assert [m.content for m in got if m.role == "user"] == ["intro", "a", "b", "请生成歌词c以及歌曲结尾"]
+    assert [m.content.count("<AUDIO_") for m in got if m.role != "user"] == [5998 * 25, 7 * 25, (60000 - 6005) * 25, 50]
