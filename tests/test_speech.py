@@ -73,6 +73,23 @@ def test_a_cut_into_fewer_units_is_not_likelier_for_it():
     assert g2p.Model([("a$", "A"), ("b", "B")]).convert("ba$^") == ["B", "A"]
 
 
+def test_a_fit_reads_the_whole_lexicon(spark, monkeypatch):
+    """What single entries of 6,020 show is learned, and the table of contexts says what one model of all entries says."""
+    r = random.Random(5)
+    words = sorted({"".join(r.choice("abcdefghijklmnopqrst") for _ in range(r.randrange(3, 5))) for _ in range(7000)})[:6000]
+    rare = [chr(945 + i) for i in range(17)]
+    entries = [*((w, list(w.upper())) for w in words), *((f"{c}a{c}", [f"<{c}>", "A", f"<{c}>"]) for c in rare)]
+    monkeypatch.setattr(g2p, "WORDS", 3, raising=False)
+    asked = [*(f"b{c}" for c in rare), "badcab", None, "", "?!", "?αd"]
+    model = g2p.fit(spark.createDataFrame(entries, "word string, phones array<string>"))
+    got = {x.word: x.phones for x in g2p.convert_words(spark.createDataFrame([(w,) for w in asked], "word string"), model).collect()}
+    assert got == {f"b{c}": ["B", f"<{c}>"] for c in rare} | {"badcab": list("BADCAB"), None: [], "": [], "?!": [], "?αd": ["<α>", "D"]}
+    small = [(w, rule(w)) for w in ("lock", "box", "phone", "light", "lone", "gate", "ship")]
+    whole, learned = g2p.Model(small), g2p.fit(spark.createDataFrame(small, "word string, phones array<string>"))
+    asked = ["rock", "fox", "phonix", "tone", "nigh", "gale", "shine", "lolo"]
+    assert {x.word: x.phones for x in g2p.convert_words(spark.createDataFrame([(w,) for w in asked], "word string"), learned).collect()} == {w: whole.convert(w) for w in asked}
+
+
 def test_chances_sum_to_at_most_one():
     model = g2p.Model([(w, rule(w)) for w in ("lock", "box", "phone", "light", "lone")])
     units = list(model.counts[()])
