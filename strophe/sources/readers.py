@@ -7,16 +7,19 @@ go by (file, line); lines are numbered per block of a file and shifted by block
 from __future__ import annotations
 
 import io
-from collections.abc import Iterator, Sequence
+import re
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strophe.functions.text import file_stem, strip
 from strophe.operators.relational import first_wins, last_wins
 from strophe.shared import cut
+from strophe.sources.archives import opened
 
 
 #: Blocks of files whose first places are sent to all tasks.
@@ -72,13 +75,83 @@ def json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path, multiLine=True)
 
 
+#: Bytes and files that a task holds when it reads whole files.
+HELD, FILES = 16_777_216, 1000
+
+
+def _glob(pattern: str) -> re.Pattern:
+    """A pattern of names as Hadoop writes it."""
+    out, depth, inside = "", 0, False
+    for at, c in enumerate(pattern):
+        if inside:
+            out += "^" if c in "!^" and pattern[at - 1] == "[" else "\\\\" if c == "\\" else c
+            inside = c != "]"
+        elif c == "[":
+            out, inside = out + c, True
+        elif c in "{}" or (c == "," and depth):
+            depth += {"{": 1, "}": -1, ",": 0}[c]
+            out += {"{": "(?:", "}": ")", ",": "|"}[c]
+        else:
+            out += {"*": ".*", "?": "."}.get(c) or re.escape(c)
+    return re.compile(out, re.DOTALL)
+
+
+def _below(spark: SparkSession, base: str, root: str, patterns: Sequence[str]) -> DataFrame:
+    """path, in the file system, of the files that the patterns name, one for each level below a folder. Folders are listed in tasks."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = spark.range(1).select(F.lit(root).alias("path"))
+    for level, pattern in enumerate(patterns, 1):
+        kind = fs.FileType.File if level == len(patterns) else fs.FileType.Directory
+
+        def children(batches: Iterator[pa.RecordBatch], name=_glob(pattern), kind=kind) -> Iterator[pa.RecordBatch]:
+            disk, _ = opened(base)
+            for b in batches:
+                for folder in b.column(0).to_pylist():
+                    inside = disk.get_file_info(fs.FileSelector(folder))
+                    paths = [f.path for f in inside if f.type == kind and f.base_name[0] not in "._" and name.fullmatch(f.base_name)]
+                    yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string())], names=["path"])
+
+        found = found.mapInArrow(children, "path string").repartition(n)
+    return found
+
+
+def _bodies(base: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        disk, _ = opened(base)
+        names, bodies, held = [], [], 0
+        for b in batches:
+            for path in b.column(0).to_pylist():
+                with disk.open_input_stream(path) as f:
+                    bodies.append(f.read())
+                names.append(path)
+                held += len(bodies[-1])
+                if held >= HELD or len(names) >= FILES:
+                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(bodies, pa.binary())], names=["path", "body"])
+                    names, bodies, held = [], [], 0
+        if names:
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(bodies, pa.binary())], names=["path", "body"])
+
+    return read
+
+
 def whole_text(spark: SparkSession, path: str) -> DataFrame:
-    """S03. A pattern of names in one folder is a filter of the folder's listing, not a listing of each file it names."""
-    at, _, names = path.rpartition("/")
-    reader = spark.read
-    if any(c in names for c in "*?[{") and not any(c in at for c in "*?[{"):
-        path, reader = at, reader.option("pathGlobFilter", names)
-    return reader.text(path, wholetext=True).select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("path"))
+    """S03. Files that a pattern names are listed and read in tasks, empty ones too, so the driver holds no file's name.
+
+    A path without a pattern, or in a file system that pyarrow can't open, is read by Spark's own reader.
+    """
+    parts = path.split("/")
+    first = next((i for i, x in enumerate(parts) if any(c in x for c in "*?[{")), None)
+    base = "/".join(parts[:first])
+    try:
+        disk, root = opened(base) if first and base else (None, "")
+    except (pa.ArrowException, OSError):
+        disk, root = None, ""
+    if disk is None:
+        return spark.read.text(path, wholetext=True).select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("path"))
+    whole = base if "://" in base else f"file://{base.removeprefix('file:')}"
+    before = whole.rstrip("/").removesuffix(root.rstrip("/"))
+    rows = _below(spark, base, root, parts[first:]).mapInArrow(_bodies(base), "path string, body binary")
+    return rows.select(F.col("body").cast("string").alias("text"), F.concat(F.lit(before), "path").alias("path"))
 
 
 def listing(spark: SparkSession, path: str, pattern: str = "{*.mp3,*.wav}") -> DataFrame:

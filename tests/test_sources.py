@@ -279,3 +279,15 @@ def test_line_conversations_keep_lines_after_100_minutes(spark):
     got = composites.line_conversations(items, audio, F.lit("intro"), F.sequence(F.lit(1), F.col("n"))).first().messages
     assert [m.content for m in got if m.role == "user"] == ["intro", "a", "b", "请生成歌词c以及歌曲结尾"]
     assert [m.content.count("<AUDIO_") for m in got if m.role != "user"] == [5998 * 25, 7 * 25, (60000 - 6005) * 25, 50]
+
+
+def test_files_are_listed_in_tasks(spark, tmp_path, monkeypatch):
+    """The driver holds no names of files; spread files lie in folders of bounded size."""
+    monkeypatch.setattr(archives, "SPREAD", 7)
+    df = spark.range(50).select(F.concat("id", F.lit(".txt")).alias("name"), F.encode(F.col("id").cast("string"), "UTF-8").alias("body"))
+    archives._Files(str(tmp_path / "w"), df.schema, False, True).commit([archives._Files(str(tmp_path / "w"), df.schema, False, True).write(iter(df.collect()))])
+    assert sorted(len(list(p.iterdir())) for p in (tmp_path / "w").iterdir() if p.name.startswith("part-")) == [1, *[7] * 7]
+    archives.write_files(df, f"file://{tmp_path}/s", spread=True)
+    got = readers.whole_text(spark, f"file://{tmp_path}/s/*/[!x]*.{{txt,md}}")
+    assert got.inputFiles() == [] and {(r.path[:7], r.path.rpartition("/")[2], r.text) for r in got.collect()} == {("file://", f"{i}.txt", str(i)) for i in range(50)}
+    assert [p.name for p in (tmp_path / "s").iterdir() if p.name.startswith("_")] == []
