@@ -201,11 +201,19 @@ def aligned_words(spark: SparkSession, path: str) -> DataFrame:
     return t.select("song_id", "track_index", F.posexplode("timestamped_lyrics.alignedWords").alias("pos", "w")).select("song_id", "track_index", "pos", "w.*")
 
 
+LINE_END = "\r\n|\r|\n"
+
+
+def names_language(text: Column) -> Column:
+    """Whether a lyric text's first line is the name of a language."""
+    return F.lower(strip(F.split(text, LINE_END)[0])).isin("chinese", "english", "zh", "en")
+
+
 def lyric_files(spark: SparkSession, path: str) -> DataFrame:
     """Lyric texts without a leading language line, their lines joined by blanks."""
-    lines = F.filter(F.transform(F.split("text", "\r\n|\r|\n"), strip), lambda x: x != "")
-    named = F.lower(lines[0]).isin("chinese", "english", "zh", "en")
-    return whole_text(spark, path).select("path", F.array_join(F.when((F.size(lines) > 0) & named, F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1)))).otherwise(lines), " ").alias("lyrics"))
+    lines = F.transform(F.split("text", LINE_END), strip)
+    kept = F.when(names_language(F.col("text")), F.slice(lines, 2, F.size(lines))).otherwise(lines)
+    return whole_text(spark, path).select("path", F.array_join(F.filter(kept, lambda x: x != ""), " ").alias("lyrics"))
 
 
 def metric_files(spark: SparkSession, path: str) -> DataFrame:

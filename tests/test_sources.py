@@ -281,6 +281,21 @@ def test_line_conversations_keep_lines_after_100_minutes(spark):
     assert [m.content.count("<AUDIO_") for m in got if m.role != "user"] == [5998 * 25, 7 * 25, (60000 - 6005) * 25, 50]
 
 
+def test_lyric_files_as_their_sql(spark, tmp_path):
+    """Texts that begin with a language's name, empty ones and none are read as the query's SQL reads them."""
+    texts = ["one\ntwo", "en", "En\n en \nthe end", "zh\nx", "\nen\nb", "", "\n", None, " English \r\nc", "a\n\n b\n"]
+    spark.createDataFrame(list(enumerate(texts * 2, 1)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.lyrics for r in registry.QUERIES["read_lyric_files"](spark, str(tmp_path)).collect()}
+    want = [None if x is None else " ".join(filter(None, (y.strip(" \n\t\r") for y in x.splitlines()))) for x in texts * 2]
+    assert got == dict(enumerate(want, 1))
+
+
+def test_a_language_line_is_the_first_line(spark, tmp_path):
+    for name, text in (("a", "\nen\nb"), ("b", " EN \nb"), ("c", "en"), ("d", "")):
+        put(tmp_path / "ly" / f"{name}.txt", text)
+    assert {r.path[-5]: r.lyrics for r in readers.lyric_files(spark, f"file://{tmp_path}/ly/*.txt").collect()} == {"a": "en b", "b": "b", "c": "", "d": ""}
+
+
 def test_files_are_listed_in_tasks(spark, tmp_path, monkeypatch):
     """The driver holds no names of files; spread files lie in folders of bounded size."""
     monkeypatch.setattr(archives, "SPREAD", 7)
