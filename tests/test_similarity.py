@@ -71,6 +71,19 @@ def test_first_kept_never_makes_pairs_of_copies(spark, monkeypatch):
     assert sorted({i for i, _ in rows} - gone) == kept and asked[0] < len(pairs) - 600
 
 
+@pytest.mark.parametrize("rows", [5, 1000])
+def test_pairs_are_neither_shuffled_nor_stored(spark, rows, monkeypatch):
+    """Similar vectors' copies become pairs in the task that compares them, a bounded number at a time."""
+    monkeypatch.setattr(similarity, "ROWS", rows)
+    said = [(i, " ".join([*(f"w{k}" for k in range(30)), "x" if i % 2 else "y"])) for i in range(20)] + [(100 + i, f"other {i}") for i in range(9)]
+    vectors = similarity.word_vectors(similarity.word_counts(spark.createDataFrame(said, "id long, text string"), "id", F.col("text")))
+    got = similarity.similar_pairs(vectors, 0.5)
+    want = plain(said, 0.5)
+    found = [(r.i, r.j) for r in got.collect()]
+    assert sorted(found) == sorted(want) and len(want) == 190
+    assert "i#" not in "".join(x for x in got._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in x)
+
+
 def test_no_texts(spark):
     none = spark.createDataFrame([], "id long, text string")
     assert similarity.similar_pairs(similarity.word_vectors(similarity.word_counts(none, "id", F.col("text"))), 0.5).count() == 0
