@@ -71,6 +71,21 @@ def test_first_kept_never_makes_pairs_of_copies(spark, monkeypatch):
     assert sorted({i for i, _ in rows} - gone) == kept and asked[0] < len(pairs) - 600
 
 
+@pytest.mark.parametrize("step", [9, 40])
+def test_first_kept_by_steps(spark, step, monkeypatch):
+    """Steps in order of the ids keep what a walk over all pairs keeps, and none makes the pairs of all vectors."""
+    rows = [x for x in texts(40) if x[1]] + [(5000 + k, f"copy of one text {k % 2}") for k in range(30)]
+    pairs, kept = plain(rows, 0.5), []
+    for i in sorted(i for i, _ in rows):
+        if not any((k, i) in pairs for k in kept):
+            kept.append(i)
+    asked, keep = [], dedup.greedy_keep
+    monkeypatch.setattr(dedup, "greedy_keep", lambda nodes, edges, *a, **b: asked.append((nodes.count(), edges.count())) or keep(nodes, edges, *a, **b))
+    vectors = similarity.word_vectors(similarity.word_counts(spark.createDataFrame(rows, "id long, text string"), "id", F.col("text")))
+    gone = {x.id for x in similarity.first_kept(vectors, 0.5, step).collect()}
+    assert sorted({i for i, _ in rows} - gone) == kept and len(asked) > 1 and max(n for n, _ in asked) < 2 * step
+
+
 @pytest.mark.parametrize("rows", [5, 1000])
 def test_pairs_are_neither_shuffled_nor_stored(spark, rows, monkeypatch):
     """Similar vectors' copies become pairs in the task that compares them, a bounded number at a time."""
